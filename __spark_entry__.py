@@ -15,7 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tracklens import oracle as O  # noqa: E402
+from tracklens.operators import directions as D  # noqa: E402
+from tracklens.operators import projections as P  # noqa: E402
+from tracklens.operators import summary as S  # noqa: E402
+from tracklens.operators import zonestats as Z  # noqa: E402
 from tracklens.operators.filters import period_filter  # noqa: E402
+from tracklens.operators.heatmap import heatmap, top_cells  # noqa: E402
+from tracklens.operators.rollup import track_rollup  # noqa: E402
+from tracklens.operators.speed import speed_profile  # noqa: E402
 from tracklens.operators.timeline import timeline  # noqa: E402
 from tracklens.params import Period  # noqa: E402
 from tracklens.sources.detections import normalise  # noqa: E402
@@ -24,12 +31,20 @@ from tracklens.sources.events_view import detections_from_events  # noqa: E402
 SMOKE_DIR = "/root/testdata/sf0.001"
 # whole data range of the test tables (every event falls inside)
 REPORT = Period("2024-01-01T00:00:00", "2024-01-31T23:59:59")
+# one week, to exercise the period predicate itself
+WEEK = Period("2024-01-08T00:00:00", "2024-01-14T23:59:59")
+TOP_CELLS = 25
+MAP_PRECISION, MAP_MIN_POINTS = 4, 2
 
 
 def _det(spark: SparkSession, sf_dir: str, period: Period = REPORT) -> DataFrame:
     return period_filter(normalise(detections_from_events(spark, sf_dir)), period)
 
 
+def _rollup(spark: SparkSession, d: str) -> DataFrame:
+    return track_rollup(_det(spark, d))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: the five-minute activity timeline on sf0.001."""
     return timeline(_det(spark, SMOKE_DIR))
@@ -38,6 +53,31 @@ def entry(spark: SparkSession) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "timeline": lambda spark, d: timeline(_det(spark, d)),
+        "period_filter": lambda spark, d: _det(spark, d, WEEK).select(
+            "event_id", "track_identifier", "object_type", "device_identifier", "timestamp"
+        ),
+        "normalise": lambda spark, d: P.typed_points(_det(spark, d)),
+        "type_case_total": lambda spark, d: P.type_classes(_det(spark, d), "total"),
+        "type_map_partial": lambda spark, d: P.type_classes(_det(spark, d), "partial"),
+        "compass8": lambda spark, d: P.heading_sectors(_det(spark, d)),
+        "zones_parsed": lambda spark, d: P.zones_parsed(_det(spark, d)),
+        "zones_expanded": lambda spark, d: Z.zones_expanded(_det(spark, d)),
+        "zone_stats": lambda spark, d: Z.zone_stats(_det(spark, d)),
+        "track_zone_sets": lambda spark, d: Z.track_zone_sets(_det(spark, d)),
+        "speed_profile": lambda spark, d: speed_profile(_det(spark, d)),
+        "heatmap": lambda spark, d: heatmap(_det(spark, d)),
+        "map_heatmap": lambda spark, d: heatmap(_det(spark, d), MAP_PRECISION, MAP_MIN_POINTS),
+        "top_cells": lambda spark, d: top_cells(heatmap(_det(spark, d)), TOP_CELLS),
+        "summary_totals": lambda spark, d: S.summary_totals(_rollup(spark, d)),
+        "peak_hour": lambda spark, d: S.peak_hour(_rollup(spark, d)),
+        "direction_counts": lambda spark, d: S.direction_counts(_rollup(spark, d)),
+        "direction_4way": lambda spark, d: S.direction_4way(_rollup(spark, d)),
+        "zones_active": lambda spark, d: S.zones_active(_rollup(spark, d)),
+        "zone_entry_tracks": lambda spark, d: S.zone_entry_tracks(_rollup(spark, d)),
+        "composition": lambda spark, d: S.composition(_rollup(spark, d)),
+        "flow_rate": lambda spark, d: S.flow_rate(_rollup(spark, d), REPORT),
+        "dominant_direction": lambda spark, d: D.dominant_direction(_rollup(spark, d)),
+        "direction_rose": lambda spark, d: D.direction_rose(_rollup(spark, d)),
     }
 
 
@@ -45,4 +85,27 @@ def oracle_sql() -> dict[str, str]:
     s, e = REPORT.start, REPORT.end
     return {
         "timeline": O.timeline(s, e),
+        "period_filter": O.period_filter(WEEK.start, WEEK.end),
+        "normalise": O.normalise(s, e),
+        "type_case_total": O.type_case_total(s, e),
+        "type_map_partial": O.type_map_partial(s, e),
+        "compass8": O.compass8(s, e),
+        "zones_parsed": O.zones_parsed(s, e),
+        "zones_expanded": O.zones_expanded(s, e),
+        "zone_stats": O.zone_stats(s, e),
+        "track_zone_sets": O.track_zone_sets(s, e),
+        "speed_profile": O.speed_profile(s, e),
+        "heatmap": O.heatmap(s, e),
+        "map_heatmap": O.heatmap(s, e, MAP_PRECISION, MAP_MIN_POINTS),
+        "top_cells": O.top_cells(s, e, TOP_CELLS),
+        "summary_totals": O.summary_totals(s, e),
+        "peak_hour": O.peak_hour(s, e),
+        "direction_counts": O.direction_counts(s, e),
+        "direction_4way": O.direction_4way(s, e),
+        "zones_active": O.zones_active(s, e),
+        "zone_entry_tracks": O.zone_entry_tracks(s, e),
+        "composition": O.composition(s, e),
+        "flow_rate": O.flow_rate(s, e, REPORT.hours()),
+        "dominant_direction": O.dominant_direction(s, e),
+        "direction_rose": O.direction_rose(s, e),
     }

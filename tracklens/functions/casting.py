@@ -25,8 +25,17 @@ def to_mph(c: Column) -> Column:
 
 
 def round_half_up(c: Column, digits: int) -> Column:
-    """SQL ``ROUND`` (halves away from zero)."""
-    return F.round(c, digits)
+    """SQL ``ROUND`` of a double: scale, round half away from zero, unscale.
+
+    Plain IEEE arithmetic on the binary value, as warehouses evaluate
+    ``ROUND(FLOAT64, n)``; Spark's own ``round`` rounds the shortest decimal
+    text instead and disagrees at apparent ties (50.81005 -> 50.8101).
+    NaN and infinities pass through.
+    """
+    scale = float(10**digits)
+    scaled = F.floor(F.abs(c) * F.lit(scale) + F.lit(0.5)).cast("double")
+    rounded = F.signum(c) * scaled / F.lit(scale)
+    return F.when(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), c).otherwise(rounded)
 
 
 def round_half_even(c: Column, digits: int = 0) -> Column:

@@ -28,8 +28,8 @@ def heatmap(
     on a grid).
     """
     cells = det.select(
-        F.round(F.col("lon"), precision).alias("lon"),
-        F.round(F.col("lat"), precision).alias("lat"),
+        round_half_up(F.col("lon"), precision).alias("lon"),
+        round_half_up(F.col("lat"), precision).alias("lat"),
         F.col("object_type").alias("raw_type"),
         F.col("device_identifier").alias("device_id"),
         "track_identifier",

@@ -62,7 +62,7 @@ def track_raw_rollup(det: DataFrame) -> DataFrame:
         F.sum(F.when(has_h, to_mph(F.col("speed_ms")))).alias("hsp_sum"),
         F.count(F.when(has_h, F.col("speed_ms"))).alias("hsp_cnt"),
         F.count_if(has_h).alias("h_rows"),
-        F.bit_or(F.shiftleft(F.lit(1), _hour(F.col("timestamp"), ntz))).alias("hour_mask"),
+        F.bit_or(F.pow(F.lit(2), _hour(F.col("timestamp"), ntz)).cast("int")).alias("hour_mask"),
         F.collect_set(F.when(has_zones(F.col("zones_hit")), F.col("zones_hit"))).alias("zraw"),
     ]
     for lab in COMPASS_CATS:

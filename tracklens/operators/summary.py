@@ -14,7 +14,7 @@ from tracklens.functions.casting import round_half_even, round_half_up, to_mph
 from tracklens.functions.compass import CARDINAL_LABELS, COMPASS_LABELS
 from tracklens.params import FREIGHT_ZONE, Period
 
-TRACK = F.col("track_identifier")
+TRACK_NAME = "track_identifier"
 
 
 def _avg_mph(cls: str) -> Column:
@@ -30,9 +30,9 @@ def _max_mph(cls: str) -> Column:
 def totals_aggs() -> list[Column]:
     """A1: distinct tracks (all / small / large) and mph speeds."""
     return [
-        F.count(TRACK).alias("total_detections"),
-        F.count_if(TRACK.isNotNull() & F.col("has_small")).alias("pedestrian_count"),
-        F.count_if(TRACK.isNotNull() & F.col("has_large")).alias("vehicle_count"),
+        F.count(TRACK_NAME).alias("total_detections"),
+        F.count_if(F.col(TRACK_NAME).isNotNull() & F.col("has_small")).alias("pedestrian_count"),
+        F.count_if(F.col(TRACK_NAME).isNotNull() & F.col("has_large")).alias("vehicle_count"),
         _avg_mph("all").alias("avg_speed"),
         _max_mph("all").alias("top_speed"),
         _avg_mph("small").alias("ped_avg_speed"),
@@ -43,21 +43,35 @@ def totals_aggs() -> list[Column]:
 
 
 def hour_aggs() -> list[Column]:
-    """Distinct (non-NULL) tracks seen in each UTC hour of day."""
+    """Distinct (non-NULL) tracks seen in each UTC hour of day, and the hours with rows."""
     return [
         F.sum(
-            F.when(TRACK.isNotNull(), F.shiftright(F.col("hour_mask"), h).bitwiseAND(1)).otherwise(0)
+            F.when(F.col(TRACK_NAME).isNotNull(), F.shiftright(F.col("hour_mask"), h).bitwiseAND(1)).otherwise(0)
         ).alias(f"h{h:02d}")
         for h in range(24)
-    ]
+    ] + [F.bit_or("hour_mask").alias("hours_present")]
+
+
+def _best_hour() -> Column:
+    """(tracks, present, -hour) maximum: most tracks, then an hour with rows, then lowest."""
+    return F.array_max(
+        F.array(
+            *[
+                F.struct(
+                    F.col(f"h{h:02d}").cast("long").alias("n"),
+                    F.shiftright(F.col("hours_present"), h).bitwiseAND(1).alias("present"),
+                    F.lit(-h).alias("neg"),
+                )
+                for h in range(24)
+            ]
+        )
+    )
 
 
 def peak_hour_expr() -> Column:
-    """Hour with the most tracks (lowest hour on ties) as "HH:00"; "00:00" if none."""
-    best = F.array_max(
-        F.array(*[F.struct(F.col(f"h{h:02d}").alias("n"), F.lit(-h).alias("neg")) for h in range(24)])
-    )
-    hour = F.when(best["n"] > 0, -best["neg"]).otherwise(F.lit(0))
+    """Hour with the most tracks (lowest hour on ties) as "HH:00"; "00:00" if no rows."""
+    best = _best_hour()
+    hour = F.when(best["present"] > 0, -best["neg"]).otherwise(F.lit(0))
     return F.concat(F.lpad(hour.cast("string"), 2, "0"), F.lit(":00"))
 
 
@@ -93,10 +107,11 @@ def summary_totals(rollup: DataFrame) -> DataFrame:
 
 def peak_hour(rollup: DataFrame) -> DataFrame:
     hours = rollup.agg(*hour_aggs())
-    best = F.array_max(
-        F.array(*[F.struct(F.col(f"h{h:02d}").alias("n"), F.lit(-h).alias("neg")) for h in range(24)])
+    best = _best_hour()
+    return hours.select(
+        peak_hour_expr().alias("peak_hour"),
+        F.when(best["present"] > 0, best["n"]).otherwise(F.lit(0)).cast("long").alias("tracks"),
     )
-    return hours.select(peak_hour_expr().alias("peak_hour"), best["n"].cast("long").alias("tracks"))
 
 
 def direction_counts(rollup: DataFrame) -> DataFrame:
@@ -150,7 +165,7 @@ def composition(rollup: DataFrame) -> DataFrame:
 def flow_rate(rollup: DataFrame, period: Period) -> DataFrame:
     """Distinct tracks per hour of the period, rounded half-even."""
     hours = period.hours()
-    t = rollup.agg(F.count(TRACK).alias("total_detections"))
+    t = rollup.agg(F.count(TRACK_NAME).alias("total_detections"))
     return t.select(
         F.lit(float(hours)).alias("period_hours"),
         round_half_even(F.col("total_detections") / F.lit(float(hours)), 0).cast("long").alias("flow_rate_per_hour"),
