@@ -18,13 +18,14 @@ from tracklens import oracle as O  # noqa: E402
 from tracklens.operators import directions as D  # noqa: E402
 from tracklens.operators import projections as P  # noqa: E402
 from tracklens.operators import summary as S  # noqa: E402
+from tracklens.operators import tracks as TR  # noqa: E402
 from tracklens.operators import zonestats as Z  # noqa: E402
 from tracklens.operators.filters import period_filter  # noqa: E402
 from tracklens.operators.heatmap import heatmap, top_cells  # noqa: E402
 from tracklens.operators.rollup import track_rollup  # noqa: E402
 from tracklens.operators.speed import speed_profile  # noqa: E402
 from tracklens.operators.timeline import timeline  # noqa: E402
-from tracklens.params import Period  # noqa: E402
+from tracklens.params import Period, ThinParams  # noqa: E402
 from tracklens.sources.detections import normalise  # noqa: E402
 from tracklens.sources.events_view import detections_from_events  # noqa: E402
 
@@ -35,6 +36,10 @@ REPORT = Period("2024-01-01T00:00:00", "2024-01-31T23:59:59")
 WEEK = Period("2024-01-08T00:00:00", "2024-01-14T23:59:59")
 TOP_CELLS = 25
 MAP_PRECISION, MAP_MIN_POINTS = 4, 2
+# thinning suited to the test data's sparse points (defaults suit 10 Hz sensors)
+THIN = ThinParams(max_tracks=40, interval_ms=21_600_000, min_distance_m=25)
+HEAD_STEP_MS = 3_600_000  # one playback frame per hour of data
+TRAIL_STEP_MS, TRAIL_MS = 5_000, 180_000
 
 
 def _det(spark: SparkSession, sf_dir: str, period: Period = REPORT) -> DataFrame:
@@ -45,6 +50,10 @@ def _rollup(spark: SparkSession, d: str) -> DataFrame:
     return track_rollup(_det(spark, d))
 
 
+def _map_tracks(spark: SparkSession, d: str) -> DataFrame:
+    return TR.map_tracks(_det(spark, d), THIN)
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: the five-minute activity timeline on sf0.001."""
     return timeline(_det(spark, SMOKE_DIR))
@@ -78,11 +87,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "flow_rate": lambda spark, d: S.flow_rate(_rollup(spark, d), REPORT),
         "dominant_direction": lambda spark, d: D.dominant_direction(_rollup(spark, d)),
         "direction_rose": lambda spark, d: D.direction_rose(_rollup(spark, d)),
+        "first_tracks": lambda spark, d: TR.first_tracks(_det(spark, d), THIN.max_tracks),
+        "step_distance": lambda spark, d: TR.step_distance(_det(spark, d)),
+        "map_tracks": _map_tracks,
+        "track_time_range": lambda spark, d: TR.track_time_range(_map_tracks(spark, d)),
+        "trips": lambda spark, d: TR.trips(_map_tracks(spark, d)),
+        "trip_heads": lambda spark, d: TR.trip_heads(_map_tracks(spark, d), HEAD_STEP_MS),
+        "trip_trail": lambda spark, d: TR.trip_trail(_map_tracks(spark, d), TRAIL_STEP_MS, TRAIL_MS),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     s, e = REPORT.start, REPORT.end
+    thin = (THIN.max_tracks, THIN.interval_ms, THIN.min_distance_m)
     return {
         "timeline": O.timeline(s, e),
         "period_filter": O.period_filter(WEEK.start, WEEK.end),
@@ -108,4 +125,11 @@ def oracle_sql() -> dict[str, str]:
         "flow_rate": O.flow_rate(s, e, REPORT.hours()),
         "dominant_direction": O.dominant_direction(s, e),
         "direction_rose": O.direction_rose(s, e),
+        "first_tracks": O.first_tracks(s, e, THIN.max_tracks),
+        "step_distance": O.step_distance(s, e),
+        "map_tracks": O.map_tracks(s, e, *thin),
+        "track_time_range": O.track_time_range(s, e, *thin),
+        "trips": O.trips(s, e, *thin),
+        "trip_heads": O.trip_heads(s, e, *thin, HEAD_STEP_MS),
+        "trip_trail": O.trip_trail(s, e, *thin, TRAIL_STEP_MS, TRAIL_MS),
     }
