@@ -26,6 +26,11 @@ from tracklens.operators.rollup import track_rollup  # noqa: E402
 from tracklens.operators.speed import speed_profile  # noqa: E402
 from tracklens.operators.timeline import timeline  # noqa: E402
 from tracklens.params import Period, ThinParams  # noqa: E402
+from tracklens.plans import report as RP  # noqa: E402
+from tracklens.plans import rollups as RU  # noqa: E402
+from tracklens.plans import sinks as SK  # noqa: E402
+from tracklens.sources.features import observed_zone_features  # noqa: E402
+from tracklens.sources.orgs import ORG_DISPLAY_NAMES  # noqa: E402
 from tracklens.sources.detections import normalise  # noqa: E402
 from tracklens.sources.events_view import detections_from_events  # noqa: E402
 
@@ -40,6 +45,10 @@ MAP_PRECISION, MAP_MIN_POINTS = 4, 2
 THIN = ThinParams(max_tracks=40, interval_ms=21_600_000, min_distance_m=25)
 HEAD_STEP_MS = 3_600_000  # one playback frame per hour of data
 TRAIL_STEP_MS, TRAIL_MS = 5_000, 180_000
+HEX_RADIUS_M = 10
+HISTOGRAM_COLUMNS = 300  # a 900 px wide strip at 3 px per column
+SEARCH = "dev-1 pedestrian"
+ORG = "pip"
 
 
 def _det(spark: SparkSession, sf_dir: str, period: Period = REPORT) -> DataFrame:
@@ -54,6 +63,30 @@ def _map_tracks(spark: SparkSession, d: str) -> DataFrame:
     return TR.map_tracks(_det(spark, d), THIN)
 
 
+def _summary(spark: SparkSession, d: str) -> DataFrame:
+    return RP.summary(_rollup(spark, d), REPORT, ORG, spark)
+
+
+def _map_cells(spark: SparkSession, d: str) -> DataFrame:
+    return SK.heatmap_records(heatmap(_det(spark, d), MAP_PRECISION, MAP_MIN_POINTS))
+
+
+def _rose_records(spark: SparkSession, d: str) -> DataFrame:
+    return SK.rose_records(D.direction_rose(_rollup(spark, d)))
+
+
+def _zone_records(spark: SparkSession, d: str) -> DataFrame:
+    return SK.zone_stats_records(Z.zone_stats(_det(spark, d)))
+
+
+def _speed_records(spark: SparkSession, d: str) -> DataFrame:
+    return SK.speed_profile_records(speed_profile(_det(spark, d)))
+
+
+def _features(spark: SparkSession, d: str) -> DataFrame:
+    return observed_zone_features(_det(spark, d))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: the five-minute activity timeline on sf0.001."""
     return timeline(_det(spark, SMOKE_DIR))
@@ -94,12 +127,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "trips": lambda spark, d: TR.trips(_map_tracks(spark, d)),
         "trip_heads": lambda spark, d: TR.trip_heads(_map_tracks(spark, d), HEAD_STEP_MS),
         "trip_trail": lambda spark, d: TR.trip_trail(_map_tracks(spark, d), TRAIL_STEP_MS, TRAIL_MS),
+        "timeline_by_type": lambda spark, d: RU.type_filter(timeline(_det(spark, d)), "Pedestrian"),
+        "rose_bins": lambda spark, d: RU.rose_bins(_rose_records(spark, d), "All"),
+        "zone_rollup": lambda spark, d: RU.zone_rollup(_zone_records(spark, d), "All"),
+        "zone_labels": lambda spark, d: RU.zone_labels(Z.zone_stats(_det(spark, d))),
+        "heatmap_json_records": lambda spark, d: SK.heatmap_records(heatmap(_det(spark, d))),
+        "raw_heatmap_table": lambda spark, d: RU.raw_table(SK.heatmap_records(heatmap(_det(spark, d)))),
+        "raw_search": lambda spark, d: RU.raw_search(
+            RU.raw_table(SK.heatmap_records(heatmap(_det(spark, d)))), SEARCH
+        ),
+        "speed_box_stats": lambda spark, d: RU.speed_box_stats(_speed_records(spark, d)),
+        "speed_whiskers": lambda spark, d: RU.speed_whiskers(_speed_records(spark, d)),
+        "bounds": lambda spark, d: RU.bounds(_map_cells(spark, d)),
+        "hex_density": lambda spark, d: RU.hex_density(_map_cells(spark, d), HEX_RADIUS_M),
+        "histogram_columns": lambda spark, d: RU.histogram_columns(
+            timeline(_det(spark, d)), TR.track_time_range(_map_tracks(spark, d)), HISTOGRAM_COLUMNS
+        ),
+        "zone_features": lambda spark, d: RP.zone_features(_features(spark, d)),
+        "feature_type_counts": lambda spark, d: RP.feature_type_counts(_features(spark, d)),
+        "period_slug": lambda spark, d: RP.daily_periods(_det(spark, d)),
+        "summary": _summary,
+        "summary_by_filter": lambda spark, d: RU.summary_by_filter(_summary(spark, d), REPORT),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     s, e = REPORT.start, REPORT.end
     thin = (THIN.max_tracks, THIN.interval_ms, THIN.min_distance_m)
+    summ = (s, e, REPORT.hours(), REPORT.browser_hours(), ORG, ORG_DISPLAY_NAMES.get(ORG))
     return {
         "timeline": O.timeline(s, e),
         "period_filter": O.period_filter(WEEK.start, WEEK.end),
@@ -132,4 +187,21 @@ def oracle_sql() -> dict[str, str]:
         "trips": O.trips(s, e, *thin),
         "trip_heads": O.trip_heads(s, e, *thin, HEAD_STEP_MS),
         "trip_trail": O.trip_trail(s, e, *thin, TRAIL_STEP_MS, TRAIL_MS),
+        "timeline_by_type": O.timeline_by_type(s, e, "pedestrian"),
+        "rose_bins": O.rose_bins(s, e),
+        "zone_rollup": O.zone_rollup(s, e),
+        "zone_labels": O.zone_labels(s, e),
+        "heatmap_json_records": O.heatmap_json_records(s, e),
+        "raw_heatmap_table": O.raw_heatmap_table(s, e),
+        "raw_search": O.raw_search(s, e, SEARCH),
+        "speed_box_stats": O.speed_box_stats(s, e),
+        "speed_whiskers": O.speed_whiskers(s, e),
+        "bounds": O.bounds(s, e, MAP_PRECISION, MAP_MIN_POINTS),
+        "hex_density": O.hex_density(s, e, MAP_PRECISION, MAP_MIN_POINTS, HEX_RADIUS_M),
+        "histogram_columns": O.histogram_columns(s, e, *thin, HISTOGRAM_COLUMNS),
+        "zone_features": O.zone_features(s, e),
+        "feature_type_counts": O.feature_type_counts(s, e),
+        "period_slug": O.period_slug(s, e),
+        "summary": O.summary_flat(*summ),
+        "summary_by_filter": O.summary_by_filter(*summ),
     }
