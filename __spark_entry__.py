@@ -22,7 +22,7 @@ from tracklens.operators import tracks as TR  # noqa: E402
 from tracklens.operators import zonestats as Z  # noqa: E402
 from tracklens.operators.filters import period_filter  # noqa: E402
 from tracklens.operators.heatmap import heatmap, top_cells  # noqa: E402
-from tracklens.operators.rollup import track_rollup  # noqa: E402
+from tracklens.operators.rollup import track_rollup, track_zones  # noqa: E402
 from tracklens.operators.speed import speed_profile  # noqa: E402
 from tracklens.operators.timeline import timeline  # noqa: E402
 from tracklens.params import Period, ThinParams  # noqa: E402
@@ -64,7 +64,8 @@ def _map_tracks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _summary(spark: SparkSession, d: str) -> DataFrame:
-    return RP.summary(_rollup(spark, d), REPORT, ORG, spark)
+    det = _det(spark, d)
+    return RP.summary(track_rollup(det), track_zones(det), REPORT, ORG, spark)
 
 
 def _map_cells(spark: SparkSession, d: str) -> DataFrame:
@@ -114,8 +115,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "peak_hour": lambda spark, d: S.peak_hour(_rollup(spark, d)),
         "direction_counts": lambda spark, d: S.direction_counts(_rollup(spark, d)),
         "direction_4way": lambda spark, d: S.direction_4way(_rollup(spark, d)),
-        "zones_active": lambda spark, d: S.zones_active(_rollup(spark, d)),
-        "zone_entry_tracks": lambda spark, d: S.zone_entry_tracks(_rollup(spark, d)),
+        "zones_active": lambda spark, d: S.zones_active(track_zones(_det(spark, d))),
+        "zone_entry_tracks": lambda spark, d: S.zone_entry_tracks(track_zones(_det(spark, d))),
         "composition": lambda spark, d: S.composition(_rollup(spark, d)),
         "flow_rate": lambda spark, d: S.flow_rate(_rollup(spark, d), REPORT),
         "dominant_direction": lambda spark, d: D.dominant_direction(_rollup(spark, d)),

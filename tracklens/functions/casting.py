@@ -15,9 +15,11 @@ def safe_double(c: Column) -> Column:
     are not numbers to a warehouse, so they become NULL first.  ``NaN`` and
     ``Infinity`` are left to the cast.
     """
-    return F.when(c.rlike(r"[0-9.][dDfF]\s*$"), F.lit(None).cast("double")).otherwise(
-        c.try_cast("double")
+    t = F.rtrim(c)
+    suffixed = F.substring(t, -1, 1).isin("d", "D", "f", "F") & F.substring(t, -2, 1).isin(
+        *"0123456789."
     )
+    return F.when(suffixed, F.lit(None).cast("double")).otherwise(c.try_cast("double"))
 
 
 def to_mph(c: Column) -> Column:

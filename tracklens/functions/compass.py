@@ -52,28 +52,35 @@ def cardinal4(h: Column) -> Column:
     return expr.otherwise(F.lit(CARDINAL_DEFAULT))
 
 
-def tie_rank(labels: list[str]) -> dict[str, int]:
-    """Deterministic tie order: label ascending (byte order)."""
-    return {lab: i for i, lab in enumerate(sorted(labels))}
+def _tie_order(labels: list[str | None]) -> list[str | None]:
+    """Deterministic tie order: labels ascending (byte order), NULL last."""
+    named = sorted(lab for lab in labels if lab is not None)
+    return named + ([None] if None in labels else [])
 
 
-def argmax_label(counts: dict[str | None, Column], labels_order: list[str | None]) -> Column:
-    """Label with the largest count; ties -> ascending label, NULL label last.
+def argmax_score(counts: dict[str | None, Column], labels: list[str | None]) -> Column:
+    """Packed long ``count * B + (B - 1 - position)`` maximised over labels.
 
-    ``counts`` maps label (None for the NULL category) to a count column.
-    Returns a struct(cnt, rank, label) column; take ``.label`` / ``.cnt``.
-    Entries with a zero count never win unless all are zero (then cnt = 0).
+    The largest score belongs to the largest count, ties going to the
+    label first in tie order (ascending, NULL last).  Being a plain long it
+    can be combined further with ``max``/``greatest`` inside hash
+    aggregates.  Decode with :func:`score_label` / :func:`score_count`.
     """
-    named = sorted([lab for lab in labels_order if lab is not None])
-    order = named + ([None] if None in labels_order else [])
-    n = len(order)
-    items = []
-    for i, lab in enumerate(order):
-        items.append(
-            F.struct(
-                counts[lab].cast("long").alias("cnt"),
-                F.lit(n - i).alias("rank"),
-                (F.lit(lab) if lab is not None else F.lit(None).cast("string")).alias("label"),
-            )
-        )
-    return F.array_max(F.array(*items))
+    order = _tie_order(labels)
+    base = len(order)
+    return F.greatest(
+        *[counts[lab].cast("long") * F.lit(base) + F.lit(base - 1 - i) for i, lab in enumerate(order)]
+    )
+
+
+def score_label(score: Column, labels: list[str | None]) -> Column:
+    order = _tie_order(labels)
+    base = len(order)
+    pos = F.lit(base - 1) - F.pmod(score, F.lit(base))
+    names = F.array(*[F.lit(lab) if lab is not None else F.lit(None).cast("string") for lab in order])
+    return F.when(score.isNull(), F.lit(None).cast("string")).otherwise(F.element_at(names, (pos + 1).cast("int")))
+
+
+def score_count(score: Column, labels: list[str | None]) -> Column:
+    base = len(_tie_order(labels))
+    return F.floor(score / F.lit(base)).cast("long")

@@ -20,9 +20,12 @@ from pyspark.sql import functions as F
 _ARRAY = "array<string>"
 
 
+_WS = " \t\n\r\f\u000b"
+
+
 def strip_ws(c: Column) -> Column:
-    """Strip leading/trailing whitespace (Python ``str.strip`` for ASCII)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Strip leading/trailing ASCII whitespace (Python ``str.strip``)."""
+    return F.btrim(c, F.lit(_WS))
 
 
 def has_zones(raw: Column) -> Column:

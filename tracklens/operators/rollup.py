@@ -1,15 +1,16 @@
 """Per-track roll-up shared by the summary, direction and rose results.
 
-Everything the summary needs is reduced in two map-side-combined
+Everything the summary needs is reduced in two map-side-combined hash
 aggregations — per (track, raw type), then per track — so the raw rows are
 scanned once and only small partial aggregates are shuffled.  A hot track
 or a hot type costs no more than any other key: partial aggregation
-collapses it before the exchange.
+collapses it before the exchange.  All buffers are primitive (counts,
+sums, bit masks, packed arg-max scores), so both steps stay in generated
+code.
 
 Per (track, raw type) the first step keeps speed sums, compass / cardinal
-counts of the rows that carry a heading, an hour-of-day bit mask (for the
-distinct-track peak hour) and the distinct raw ``zones_hit`` texts (parsed
-only after de-duplication).  The second step folds raw types into:
+counts of the rows that carry a heading, and an hour-of-day bit mask (for
+the distinct-track peak hour).  The second step folds raw types into:
 
 * totals by exact raw class (``small`` / ``large`` / all),
 * the dominant 8-way direction of the track over all its rows,
@@ -19,7 +20,8 @@ only after de-duplication).  The second step folds raw types into:
 * the dominant 8-way direction and mean mph of the heading rows per mapped
   class (here raw types *are* merged first, as the rose query does).
 
-Ties go to the alphabetically first label, NULL last.
+Ties go to the alphabetically first label, NULL last.  Zone sets are a
+separate, smaller path (:func:`track_zones`).
 """
 
 from __future__ import annotations
@@ -32,11 +34,12 @@ from tracklens.functions.classes import RAW_LARGE, RAW_SMALL
 from tracklens.functions.compass import (
     CARDINAL_LABELS,
     COMPASS_LABELS,
-    argmax_label,
+    argmax_score,
     cardinal4,
     compass8,
+    score_count,
+    score_label,
 )
-from tracklens.functions.timefn import is_ntz
 from tracklens.functions.zones import has_zones, zones_loader
 
 COMPASS_CATS: list[str | None] = [*COMPASS_LABELS, None]
@@ -46,12 +49,7 @@ def _cname(prefix: str, lab: str | None) -> str:
     return f"{prefix}_{lab if lab is not None else 'null'}"
 
 
-def _hour(ts: Column, ntz: bool) -> Column:
-    return F.hour(ts)
-
-
 def track_raw_rollup(det: DataFrame) -> DataFrame:
-    ntz = is_ntz(det, "timestamp")
     has_h = F.col("heading_degrees").isNotNull()
     comp = compass8(F.col("heading"))
     card = cardinal4(F.col("heading"))
@@ -62,8 +60,7 @@ def track_raw_rollup(det: DataFrame) -> DataFrame:
         F.sum(F.when(has_h, to_mph(F.col("speed_ms")))).alias("hsp_sum"),
         F.count(F.when(has_h, F.col("speed_ms"))).alias("hsp_cnt"),
         F.count_if(has_h).alias("h_rows"),
-        F.bit_or(F.pow(F.lit(2), _hour(F.col("timestamp"), ntz)).cast("int")).alias("hour_mask"),
-        F.collect_set(F.when(has_zones(F.col("zones_hit")), F.col("zones_hit"))).alias("zraw"),
+        F.bit_or(F.pow(F.lit(2), F.hour("timestamp")).cast("int")).alias("hour_mask"),
     ]
     for lab in COMPASS_CATS:
         cond = comp.isNull() if lab is None else (comp == lab)
@@ -78,10 +75,10 @@ def track_rollup(det: DataFrame) -> DataFrame:
     raw = F.col("raw_type")
     small = F.coalesce(raw == RAW_SMALL, F.lit(False))
     large = F.coalesce(raw == RAW_LARGE, F.lit(False))
-    # best (count, tie rank, label) of the 4-way counts within one raw type
+    # best 4-way direction within one raw type, as a packed score
     best_card = F.when(
         F.col("h_rows") > 0,
-        argmax_label({lab: F.col(_cname("k", lab)) for lab in CARDINAL_LABELS}, CARDINAL_LABELS),
+        argmax_score({lab: F.col(_cname("k", lab)) for lab in CARDINAL_LABELS}, CARDINAL_LABELS),
     )
     per_raw = per_raw.withColumn("best_card", best_card)
 
@@ -95,7 +92,6 @@ def track_rollup(det: DataFrame) -> DataFrame:
         F.sum("h_rows").alias("h_rows"),
         F.max(F.when(small, F.col("best_card"))).alias("ped_card"),
         F.max(F.when(~small, F.col("best_card"))).alias("veh_card"),
-        F.array_distinct(F.flatten(F.collect_list("zraw"))).alias("zraw"),
     ]
     for cls, cond in (("small", small), ("large", large)):
         aggs += [
@@ -117,9 +113,8 @@ def track_rollup(det: DataFrame) -> DataFrame:
     per_track = per_raw.groupBy("track_identifier").agg(*aggs)
 
     def dominant(prefix: str) -> Column:
-        return argmax_label(
-            {lab: F.coalesce(F.col(_cname(prefix, lab)), F.lit(0)) for lab in COMPASS_CATS},
-            COMPASS_CATS,
+        return argmax_score(
+            {lab: F.coalesce(F.col(_cname(prefix, lab)), F.lit(0)) for lab in COMPASS_CATS}, COMPASS_CATS
         )
 
     return per_track.select(
@@ -129,20 +124,34 @@ def track_rollup(det: DataFrame) -> DataFrame:
         *[f"sp_{m}_{c}" for c in ("all", "small", "large") for m in ("sum", "cnt", "max")],
         "hour_mask",
         (F.col("h_rows") > 0).alias("has_heading"),
-        F.when(F.col("h_rows") > 0, dominant("c").getField("label")).alias("dom_compass"),
-        F.when(F.col("h_rows") > 0, dominant("c").getField("cnt")).alias("dom_count"),
-        F.col("ped_card").getField("label").alias("ped_card"),
-        F.col("veh_card").getField("label").alias("veh_card"),
+        F.when(F.col("h_rows") > 0, score_label(dominant("c"), COMPASS_CATS)).alias("dom_compass"),
+        F.when(F.col("h_rows") > 0, score_count(dominant("c"), COMPASS_CATS)).alias("dom_count"),
+        score_label(F.col("ped_card"), CARDINAL_LABELS).alias("ped_card"),
+        score_label(F.col("veh_card"), CARDINAL_LABELS).alias("veh_card"),
         *[
             x
             for cls in ("ped", "veh")
             for x in (
-                F.when(F.col(f"{cls}_h_rows") > 0, dominant(f"{cls}_c").getField("label")).alias(
+                F.when(F.col(f"{cls}_h_rows") > 0, score_label(dominant(f"{cls}_c"), COMPASS_CATS)).alias(
                     f"{cls}_rose_dir"
                 ),
                 F.try_divide(F.col(f"{cls}_hsp_sum"), F.col(f"{cls}_hsp_cnt")).alias(f"{cls}_rose_speed"),
                 F.coalesce(F.col(f"{cls}_h_rows") > 0, F.lit(False)).alias(f"{cls}_has_heading"),
             )
         ],
-        F.array_sort(F.array_distinct(F.flatten(F.transform("zraw", zones_loader)))).alias("zones"),
     )
+
+
+def track_zones(det: DataFrame) -> DataFrame:
+    """Distinct (track, zone) pairs under the loader parse rule.
+
+    Distinct (track, raw text) pairs are found first with a hash
+    aggregate (a track repeats a handful of zone strings), and only those
+    are parsed and exploded.  A NULL track id stays one group.
+    """
+    raw = (
+        det.where(has_zones(F.col("zones_hit")))
+        .select("track_identifier", "zones_hit")
+        .distinct()
+    )
+    return raw.select("track_identifier", F.explode(zones_loader(F.col("zones_hit"))).alias("zone")).distinct()

@@ -89,16 +89,14 @@ def direction4_aggs() -> list[Column]:
     return out
 
 
-def freight_agg(zone: str = FREIGHT_ZONE) -> Column:
-    """A6: tracks (a NULL track id is one track here) that ever hit ``zone``."""
-    return F.count_if(F.array_contains(F.col("zones"), zone)).alias("freight_entries")
+def zones_active(zones: DataFrame) -> DataFrame:
+    """A5: number of distinct zone names over all tracks (loader parse rule)."""
+    return zones.agg(F.count_distinct("zone").alias("zones_active"))
 
 
-def zones_active(rollup: DataFrame) -> DataFrame:
-    """A5: number of distinct zone names over all tracks (loader parse rule)."""
-    return rollup.select(F.explode("zones").alias("zone")).agg(
-        F.count_distinct("zone").alias("zones_active")
-    )
+def freight_entries(zones: DataFrame, zone: str = FREIGHT_ZONE) -> DataFrame:
+    """A6: tracks that ever hit ``zone`` (a NULL track id counts as one)."""
+    return zones.where(F.col("zone") == zone).agg(F.count(F.lit(1)).alias("freight_entries"))
 
 
 def summary_totals(rollup: DataFrame) -> DataFrame:
@@ -145,8 +143,8 @@ def direction_4way(rollup: DataFrame) -> DataFrame:
     )
 
 
-def zone_entry_tracks(rollup: DataFrame, zone: str = FREIGHT_ZONE) -> DataFrame:
-    return rollup.agg(freight_agg(zone)).select(F.lit(zone).alias("zone"), F.col("freight_entries").alias("tracks"))
+def zone_entry_tracks(zones: DataFrame, zone: str = FREIGHT_ZONE) -> DataFrame:
+    return freight_entries(zones, zone).select(F.lit(zone).alias("zone"), F.col("freight_entries").alias("tracks"))
 
 
 def composition_expr(total: Column, part: Column) -> Column:

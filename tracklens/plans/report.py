@@ -12,7 +12,7 @@ from tracklens.operators import summary as S
 from tracklens.operators.directions import direction_rose
 from tracklens.operators.filters import period_filter
 from tracklens.operators.heatmap import heatmap
-from tracklens.operators.rollup import track_rollup
+from tracklens.operators.rollup import track_rollup, track_zones
 from tracklens.operators.speed import speed_profile
 from tracklens.operators.timeline import timeline
 from tracklens.operators.tracks import map_tracks
@@ -26,18 +26,23 @@ SPEED_FIELDS = ["avg_speed", "top_speed", "ped_avg_speed", "ped_top_speed", "veh
 
 
 def summary(
-    rollup: DataFrame, period: Period, org: str, spark: SparkSession | None = None, zone: str = FREIGHT_ZONE
+    rollup: DataFrame,
+    zones: DataFrame,
+    period: Period,
+    org: str,
+    spark: SparkSession | None = None,
+    zone: str = FREIGHT_ZONE,
 ) -> DataFrame:
     """One flat row with every summary KPI (NULL speeds reported as 0).
 
-    All components come from one aggregation over the per-track roll-up;
-    the distinct zone count is a scalar subquery over the same roll-up.
+    Counts, speeds, peak hour and directions come from one aggregation
+    over the per-track roll-up; the zone figures are scalar subqueries over
+    the distinct (track, zone) table.
     """
     hours = float(period.hours())
-    agg = rollup.agg(
-        *S.totals_aggs(), *S.hour_aggs(), *S.direction_aggs(), *S.direction4_aggs(), S.freight_agg(zone)
-    )
-    zones = S.zones_active(rollup).scalar()
+    agg = rollup.agg(*S.totals_aggs(), *S.hour_aggs(), *S.direction_aggs(), *S.direction4_aggs())
+    n_zones = S.zones_active(zones).scalar()
+    freight = S.freight_entries(zones, zone).scalar()
     total = F.col("total_detections")
     row = agg.select(
         total,
@@ -47,9 +52,9 @@ def summary(
         S.composition_expr(total, F.col("vehicle_count")).alias("vehicle_pct"),
         *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in SPEED_FIELDS],
         F.bround(total / F.lit(hours), 0).cast("long").alias("flow_rate_per_hour"),
-        "freight_entries",
+        freight.alias("freight_entries"),
         S.peak_hour_expr().alias("peak_hour"),
-        zones.alias("zones_active"),
+        n_zones.alias("zones_active"),
         *[F.col(f"dir_{d}").cast("long").alias(f"dir_{d}") for d in COMPASS_LABELS],
         *[
             F.col(f"dir4_{t}_{c}").cast("long").alias(f"dir4_{t}_{c}")
@@ -197,7 +202,7 @@ def build_report(
         roll = track_rollup(det).persist(StorageLevel.MEMORY_AND_DISK)
         cells = heatmap(det, heat_precision, heat_min_points)
         results = {
-            "summary": summary_record(summary(roll, period, org, spark)),
+            "summary": summary_record(summary(roll, track_zones(det), period, org, spark)),
             "timeline": sinks.timeline_records(timeline(det)),
             "speed-profile": sinks.speed_profile_records(speed_profile(det)),
             "zone-stats": sinks.zone_stats_records(zone_stats(det)),

@@ -34,6 +34,22 @@ def table_name(org: str, overrides: dict[str, str] | None = None) -> str:
     return (overrides if overrides is not None else TABLE_NAME_OVERRIDES).get(org, org)
 
 
+def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread a scan that has fewer splits than the cluster has cores.
+
+    A large table arrives in thousands of file splits and is returned
+    untouched (no shuffle).  A small or unsplittable source (one row group,
+    one gzip file) would otherwise run every per-row parse of the report in
+    a single task; it is round-robin repartitioned over the cores instead,
+    which costs one shuffle of an input that is small by construction.
+    """
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def tenant_detections(
     spark: SparkSession,
     org: str,
@@ -45,8 +61,8 @@ def tenant_detections(
     """Scan one tenant's detections: a catalog table, or parquet under ``root``."""
     name = table_name(org, overrides)
     if root is not None:
-        return spark.read.parquet(f"{root.rstrip('/')}/{name}")
-    return spark.table(f"{database}.{name}" if database else name)
+        return ensure_parallelism(spark.read.parquet(f"{root.rstrip('/')}/{name}"))
+    return ensure_parallelism(spark.table(f"{database}.{name}" if database else name))
 
 
 def normalise(raw: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracklens.sources.detections import ensure_parallelism
+
 DETECTIONS_SQL = """
 SELECT event_id,
   concat('trk-', CAST(user_id AS STRING)) AS track_identifier,
@@ -38,7 +40,7 @@ FROM events
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+    return ensure_parallelism(spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet"))
 
 
 def detections_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
