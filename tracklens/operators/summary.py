@@ -94,6 +94,16 @@ def zones_active(zones: DataFrame) -> DataFrame:
     return zones.agg(F.count_distinct("zone").alias("zones_active"))
 
 
+def zone_figures(zones: DataFrame, zone: str = FREIGHT_ZONE) -> DataFrame:
+    """A5 and A6 in one aggregation: struct(zones_active, freight_entries)."""
+    return zones.agg(
+        F.struct(
+            F.count_distinct("zone").alias("zones_active"),
+            F.count_if(F.col("zone") == zone).alias("freight_entries"),
+        ).alias("z")
+    )
+
+
 def freight_entries(zones: DataFrame, zone: str = FREIGHT_ZONE) -> DataFrame:
     """A6: tracks that ever hit ``zone`` (a NULL track id counts as one)."""
     return zones.where(F.col("zone") == zone).agg(F.count(F.lit(1)).alias("freight_entries"))

@@ -41,8 +41,7 @@ def summary(
     """
     hours = float(period.hours())
     agg = rollup.agg(*S.totals_aggs(), *S.hour_aggs(), *S.direction_aggs(), *S.direction4_aggs())
-    n_zones = S.zones_active(zones).scalar()
-    freight = S.freight_entries(zones, zone).scalar()
+    zf = S.zone_figures(zones, zone).scalar()
     total = F.col("total_detections")
     row = agg.select(
         total,
@@ -52,9 +51,9 @@ def summary(
         S.composition_expr(total, F.col("vehicle_count")).alias("vehicle_pct"),
         *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in SPEED_FIELDS],
         F.bround(total / F.lit(hours), 0).cast("long").alias("flow_rate_per_hour"),
-        freight.alias("freight_entries"),
+        zf.getField("freight_entries").alias("freight_entries"),
         S.peak_hour_expr().alias("peak_hour"),
-        n_zones.alias("zones_active"),
+        zf.getField("zones_active").alias("zones_active"),
         *[F.col(f"dir_{d}").cast("long").alias(f"dir_{d}") for d in COMPASS_LABELS],
         *[
             F.col(f"dir4_{t}_{c}").cast("long").alias(f"dir4_{t}_{c}")

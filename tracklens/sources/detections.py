@@ -42,11 +42,13 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> Data
     one gzip file) would otherwise run every per-row parse of the report in
     a single task; it is round-robin repartitioned over the cores instead,
     which costs one shuffle of an input that is small by construction.
+    Rows are hashed on all their columns: deterministic on retry without
+    the local sort a round-robin repartition needs.
     """
     spark = df.sparkSession
     target = min_partitions or spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
+        return df.repartition(target, *[F.col(c) for c in df.columns])
     return df
 
 
