@@ -17,7 +17,9 @@ def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colum
     dp = F.radians(lat2 - lat1)
     dl = F.radians(lon2 - lon1)
     a = F.pow(F.sin(dp / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(dl / 2), 2)
-    return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+    # clamp rounding overshoot; ``least`` would turn a NULL into 1.0
+    a = F.when(a > 1.0, F.lit(1.0)).otherwise(a)
+    return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.sqrt(a))
 
 
 def mercator_xy(lon: Column, lat: Column, ref_lat: Column) -> tuple[Column, Column]:
