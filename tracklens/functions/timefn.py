@@ -21,9 +21,19 @@ def is_ntz(df: DataFrame, name: str) -> bool:
 
 
 def epoch_us(c: Column, ntz: bool) -> Column:
-    """Microseconds since 1970-01-01 UTC."""
+    """Microseconds since 1970-01-01 UTC.
+
+    A TIMESTAMP_NTZ value is read as UTC wall-clock time from its date and
+    time fields, so the session time zone (and its DST rules) never enters.
+    """
     if ntz:
-        return F.timestamp_diff("MICROSECOND", F.expr(_NTZ_EPOCH), c)
+        seconds = F.extract(F.lit("SECOND"), c)  # decimal(8,6): seconds with micros
+        return (
+            F.unix_date(F.to_date(c)).cast("long") * F.lit(86_400_000_000)
+            + F.hour(c).cast("long") * F.lit(3_600_000_000)
+            + F.minute(c).cast("long") * F.lit(60_000_000)
+            + (seconds * F.lit(1_000_000)).cast("long")
+        )
     return F.unix_micros(c)
 
 

@@ -48,38 +48,40 @@ def with_previous(
     df: DataFrame, chunk: Column, values: list[str], key: str = TRACK
 ) -> DataFrame:
     """Add ``prev_<v>`` (the value of the previous row of the same key in
-    time order) and ``prev_exists``, processing one time chunk per window.
+    time order), processing one time chunk per window partition.
 
-    ``chunk`` must be non-decreasing in time within a key.
+    Within a chunk ``lag`` gives the previous row.  The first row of a
+    chunk takes the last row of the nearest earlier chunk: those last rows
+    (one per key and chunk) come from the same windowed frame, so its
+    shuffle is reused, and a second, tiny window over chunks carries them
+    forward.  ``chunk`` must be non-decreasing in time within a key.
     """
     d = df.withColumn("_chunk", chunk)
     w = Window.partitionBy(key, "_chunk").orderBy(*ORDER)
     inner = d.select(
         "*",
         F.row_number().over(w).alias("_rn"),
+        F.lead(F.lit(1)).over(w).isNull().alias("_is_last"),
         *[F.lag(v).over(w).alias(f"prev_{v}") for v in values],
     )
-    last = d.groupBy(key, "_chunk").agg(
-        F.max_by(F.struct(*values), F.struct(*ORDER)).alias("_last")
+    last = inner.where(F.col("_is_last")).select(
+        F.col(key).alias("_ck"), F.col("_chunk").alias("_cc"), F.struct(*values).alias("_last")
     )
     carry = last.select(
-        F.col(key).alias("_ck"),
-        F.col("_chunk").alias("_cc"),
-        F.lag("_last").over(Window.partitionBy(key).orderBy("_chunk")).alias("_carry"),
+        "_ck", "_cc", F.lag("_last").over(Window.partitionBy("_ck").orderBy("_cc")).alias("_carry")
     )
     joined = inner.join(
         carry, inner[key].eqNullSafe(carry["_ck"]) & (inner["_chunk"] == carry["_cc"]), "left"
     )
     first = F.col("_rn") == 1
-    out = joined.select(
-        *[c for c in inner.columns if c not in {f"prev_{v}" for v in values}],
+    keep = [c for c in inner.columns if c not in {f"prev_{v}" for v in values} and c != "_is_last"]
+    return joined.select(
+        *keep,
         *[
             F.when(first, F.col("_carry").getField(v)).otherwise(F.col(f"prev_{v}")).alias(f"prev_{v}")
             for v in values
         ],
-        (~first | F.col("_carry").isNotNull()).alias("prev_exists"),
     )
-    return out.drop("_ck", "_cc", "_carry")
 
 
 def step_distance(det: DataFrame, chunk_ms: int = DEFAULT_CHUNK_MS) -> DataFrame:
@@ -132,7 +134,7 @@ def thinned_points(det: DataFrame, thin: ThinParams) -> DataFrame:
         first_in_bucket
         & (F.lit(md == 0) | (dist >= F.lit(md)) | F.col("prev_lon").isNull())
     ) | (F.col("timestamp") == F.col("last_ts"))
-    return p.where(keep).drop("_bucket", "prev__bucket", "_rn", "_chunk", "prev_exists")
+    return p.where(keep).drop("_bucket", "prev__bucket", "_rn", "_chunk")
 
 
 def _nonzero_or_zero(c: Column, value: Column) -> Column:

@@ -34,7 +34,9 @@ def table_name(org: str, overrides: dict[str, str] | None = None) -> str:
     return (overrides if overrides is not None else TABLE_NAME_OVERRIDES).get(org, org)
 
 
-def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+def ensure_parallelism(
+    df: DataFrame, keys: list[str] | None = None, min_partitions: int | None = None
+) -> DataFrame:
     """Spread a scan that has fewer splits than the cluster has cores.
 
     A large table arrives in thousands of file splits and is returned
@@ -42,13 +44,15 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> Data
     one gzip file) would otherwise run every per-row parse of the report in
     a single task; it is round-robin repartitioned over the cores instead,
     which costs one shuffle of an input that is small by construction.
-    Rows are hashed on all their columns: deterministic on retry without
-    the local sort a round-robin repartition needs.
+    Rows are hashed on ``keys`` (a near-unique row key; all columns when
+    none is given): deterministic on retry without the local sort a
+    round-robin repartition needs, and only the key columns are forced
+    into the scan.
     """
     spark = df.sparkSession
     target = min_partitions or spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
-        return df.repartition(target, *[F.col(c) for c in df.columns])
+        return df.repartition(target, *[F.col(c) for c in (keys or df.columns)])
     return df
 
 
@@ -63,8 +67,10 @@ def tenant_detections(
     """Scan one tenant's detections: a catalog table, or parquet under ``root``."""
     name = table_name(org, overrides)
     if root is not None:
-        return ensure_parallelism(spark.read.parquet(f"{root.rstrip('/')}/{name}"))
-    return ensure_parallelism(spark.table(f"{database}.{name}" if database else name))
+        df = spark.read.parquet(f"{root.rstrip('/')}/{name}")
+    else:
+        df = spark.table(f"{database}.{name}" if database else name)
+    return ensure_parallelism(df, ["track_identifier", "timestamp"])
 
 
 def normalise(raw: DataFrame) -> DataFrame:

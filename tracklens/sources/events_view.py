@@ -40,7 +40,7 @@ FROM events
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ensure_parallelism(spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet"))
+    return ensure_parallelism(spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet"), ["event_id"])
 
 
 def detections_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
