@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,13 +47,17 @@ def ensure_parallelism(
     which costs one shuffle of an input that is small by construction.
     Rows are hashed on ``keys`` (a near-unique row key; all columns when
     none is given): deterministic on retry without the local sort a
-    round-robin repartition needs, and only the key columns are forced
-    into the scan.
+    round-robin repartition needs.  The spread input is persisted (memory,
+    spilling to disk): the cached relation is a leaf the optimizer cannot
+    push predicates through, so the parsing behind a pushed-down filter
+    runs in the spread tasks and not back in the single scan task, and
+    later queries over the same small source reuse it.
     """
     spark = df.sparkSession
     target = min_partitions or spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
-        return df.repartition(target, *[F.col(c) for c in (keys or df.columns)])
+        spread = df.repartition(target, *[F.col(c) for c in (keys or df.columns)])
+        return spread.persist(StorageLevel.MEMORY_AND_DISK)
     return df
 
 
