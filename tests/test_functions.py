@@ -151,3 +151,15 @@ def test_hex_cell_is_nearest_centre(spark):
             for i in range(i0 - 2, i0 + 3):
                 d = math.hypot(g.x - (i + off) * w, g.y - j * h)
                 assert d0 <= d + 1e-9
+
+
+def test_argmax_score_ties_and_nulls(spark):
+    from tracklens.functions.compass import CARDINAL_LABELS, argmax_score, score_count, score_label
+
+    df = spark.createDataFrame(
+        [(2, 0, 2, 0), (0, 0, 0, 1), (None, None, None, None), (0, 3, 3, 3)],
+        "k_North long, k_South long, k_East long, k_West long",
+    )
+    s = argmax_score({lab: f"k_{lab}" for lab in CARDINAL_LABELS}, CARDINAL_LABELS)
+    got = df.select(score_label(s, CARDINAL_LABELS).alias("l"), score_count(s, CARDINAL_LABELS).alias("n")).collect()
+    assert [(r.l, r.n) for r in got] == [("East", 2), ("West", 1), (None, None), ("East", 3)]

@@ -58,27 +58,36 @@ def _tie_order(labels: list[str | None]) -> list[str | None]:
     return named + ([None] if None in labels else [])
 
 
-def argmax_score(counts: dict[str | None, Column], labels: list[str | None]) -> Column:
+def argmax_score(counts: dict[str | None, str], labels: list[str | None]) -> Column:
     """Packed long ``count * B + (B - 1 - position)`` maximised over labels.
 
-    The largest score belongs to the largest count, ties going to the
-    label first in tie order (ascending, NULL last).  Being a plain long it
-    can be combined further with ``max``/``greatest`` inside hash
-    aggregates.  Decode with :func:`score_label` / :func:`score_count`.
+    ``counts`` maps each label (None = the NULL category) to a SQL
+    expression of its count.  The largest score belongs to the largest
+    count, ties going to the label first in tie order (ascending, NULL
+    last).  Being a plain long it can be combined further with
+    ``max``/``greatest`` inside hash aggregates.  Decode with
+    :func:`score_label` / :func:`score_count`.  Built as one SQL expression
+    (a single call into the JVM instead of one per operator).
     """
     order = _tie_order(labels)
     base = len(order)
-    return F.greatest(
-        *[counts[lab].cast("long") * F.lit(base) + F.lit(base - 1 - i) for i, lab in enumerate(order)]
-    )
+    terms = [f"CAST({counts[lab]} AS BIGINT) * {base} + {base - 1 - i}" for i, lab in enumerate(order)]
+    return F.expr(f"greatest({', '.join(terms)})")
+
+
+def _sql_str(lab: str | None) -> str:
+    return "CAST(NULL AS STRING)" if lab is None else "'" + lab.replace("'", "''") + "'"
 
 
 def score_label(score: Column, labels: list[str | None]) -> Column:
     order = _tie_order(labels)
     base = len(order)
-    pos = F.lit(base - 1) - F.pmod(score, F.lit(base))
-    names = F.array(*[F.lit(lab) if lab is not None else F.lit(None).cast("string") for lab in order])
-    return F.when(score.isNull(), F.lit(None).cast("string")).otherwise(F.element_at(names, (pos + 1).cast("int")))
+    names = ", ".join(_sql_str(lab) for lab in order)
+    pos = F.lit(base) - F.pmod(score, F.lit(base))
+    # explicit NULL guard: element_at with a NULL index must not pick an element
+    return F.when(score.isNull(), F.lit(None).cast("string")).otherwise(
+        F.element_at(F.expr(f"array({names})"), pos.cast("int"))
+    )
 
 
 def score_count(score: Column, labels: list[str | None]) -> Column:

@@ -78,7 +78,7 @@ def track_rollup(det: DataFrame) -> DataFrame:
     # best 4-way direction within one raw type, as a packed score
     best_card = F.when(
         F.col("h_rows") > 0,
-        argmax_score({lab: F.col(_cname("k", lab)) for lab in CARDINAL_LABELS}, CARDINAL_LABELS),
+        argmax_score({lab: _cname("k", lab) for lab in CARDINAL_LABELS}, CARDINAL_LABELS),
     )
     per_raw = per_raw.withColumn("best_card", best_card)
 
@@ -114,27 +114,31 @@ def track_rollup(det: DataFrame) -> DataFrame:
 
     def dominant(prefix: str) -> Column:
         return argmax_score(
-            {lab: F.coalesce(F.col(_cname(prefix, lab)), F.lit(0)) for lab in COMPASS_CATS}, COMPASS_CATS
+            {lab: f"coalesce({_cname(prefix, lab)}, 0)" for lab in COMPASS_CATS}, COMPASS_CATS
         )
 
-    return per_track.select(
+    # scores first (one expression each), decoded in the next projection
+    scored = per_track.select(
+        "*",
+        F.when(F.col("h_rows") > 0, dominant("c")).alias("_dom"),
+        *[F.when(F.col(f"{c}_h_rows") > 0, dominant(f"{c}_c")).alias(f"_{c}_dom") for c in ("ped", "veh")],
+    )
+    return scored.select(
         "track_identifier",
         "has_small",
         "has_large",
         *[f"sp_{m}_{c}" for c in ("all", "small", "large") for m in ("sum", "cnt", "max")],
         "hour_mask",
         (F.col("h_rows") > 0).alias("has_heading"),
-        F.when(F.col("h_rows") > 0, score_label(dominant("c"), COMPASS_CATS)).alias("dom_compass"),
-        F.when(F.col("h_rows") > 0, score_count(dominant("c"), COMPASS_CATS)).alias("dom_count"),
+        score_label(F.col("_dom"), COMPASS_CATS).alias("dom_compass"),
+        score_count(F.col("_dom"), COMPASS_CATS).alias("dom_count"),
         score_label(F.col("ped_card"), CARDINAL_LABELS).alias("ped_card"),
         score_label(F.col("veh_card"), CARDINAL_LABELS).alias("veh_card"),
         *[
             x
             for cls in ("ped", "veh")
             for x in (
-                F.when(F.col(f"{cls}_h_rows") > 0, score_label(dominant(f"{cls}_c"), COMPASS_CATS)).alias(
-                    f"{cls}_rose_dir"
-                ),
+                score_label(F.col(f"_{cls}_dom"), COMPASS_CATS).alias(f"{cls}_rose_dir"),
                 F.try_divide(F.col(f"{cls}_hsp_sum"), F.col(f"{cls}_hsp_cnt")).alias(f"{cls}_rose_speed"),
                 F.coalesce(F.col(f"{cls}_h_rows") > 0, F.lit(False)).alias(f"{cls}_has_heading"),
             )

@@ -45,8 +45,8 @@ def totals_aggs() -> list[Column]:
 def hour_aggs() -> list[Column]:
     """Distinct (non-NULL) tracks seen in each UTC hour of day, and the hours with rows."""
     return [
-        F.sum(
-            F.when(F.col(TRACK_NAME).isNotNull(), F.shiftright(F.col("hour_mask"), h).bitwiseAND(1)).otherwise(0)
+        F.expr(
+            f"sum(CASE WHEN {TRACK_NAME} IS NOT NULL THEN shiftright(hour_mask, {h}) & 1 ELSE 0 END)"
         ).alias(f"h{h:02d}")
         for h in range(24)
     ] + [F.bit_or("hour_mask").alias("hours_present")]
@@ -54,23 +54,19 @@ def hour_aggs() -> list[Column]:
 
 def _best_hour() -> Column:
     """(tracks, present, -hour) maximum: most tracks, then an hour with rows, then lowest."""
-    return F.array_max(
-        F.array(
-            *[
-                F.struct(
-                    F.col(f"h{h:02d}").cast("long").alias("n"),
-                    F.shiftright(F.col("hours_present"), h).bitwiseAND(1).alias("present"),
-                    F.lit(-h).alias("neg"),
-                )
-                for h in range(24)
-            ]
-        )
+    items = ", ".join(
+        f"named_struct('n', CAST(h{h:02d} AS BIGINT), 'present', shiftright(hours_present, {h}) & 1, 'neg', {-h})"
+        for h in range(24)
     )
+    return F.expr(f"array_max(array({items}))")
+
 
+def peak_hour_expr(best: Column | None = None) -> Column:
+    """Hour with the most tracks (lowest hour on ties) as "HH:00"; "00:00" if no rows.
 
-def peak_hour_expr() -> Column:
-    """Hour with the most tracks (lowest hour on ties) as "HH:00"; "00:00" if no rows."""
-    best = _best_hour()
+    ``best`` is the ``_best_hour()`` struct when already projected.
+    """
+    best = _best_hour() if best is None else best
     hour = F.when(best["present"] > 0, -best["neg"]).otherwise(F.lit(0))
     return F.concat(F.lpad(hour.cast("string"), 2, "0"), F.lit(":00"))
 
@@ -114,10 +110,10 @@ def summary_totals(rollup: DataFrame) -> DataFrame:
 
 
 def peak_hour(rollup: DataFrame) -> DataFrame:
-    hours = rollup.agg(*hour_aggs())
-    best = _best_hour()
+    hours = rollup.agg(*hour_aggs()).select(_best_hour().alias("_best"))
+    best = F.col("_best")
     return hours.select(
-        peak_hour_expr().alias("peak_hour"),
+        peak_hour_expr(best).alias("peak_hour"),
         F.when(best["present"] > 0, best["n"]).otherwise(F.lit(0)).cast("long").alias("tracks"),
     )
 

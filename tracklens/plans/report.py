@@ -41,6 +41,7 @@ def summary(
     """
     hours = float(period.hours())
     agg = rollup.agg(*S.totals_aggs(), *S.hour_aggs(), *S.direction_aggs(), *S.direction4_aggs())
+    agg = agg.select("*", S._best_hour().alias("_best"))
     zf = S.zone_figures(zones, zone).scalar()
     total = F.col("total_detections")
     row = agg.select(
@@ -52,7 +53,7 @@ def summary(
         *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in SPEED_FIELDS],
         F.bround(total / F.lit(hours), 0).cast("long").alias("flow_rate_per_hour"),
         zf.getField("freight_entries").alias("freight_entries"),
-        S.peak_hour_expr().alias("peak_hour"),
+        S.peak_hour_expr(F.col("_best")).alias("peak_hour"),
         zf.getField("zones_active").alias("zones_active"),
         *[F.col(f"dir_{d}").cast("long").alias(f"dir_{d}") for d in COMPASS_LABELS],
         *[
