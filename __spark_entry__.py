@@ -63,6 +63,14 @@ def _map_tracks(spark: SparkSession, d: str) -> DataFrame:
     return TR.map_tracks(_det(spark, d), THIN)
 
 
+def _map_bounds(spark: SparkSession, d: str) -> DataFrame:
+    return TR.map_time_bounds(_det(spark, d), THIN)
+
+
+def _t0(spark: SparkSession, d: str):
+    return _map_bounds(spark, d).select("time_min_ms").scalar()
+
+
 def _summary(spark: SparkSession, d: str) -> DataFrame:
     det = _det(spark, d)
     return RP.summary(track_rollup(det), track_zones(det), REPORT, ORG, spark)
@@ -124,10 +132,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "first_tracks": lambda spark, d: TR.first_tracks(_det(spark, d), THIN.max_tracks),
         "step_distance": lambda spark, d: TR.step_distance(_det(spark, d)),
         "map_tracks": _map_tracks,
-        "track_time_range": lambda spark, d: TR.track_time_range(_map_tracks(spark, d)),
-        "trips": lambda spark, d: TR.trips(_map_tracks(spark, d)),
-        "trip_heads": lambda spark, d: TR.trip_heads(_map_tracks(spark, d), HEAD_STEP_MS),
-        "trip_trail": lambda spark, d: TR.trip_trail(_map_tracks(spark, d), TRAIL_STEP_MS, TRAIL_MS),
+        "track_time_range": _map_bounds,
+        "trips": lambda spark, d: TR.trips(_map_tracks(spark, d), _t0(spark, d)),
+        "trip_heads": lambda spark, d: TR.trip_heads(_map_tracks(spark, d), HEAD_STEP_MS, _t0(spark, d)),
+        "trip_trail": lambda spark, d: TR.trip_trail(
+            _map_tracks(spark, d),
+            TRAIL_STEP_MS,
+            TRAIL_MS,
+            _t0(spark, d),
+            _map_bounds(spark, d).select("time_range_ms").scalar(),
+        ),
         "timeline_by_type": lambda spark, d: RU.type_filter(timeline(_det(spark, d)), "Pedestrian"),
         "rose_bins": lambda spark, d: RU.rose_bins(_rose_records(spark, d), "All"),
         "zone_rollup": lambda spark, d: RU.zone_rollup(_zone_records(spark, d), "All"),
@@ -142,7 +156,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "bounds": lambda spark, d: RU.bounds(_map_cells(spark, d)),
         "hex_density": lambda spark, d: RU.hex_density(_map_cells(spark, d), HEX_RADIUS_M),
         "histogram_columns": lambda spark, d: RU.histogram_columns(
-            timeline(_det(spark, d)), TR.track_time_range(_map_tracks(spark, d)), HISTOGRAM_COLUMNS
+            timeline(_det(spark, d)), _map_bounds(spark, d), HISTOGRAM_COLUMNS
         ),
         "zone_features": lambda spark, d: RP.zone_features(_features(spark, d)),
         "feature_type_counts": lambda spark, d: RP.feature_type_counts(_features(spark, d)),

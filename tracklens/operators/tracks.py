@@ -165,6 +165,24 @@ def map_tracks(det: DataFrame, thin: ThinParams) -> DataFrame:
     )
 
 
+def map_time_bounds(det: DataFrame, thin: ThinParams) -> DataFrame:
+    """Time origin, end and span (ms) of the map points, from the track list.
+
+    Thinning always keeps a track's first raw point (nothing before it)
+    and its last one, so the points' time range equals the range of the
+    selected tracks' first/last detections — a one-row aggregate of the
+    capped track list, whose shuffle the thinning plan already has.
+    """
+    sel = first_tracks(det, thin.max_tracks).where(F.col(TRACK).isNotNull())
+    ntz = is_ntz(det, "timestamp")
+    return sel.agg(
+        F.min(epoch_ms(F.col("first_ts"), ntz)).alias("time_min_ms"),
+        F.max(epoch_ms(F.col("last_ts"), ntz)).alias("time_max_ms"),
+    ).select(
+        "time_min_ms", "time_max_ms", (F.col("time_max_ms") - F.col("time_min_ms")).alias("time_range_ms")
+    )
+
+
 def _offset_ms(points: DataFrame, time_min_ms: Column | None) -> tuple[DataFrame, Column]:
     ntz = is_ntz(points, "timestamp")
     p = points.withColumn("_ms", epoch_ms(F.col("timestamp"), ntz))
@@ -275,11 +293,15 @@ def trip_trail(
     step_ms: int = PLAYBACK_STEP_MS,
     trail_ms: int = TRAIL_LENGTH_MS,
     time_min_ms: Column | None = None,
+    time_range_ms: Column | None = None,
 ) -> DataFrame:
-    """Points drawn as the fading trail at each frame: T - trail <= t <= T."""
+    """Points drawn as the fading trail at each frame: T - trail <= t <= T.
+
+    Frames run from 0 to the time range (the playback scrubber's span).
+    """
     p, t0 = _offset_ms(points, time_min_ms)
     t = F.col("_ms") - t0
-    t_max = p.select(F.max("_ms")).scalar() - t0
+    t_max = time_range_ms if time_range_ms is not None else p.select(F.max("_ms")).scalar() - t0
     step = F.lit(int(step_ms))
     lo = F.ceil(t / step).cast("long") * step
     hi = F.floor(F.least(t + F.lit(int(trail_ms)), t_max) / step).cast("long") * step
