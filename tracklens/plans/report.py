@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from tracklens.operators.zonestats import zone_stats
 from tracklens.params import FREIGHT_ZONE, Period, ThinParams, validate_slug
 from tracklens.plans import sinks
 from tracklens.sources.detections import normalise
+from tracklens.session import checkpoint_dir
 from tracklens.sources.orgs import org_registry, with_org_name
 
 SPEED_FIELDS = ["avg_speed", "top_speed", "ped_avg_speed", "ped_top_speed", "veh_avg_speed", "veh_top_speed"]
@@ -177,6 +179,18 @@ def snapshot_path(root: str, org: str, period: Period) -> str:
     return f"{root.rstrip('/')}/org={org}/period={period.slug()}"
 
 
+def sink_order() -> dict[str, list]:
+    """Sort order of each published result (as the report pages receive them)."""
+    return {
+        "timeline": ["bin_start", "object_type"],
+        "speed-profile": [F.col("avg_speed").desc_nulls_last(), "track_id"],
+        "zone-stats": [F.col("detections").desc(), "zone", "object_type"],
+        "heatmap": [F.col("point_count").desc(), "lon", "lat", "device_id"],
+        "map-heatmap": [F.col("point_count").desc(), "lon", "lat", "device_id"],
+        "map-tracks": ["track_id", "timestamp"],
+    }
+
+
 def build_report(
     spark: SparkSession,
     raw: DataFrame,
@@ -190,36 +204,47 @@ def build_report(
 ) -> dict[str, str]:
     """Write every report result for one tenant and period.
 
-    The period-filtered, typed scan is persisted once (memory and disk, so
-    a lost executor recomputes only its partitions from the source) and
-    feeds all results; the per-track roll-up is shared by the summary and
-    the rose.  The snapshot folder must not exist: a published period is
-    never overwritten.
+    The typed, period-filtered scan is written once as Parquet under the
+    cluster's shared checkpoint folder and read back, so every result reads
+    a pruned columnar table and a lost executor never forces a re-read of
+    the raw source; the per-track roll-up (one row per track) is
+    checkpointed there too and feeds the summary and the rose.  The
+    snapshot folder must not exist: a published period is never
+    overwritten.
     """
     base = snapshot_path(out_root, org, period)
-    det = period_filter(normalise(raw), period).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        roll = track_rollup(det).persist(StorageLevel.MEMORY_AND_DISK)
-        cells = heatmap(det, heat_precision, heat_min_points)
-        results = {
-            "summary": summary_record(summary(roll, track_zones(det), period, org, spark)),
-            "timeline": sinks.timeline_records(timeline(det)),
-            "speed-profile": sinks.speed_profile_records(speed_profile(det)),
-            "zone-stats": sinks.zone_stats_records(zone_stats(det)),
-            "direction-rose": sinks.rose_records(direction_rose(roll)),
-            "heatmap": sinks.heatmap_records(cells),
-            "map-heatmap": sinks.heatmap_records(cells),
-            "map-tracks": sinks.map_track_records(map_tracks(det, thin)),
-        }
-        paths = {}
-        for name, df in results.items():
-            path = f"{base}/{name}"
-            df.write.mode("errorifexists").format(fmt).save(path)
-            paths[name] = path
-        roll.unpersist()
-        return paths
-    finally:
-        det.unpersist()
+    if _exists(spark, base):
+        raise FileExistsError(f"snapshot already published: {base}")
+    stage = f"{checkpoint_dir(spark).rstrip('/')}/tracklens-stage/{uuid.uuid4().hex}"
+    period_filter(normalise(raw), period).write.parquet(f"{stage}/detections")
+    det = spark.read.parquet(f"{stage}/detections")
+    roll = track_rollup(det).checkpoint()
+    cells = heatmap(det, heat_precision, heat_min_points)
+    results = {
+        "summary": summary_record(summary(roll, track_zones(det), period, org, spark)),
+        "timeline": sinks.timeline_records(timeline(det)),
+        "speed-profile": sinks.speed_profile_records(speed_profile(det)),
+        "zone-stats": sinks.zone_stats_records(zone_stats(det)),
+        "direction-rose": sinks.rose_records(direction_rose(roll)),
+        "heatmap": sinks.heatmap_records(cells),
+        "map-heatmap": sinks.heatmap_records(cells),
+        "map-tracks": sinks.map_track_records(map_tracks(det, thin)),
+    }
+    paths = {}
+    order = sink_order()
+    for name, df in results.items():
+        if name in order:
+            df = df.orderBy(*order[name])
+        path = f"{base}/{name}"
+        df.write.mode("errorifexists").format(fmt).save(path)
+        paths[name] = path
+    return paths
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def read_result(spark: SparkSession, path: str, schema, fmt: str = "json") -> DataFrame:
