@@ -138,3 +138,18 @@ def test_trip_trail(spark):
     for r in trail:
         frames.setdefault(r.frame_ms, []).append(r.t)
     assert frames == {0: [0], 5000: [0], 10000: [0, 10000], 15000: [10000], 20000: [10000, 20000]}
+
+
+def test_null_track_and_empty_key_cross_chunks(spark):
+    rows = [
+        _pt(None, "10:59:59", 50.80),
+        _pt(None, "11:00:01", 50.81),
+        _pt("", "10:59:58", 50.70),
+        _pt("", "11:00:02", 50.71),
+    ]
+    det = det_df(spark, rows)
+    a = {(r.track_identifier, str(r.timestamp)): r.distance_m for r in step_distance(det, chunk_ms=3_600_000).collect()}
+    b = {(r.track_identifier, str(r.timestamp)): r.distance_m for r in step_distance(det, chunk_ms=10**13).collect()}
+    assert a == b
+    assert a[(None, "2024-01-08 11:00:01")] == pytest.approx(1112.0, rel=0.01)
+    assert a[("", "2024-01-08 11:00:02")] == pytest.approx(1112.0, rel=0.01)

@@ -52,29 +52,36 @@ def with_previous(
 
     Within a chunk ``lag`` gives the previous row.  The first row of a
     chunk takes the last row of the nearest earlier chunk: those last rows
-    (one per key and chunk) come from the same windowed frame, so its
-    shuffle is reused, and a second, tiny window over chunks carries them
-    forward.  ``chunk`` must be non-decreasing in time within a key.
+    (one per key and chunk) come from the same windowed frame, and a
+    second, tiny window over chunks carries them forward.  Windows and the
+    join use the same keys — (key with NULL as '', key is NULL, chunk) —
+    so a NULL key is one group (as in SQL) and, when the join is a
+    sort-merge join, the big side keeps the window's partitioning instead
+    of being shuffled again.  ``chunk`` must be non-decreasing in time
+    within a key.
     """
-    d = df.withColumn("_chunk", chunk)
-    w = Window.partitionBy(key, "_chunk").orderBy(*ORDER)
+    d = df.select(
+        "*",
+        F.coalesce(F.col(key), F.lit("")).alias("_kk"),
+        F.col(key).isNull().alias("_kn"),
+        chunk.alias("_chunk"),
+    )
+    keys = ["_kk", "_kn", "_chunk"]
+    w = Window.partitionBy(*keys).orderBy(*ORDER)
     inner = d.select(
         "*",
         F.row_number().over(w).alias("_rn"),
         F.lead(F.lit(1)).over(w).isNull().alias("_is_last"),
         *[F.lag(v).over(w).alias(f"prev_{v}") for v in values],
     )
-    last = inner.where(F.col("_is_last")).select(
-        F.col(key).alias("_ck"), F.col("_chunk").alias("_cc"), F.struct(*values).alias("_last")
-    )
+    last = inner.where(F.col("_is_last")).select(*keys, F.struct(*values).alias("_last"))
     carry = last.select(
-        "_ck", "_cc", F.lag("_last").over(Window.partitionBy("_ck").orderBy("_cc")).alias("_carry")
-    )
-    joined = inner.join(
-        carry, inner[key].eqNullSafe(carry["_ck"]) & (inner["_chunk"] == carry["_cc"]), "left"
+        *keys, F.lag("_last").over(Window.partitionBy("_kk", "_kn").orderBy("_chunk")).alias("_carry")
     )
+    joined = inner.join(carry, keys, "left")
     first = F.col("_rn") == 1
-    keep = [c for c in inner.columns if c not in {f"prev_{v}" for v in values} and c != "_is_last"]
+    drop = {f"prev_{v}" for v in values} | {"_is_last", "_kk", "_kn"}
+    keep = [c for c in inner.columns if c not in drop]
     return joined.select(
         *keep,
         *[
