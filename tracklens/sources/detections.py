@@ -53,9 +53,12 @@ def ensure_parallelism(
     runs in the spread tasks and not back in the single scan task, and
     later queries over the same small source reuse it.
     """
-    spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a Spark Connect session)
+        return df
+    if splits < target:
         spread = df.repartition(target, *[F.col(c) for c in (keys or df.columns)])
         return spread.persist(StorageLevel.MEMORY_AND_DISK)
     return df
