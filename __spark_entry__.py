@@ -11,6 +11,7 @@ import sys
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -96,6 +97,13 @@ def _features(spark: SparkSession, d: str) -> DataFrame:
     return observed_zone_features(_det(spark, d))
 
 
+def _trip_trail(spark: SparkSession, d: str) -> DataFrame:
+    tb = _map_bounds(spark, d).select(F.struct("time_min_ms", "time_range_ms")).scalar()
+    return TR.trip_trail(
+        _map_tracks(spark, d), TRAIL_STEP_MS, TRAIL_MS, tb.getField("time_min_ms"), tb.getField("time_range_ms")
+    )
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: the five-minute activity timeline on sf0.001."""
     return timeline(_det(spark, SMOKE_DIR))
@@ -135,13 +143,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "track_time_range": _map_bounds,
         "trips": lambda spark, d: TR.trips(_map_tracks(spark, d), _t0(spark, d)),
         "trip_heads": lambda spark, d: TR.trip_heads(_map_tracks(spark, d), HEAD_STEP_MS, _t0(spark, d)),
-        "trip_trail": lambda spark, d: TR.trip_trail(
-            _map_tracks(spark, d),
-            TRAIL_STEP_MS,
-            TRAIL_MS,
-            _t0(spark, d),
-            _map_bounds(spark, d).select("time_range_ms").scalar(),
-        ),
+        "trip_trail": _trip_trail,
         "timeline_by_type": lambda spark, d: RU.type_filter(timeline(_det(spark, d)), "Pedestrian"),
         "rose_bins": lambda spark, d: RU.rose_bins(_rose_records(spark, d), "All"),
         "zone_rollup": lambda spark, d: RU.zone_rollup(_zone_records(spark, d), "All"),

@@ -22,7 +22,7 @@ from tracklens.params import FREIGHT_ZONE, Period, ThinParams, validate_slug
 from tracklens.plans import sinks
 from tracklens.sources.detections import normalise
 from tracklens.session import checkpoint_dir
-from tracklens.sources.orgs import org_registry, with_org_name
+from tracklens.sources.orgs import org_name_literal
 
 SPEED_FIELDS = ["avg_speed", "top_speed", "ped_avg_speed", "ped_top_speed", "veh_avg_speed", "veh_top_speed"]
 
@@ -70,10 +70,11 @@ def summary(
         F.lit(period.start).alias("period_start"),
         F.lit(period.end).alias("period_end"),
         F.lit(org).alias("org_subdomain"),
+        # the org is a parameter, so its display name is a literal lookup
+        # (a join on a constant key would be a nested-loop join)
+        org_name_literal(org).alias("org_name"),
     )
-    if spark is None:
-        spark = rollup.sparkSession
-    return with_org_name(row, "org_subdomain", org_registry(spark))
+    return row
 
 
 def summary_record(flat: DataFrame) -> DataFrame:

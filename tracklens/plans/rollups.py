@@ -228,14 +228,21 @@ def hex_density(
 
 
 def histogram_columns(
-    timeline: DataFrame, time_range: DataFrame, n_columns: int, choice: str = "All"
+    timeline: DataFrame, time_range: DataFrame | tuple[int, int], n_columns: int, choice: str = "All"
 ) -> DataFrame:
     """Timeline counts re-binned into ``n_columns`` equal columns over the
     map's time span; bins outside the span (before its first point) drop.
-    Only non-empty columns are returned."""
+    Only non-empty columns are returned.
+
+    ``time_range`` is the one-row ``(time_min_ms, time_max_ms,
+    time_range_ms)`` frame, whose two numbers are fetched once (one small
+    job) and used as literals, or those two numbers directly.
+    """
     tl = type_filter(timeline, choice)
-    t_min = time_range.select("time_min_ms").scalar()
-    t_rng = time_range.select("time_range_ms").scalar()
+    if isinstance(time_range, DataFrame):
+        row = time_range.select("time_min_ms", "time_range_ms").first()
+        time_range = (row[0], row[1]) if row is not None else (None, None)
+    t_min, t_rng = F.lit(time_range[0]).cast("long"), F.lit(time_range[1]).cast("long")
     ms = epoch_ms(F.col("bin_start"), is_ntz(timeline, "bin_start"))
     dur = t_rng.cast("double") / F.lit(float(n_columns))
     idx = F.floor((ms - t_min).cast("double") / dur).cast("long")
