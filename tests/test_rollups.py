@@ -13,7 +13,6 @@ from tracklens.plans.rollups import (
     histogram_columns,
     hex_density,
     raw_search,
-    raw_table,
     rose_bins,
     speed_box_stats,
     speed_whiskers,

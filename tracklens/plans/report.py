@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklens.functions.compass import CARDINAL_LABELS, COMPASS_LABELS
-from tracklens.functions.timefn import is_ntz
 from tracklens.operators import summary as S
 from tracklens.operators.directions import direction_rose
 from tracklens.operators.filters import period_filter
@@ -263,5 +262,4 @@ __all__ = [
     "snapshot_path",
     "build_report",
     "read_result",
-    "is_ntz",
 ]
