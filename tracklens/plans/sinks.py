@@ -56,3 +56,30 @@ def map_track_records(points: DataFrame) -> DataFrame:
         "heading",
         "zones_hit",
     )
+
+
+def result_schemas() -> dict:
+    """Declared schemas of the published JSON results (read without inference)."""
+    from pyspark.sql import types as T
+
+    S, L, D = T.StringType(), T.LongType(), T.DoubleType()
+
+    def st(*fields):
+        return T.StructType([T.StructField(n, t) for n, t in fields])
+
+    out = {
+        "timeline": st(("bin_start", S), ("object_type", S), ("count", L)),
+        "speed-profile": st(("track_id", S), ("object_type", S), ("avg_speed", D)),
+        "zone-stats": st(("zone", S), ("object_type", S), ("detections", L), ("avg_speed", D), ("speed_sum", D)),
+        "direction-rose": st(("direction", S), ("object_type", S), ("count", L), ("speed_sum", D), ("avg_speed", D)),
+        "heatmap": st(
+            ("lon", D), ("lat", D), ("object_type", S), ("device_id", S), ("point_count", L),
+            ("avg_speed", D), ("max_speed", D), ("first_seen", S), ("last_seen", S),
+        ),
+        "map-tracks": st(
+            ("track_id", S), ("object_type", S), ("device_id", S), ("longitude", D), ("latitude", D),
+            ("timestamp", S), ("speed", D), ("heading", D), ("zones_hit", T.ArrayType(S)),
+        ),
+    }
+    out["map-heatmap"] = out["heatmap"]
+    return out
