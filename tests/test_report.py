@@ -128,3 +128,23 @@ def test_date_partition_pruning(spark):
     assert "PartitionFilters: [isnotnull(event_date" in plan
     n = f.count()
     assert n == raw.where("timestamp BETWEEN '2024-01-08 00:00:00' AND '2024-01-14 23:59:59'").count()
+
+
+def test_cli_builds_a_report(spark, monkeypatch):
+    from tracklens import cli
+
+    src = tempfile.mkdtemp(prefix="tracklens-cli-src-")
+    detections_from_events(spark, SF_SMALL).write.parquet(os.path.join(src, "acme"))
+    out = tempfile.mkdtemp(prefix="tracklens-cli-out-")
+    monkeypatch.setenv("PERIOD_START", "2024-01-08T00:00:00")
+    monkeypatch.setenv("PERIOD_END", "2024-01-08T23:59:59")
+    paths = cli.main(
+        ["--org_subdomain", "acme", "--source", src, "--out", out, "--thin-interval-ms", "60000"], spark=spark
+    )
+    assert paths["summary"].endswith("org=acme/period=2024-01-08_to_2024-01-08/summary")
+    summ = spark.read.json(paths["summary"]).collect()[0]
+    assert summ.org_name == "acme" and summ.period.start == "2024-01-08T00:00:00"
+    with pytest.raises(SystemExit):
+        cli.main(["--org_subdomain", "acme", "--out", out], spark=spark)
+    with pytest.raises(ValueError):
+        cli.main(["--org_subdomain", "Bad!", "--source", src, "--out", out], spark=spark)
