@@ -22,6 +22,7 @@ from tracklens.functions.geo import haversine_m
 from tracklens.functions.timefn import epoch_ms, epoch_us, is_ntz
 from tracklens.functions.zones import zones_loader
 from tracklens.params import PLAYBACK_STEP_MS, TRAIL_LENGTH_MS, ThinParams
+from tracklens.session import stage_table
 
 TRACK = "track_identifier"
 ORDER = ["timestamp", "event_id"]
@@ -106,19 +107,27 @@ def step_distance(det: DataFrame, chunk_ms: int = DEFAULT_CHUNK_MS) -> DataFrame
     return p.select("event_id", TRACK, "timestamp", round_half_up(dist, 3).alias("distance_m"))
 
 
-def thinned_points(det: DataFrame, thin: ThinParams) -> DataFrame:
+def thinned_points(det: DataFrame, thin: ThinParams, stage: bool = True) -> DataFrame:
     """Raw rows of the selected tracks that survive thinning.
 
     A row is kept when it is the first of its time bucket (``interval_ms``
     from the track's first detection; 0 = one bucket per millisecond) and
     lies at least ``min_distance_m`` from the previous *raw* point (or has
     none), or when it is at the track's last timestamp.
+
+    With ``stage`` the selected tracks' rows (a small slice of the source
+    when ``max_tracks`` is a few hundred) are written once to the shared
+    checkpoint folder, so the source is scanned twice in all (track list,
+    points) and both window branches read the staged slice; without it
+    each branch re-derives the slice from the source.
     """
     ntz = is_ntz(det, "timestamp")
     sel = first_tracks(det, thin.max_tracks)
     if thin.max_tracks <= BROADCAST_TRACK_LIMIT:
         sel = F.broadcast(sel)
     pts = det.join(sel, TRACK)
+    if stage:
+        pts = stage_table(pts, "selected_points")
     us = epoch_us(F.col("timestamp"), ntz)
     off_ms = F.floor((us - epoch_us(F.col("first_ts"), ntz)) / F.lit(1000)).cast("long")
     interval = int(thin.interval_ms)
@@ -149,14 +158,14 @@ def _nonzero_or_zero(c: Column, value: Column) -> Column:
     return F.when(c.isNull() | (c == 0), F.lit(0.0)).otherwise(value)
 
 
-def map_tracks(det: DataFrame, thin: ThinParams) -> DataFrame:
+def map_tracks(det: DataFrame, thin: ThinParams, stage: bool = True) -> DataFrame:
     """Thinned track points as the map consumes them.
 
     Coordinates to 5 decimals and heading to 1 (half-even), speed in mph
     to 1 decimal; missing or zero values become 0; zones parsed with the
     loader rule; raw types mapped only when known.
     """
-    t = thinned_points(det, thin)
+    t = thinned_points(det, thin, stage)
     speed = round_half_up(to_mph(F.col("speed_ms")), 1)
     return t.select(
         "event_id",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +18,7 @@ from tracklens.operators.zonestats import zone_stats
 from tracklens.params import FREIGHT_ZONE, Period, ThinParams, validate_slug
 from tracklens.plans import sinks
 from tracklens.sources.detections import normalise
-from tracklens.session import checkpoint_dir
+from tracklens.session import stage_table
 from tracklens.sources.orgs import org_name_literal
 
 SPEED_FIELDS = ["avg_speed", "top_speed", "ped_avg_speed", "ped_top_speed", "veh_avg_speed", "veh_top_speed"]
@@ -215,9 +213,7 @@ def build_report(
     base = snapshot_path(out_root, org, period)
     if _exists(spark, base):
         raise FileExistsError(f"snapshot already published: {base}")
-    stage = f"{checkpoint_dir(spark).rstrip('/')}/tracklens-stage/{uuid.uuid4().hex}"
-    period_filter(normalise(raw), period).write.parquet(f"{stage}/detections")
-    det = spark.read.parquet(f"{stage}/detections")
+    det = stage_table(period_filter(normalise(raw), period), "detections")
     roll = track_rollup(det).checkpoint()
     cells = heatmap(det, heat_precision, heat_min_points)
     results = {

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -41,3 +42,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set(CHECKPOINT_KEY, path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def stage_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet under the shared checkpoint folder and
+    return a reader of it.
+
+    Used where several plan branches need the same intermediate: they read
+    one pruned columnar table instead of recomputing it from the source,
+    and a lost executor re-reads the staged files rather than the source.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tracklens-stage/{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
