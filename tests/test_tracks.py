@@ -153,3 +153,11 @@ def test_null_track_and_empty_key_cross_chunks(spark):
     assert a == b
     assert a[(None, "2024-01-08 11:00:01")] == pytest.approx(1112.0, rel=0.01)
     assert a[("", "2024-01-08 11:00:02")] == pytest.approx(1112.0, rel=0.01)
+
+
+def test_staged_and_unstaged_thinning_agree(spark, small_det):
+    thin = ThinParams(15, 3_600_000, 10)
+    # repr: NaN headings compare unequal as floats
+    a = sorted(map(repr, map_tracks(small_det, thin, stage=True).collect()))
+    b = sorted(map(repr, map_tracks(small_det, thin, stage=False).collect()))
+    assert a == b and len(a) > 0

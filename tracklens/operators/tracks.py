@@ -107,7 +107,17 @@ def step_distance(det: DataFrame, chunk_ms: int = DEFAULT_CHUNK_MS) -> DataFrame
     return p.select("event_id", TRACK, "timestamp", round_half_up(dist, 3).alias("distance_m"))
 
 
-def thinned_points(det: DataFrame, thin: ThinParams, stage: bool = True) -> DataFrame:
+def _large_source(df: DataFrame, factor: int = 4) -> bool:
+    """True when the input has many more splits than the cluster has cores
+    (re-reading it costs real I/O); small inputs are cheaper to re-read
+    than to stage."""
+    try:
+        return df.rdd.getNumPartitions() > factor * df.sparkSession.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect): assume large
+        return True
+
+
+def thinned_points(det: DataFrame, thin: ThinParams, stage: bool | None = None) -> DataFrame:
     """Raw rows of the selected tracks that survive thinning.
 
     A row is kept when it is the first of its time bucket (``interval_ms``
@@ -119,13 +129,16 @@ def thinned_points(det: DataFrame, thin: ThinParams, stage: bool = True) -> Data
     when ``max_tracks`` is a few hundred) are written once to the shared
     checkpoint folder, so the source is scanned twice in all (track list,
     points) and both window branches read the staged slice; without it
-    each branch re-derives the slice from the source.
+    each branch re-derives the slice from the source.  ``None`` (default)
+    stages only large sources.
     """
     ntz = is_ntz(det, "timestamp")
     sel = first_tracks(det, thin.max_tracks)
     if thin.max_tracks <= BROADCAST_TRACK_LIMIT:
         sel = F.broadcast(sel)
     pts = det.join(sel, TRACK)
+    if stage is None:
+        stage = _large_source(det)
     if stage:
         pts = stage_table(pts, "selected_points")
     us = epoch_us(F.col("timestamp"), ntz)
@@ -158,7 +171,7 @@ def _nonzero_or_zero(c: Column, value: Column) -> Column:
     return F.when(c.isNull() | (c == 0), F.lit(0.0)).otherwise(value)
 
 
-def map_tracks(det: DataFrame, thin: ThinParams, stage: bool = True) -> DataFrame:
+def map_tracks(det: DataFrame, thin: ThinParams, stage: bool | None = None) -> DataFrame:
     """Thinned track points as the map consumes them.
 
     Coordinates to 5 decimals and heading to 1 (half-even), speed in mph
