@@ -22,7 +22,7 @@ from tracklens.operators import summary as S  # noqa: E402
 from tracklens.operators import tracks as TR  # noqa: E402
 from tracklens.operators import zonestats as Z  # noqa: E402
 from tracklens.operators.filters import period_filter  # noqa: E402
-from tracklens.operators.heatmap import heatmap, top_cells  # noqa: E402
+from tracklens.operators.heatmap import heatmap, top_cells, unplaced_detections  # noqa: E402
 from tracklens.operators.rollup import track_rollup, track_zones  # noqa: E402
 from tracklens.operators.speed import speed_profile  # noqa: E402
 from tracklens.operators.timeline import timeline  # noqa: E402
@@ -127,6 +127,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "heatmap": lambda spark, d: heatmap(_det(spark, d)),
         "map_heatmap": lambda spark, d: heatmap(_det(spark, d), MAP_PRECISION, MAP_MIN_POINTS),
         "top_cells": lambda spark, d: top_cells(heatmap(_det(spark, d)), TOP_CELLS),
+        "unplaced_detections": lambda spark, d: unplaced_detections(_det(spark, d)),
         "summary_totals": lambda spark, d: S.summary_totals(_rollup(spark, d)),
         "peak_hour": lambda spark, d: S.peak_hour(_rollup(spark, d)),
         "direction_counts": lambda spark, d: S.direction_counts(_rollup(spark, d)),
@@ -187,6 +188,7 @@ def oracle_sql() -> dict[str, str]:
         "heatmap": O.heatmap(s, e),
         "map_heatmap": O.heatmap(s, e, MAP_PRECISION, MAP_MIN_POINTS),
         "top_cells": O.top_cells(s, e, TOP_CELLS),
+        "unplaced_detections": O.unplaced_detections(s, e),
         "summary_totals": O.summary_totals(s, e),
         "peak_hour": O.peak_hour(s, e),
         "direction_counts": O.direction_counts(s, e),

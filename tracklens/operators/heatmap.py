@@ -67,3 +67,13 @@ def top_cells(cells: DataFrame, n: int) -> DataFrame:
         F.col("point_count").desc(),
         *[F.col(k).asc_nulls_last() for k in CELL_KEYS],
     ).limit(n)
+
+
+def unplaced_detections(det: DataFrame) -> DataFrame:
+    """Detections the grid cannot place (longitude or latitude unparseable):
+    one row with their point and distinct-track counts, so the cells the
+    heatmap leaves out are reported rather than silently lost."""
+    bad = F.col("lon").isNull() | F.col("lat").isNull()
+    return det.where(bad).agg(
+        F.count(F.lit(1)).alias("points"), F.count_distinct("track_identifier").alias("tracks")
+    )
