@@ -136,3 +136,15 @@ def test_half_open_period(spark):
     assert period_filter(det, closed).count() == 2 and period_filter(det, half).count() == 1
     zulu = Period("2024-01-08T00:00:00Z", "2024-01-08T23:59:59Z")
     assert period_filter(det, zulu).count() == 1
+
+
+def test_approximate_quartiles_are_close(spark):
+    rng = np.random.default_rng(5)
+    vals = rng.gamma(2.0, 3.0, 2000).tolist()
+    sp = spark.createDataFrame([(f"t{i}", "vehicle", float(v)) for i, v in enumerate(vals)],
+                               "track_id string, object_type string, avg_speed double")
+    ex = speed_box_stats(sp).collect()[0]
+    ap = speed_box_stats(sp, exact=False).collect()[0]
+    spread = max(vals) - min(vals)
+    for k in ("q1", "median", "q3"):
+        assert abs(ex[k] - ap[k]) < 0.01 * spread

@@ -143,17 +143,25 @@ def summary_by_filter(summary: DataFrame, period: Period) -> DataFrame:
     )
 
 
-def speed_box_stats(speed_profile: DataFrame) -> DataFrame:
+def speed_box_stats(speed_profile: DataFrame, exact: bool = True, accuracy: int = 10_000) -> DataFrame:
     """Per class: min, q1, median, q3, max, count of per-track mean speeds.
 
     Quartiles interpolate linearly between order statistics (exact); the
     values are rounded to 1 dp upstream, so the exact percentile state is
-    bounded by the number of distinct speeds, not of tracks.
+    bounded by the number of distinct speeds, not of tracks.  ``exact=False``
+    uses a fixed-size quantile sketch (``percentile_approx``, rank error
+    about 1/``accuracy``, no interpolation) for unrounded inputs.
     """
     s = speed_profile.where(F.col("object_type").isin(PEDESTRIAN, VEHICLE))
+    probs = [0.25, 0.5, 0.75]
+    quartiles = (
+        F.percentile(F.col("avg_speed"), probs)
+        if exact
+        else F.percentile_approx(F.col("avg_speed"), probs, accuracy)
+    )
     q = s.groupBy("object_type").agg(
         F.min("avg_speed").alias("min"),
-        F.percentile(F.col("avg_speed"), [0.25, 0.5, 0.75]).alias("q"),
+        quartiles.alias("q"),
         F.max("avg_speed").alias("max"),
         F.count(F.lit(1)).alias("count"),
     )
