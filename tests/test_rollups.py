@@ -148,3 +148,17 @@ def test_approximate_quartiles_are_close(spark):
     spread = max(vals) - min(vals)
     for k in ("q1", "median", "q3"):
         assert abs(ex[k] - ap[k]) < 0.01 * spread
+
+
+def test_approximate_heatmap_counts(spark):
+    from conftest import SF_SMALL
+    from tracklens.operators.heatmap import heatmap
+    from tracklens.sources.detections import normalise
+    from tracklens.sources.events_view import detections_from_events
+
+    det = normalise(detections_from_events(spark, SF_SMALL))
+    key = ["lon", "lat", "raw_type", "device_id"]
+    ex = {tuple(r[k] for k in key): r.point_count for r in heatmap(det, 4).collect()}
+    ap = {tuple(r[k] for k in key): r.point_count for r in heatmap(det, 4, approx_distinct=True).collect()}
+    assert ex.keys() == ap.keys()
+    assert sum(abs(ex[k] - ap[k]) for k in ex) <= 0.05 * sum(ex.values())

@@ -16,6 +16,7 @@ def heatmap(
     det: DataFrame,
     precision: int = DEFAULT_PRECISION,
     min_points: int = DEFAULT_MIN_POINTS,
+    approx_distinct: bool = False,
 ) -> DataFrame:
     """Cells (lon, lat, raw type, device) with distinct-track counts.
 
@@ -25,7 +26,9 @@ def heatmap(
     number of non-NULL track groups is the distinct count.  Both steps
     combine map-side, so a hot cell or track only shrinks the shuffle.
     Cells whose coordinates do not parse are dropped (they have no place
-    on a grid).
+    on a grid).  ``approx_distinct`` counts tracks with a fixed-size
+    HyperLogLog sketch in a single aggregation (one shuffle fewer, ~2%
+    relative error) for very large inputs.
     """
     cells = det.select(
         round_half_up(F.col("lon"), precision).alias("lon"),
@@ -36,6 +39,15 @@ def heatmap(
         "speed_ms",
         "timestamp",
     ).where(F.col("lon").isNotNull() & F.col("lat").isNotNull())
+    if approx_distinct:
+        per_cell = cells.groupBy(*CELL_KEYS).agg(
+            F.approx_count_distinct("track_identifier").alias("point_count"),
+            F.avg("speed_ms").alias("avg_ms"),
+            F.max("speed_ms").alias("max_ms"),
+            F.min("timestamp").alias("first_seen"),
+            F.max("timestamp").alias("last_seen"),
+        )
+        return _finish(per_cell, min_points)
     per_track = cells.groupBy(*CELL_KEYS, "track_identifier").agg(
         F.sum("speed_ms").alias("s"),
         F.count("speed_ms").alias("n"),
@@ -50,6 +62,10 @@ def heatmap(
         F.min("first_seen").alias("first_seen"),
         F.max("last_seen").alias("last_seen"),
     )
+    return _finish(per_cell, min_points)
+
+
+def _finish(per_cell: DataFrame, min_points: int) -> DataFrame:
     return per_cell.where(F.col("point_count") >= min_points).select(
         *CELL_KEYS,
         type_partial(F.col("raw_type")).alias("object_type"),
