@@ -107,10 +107,16 @@ def track_rollup(det: DataFrame) -> DataFrame:
         ]
         for lab in COMPASS_CATS:
             aggs.append(F.sum(F.when(cond, F.col(_cname("c", lab)))).alias(_cname(f"{cls}_c", lab)))
-    for lab in COMPASS_CATS:
-        aggs.append(F.sum(_cname("c", lab)).alias(_cname("c", lab)))
-
     per_track = per_raw.groupBy("track_identifier").agg(*aggs)
+    # all rows = pedestrian rows + the rest, so the track's own counts are sums
+    per_track = per_track.select(
+        "*",
+        *[
+            (F.coalesce(F.col(_cname("ped_c", lab)), F.lit(0)) + F.coalesce(F.col(_cname("veh_c", lab)), F.lit(0)))
+            .alias(_cname("c", lab))
+            for lab in COMPASS_CATS
+        ],
+    )
 
     def dominant(prefix: str) -> Column:
         return argmax_score(
