@@ -148,3 +148,22 @@ def test_cli_builds_a_report(spark, monkeypatch):
         cli.main(["--org_subdomain", "acme", "--out", out], spark=spark)
     with pytest.raises(ValueError):
         cli.main(["--org_subdomain", "Bad!", "--source", src, "--out", out], spark=spark)
+
+
+def test_parallelism_guard(spark):
+    from tracklens.sources.detections import ensure_parallelism
+
+    big = spark.range(0, 1000, 1, numPartitions=16)
+    assert ensure_parallelism(big, min_partitions=8) is big
+    small = spark.range(0, 1000, 1, numPartitions=1)
+    spread = ensure_parallelism(small, ["id"], min_partitions=8)
+    assert spread.rdd.getNumPartitions() == 8 and spread.count() == 1000
+    spread.unpersist()
+
+
+def test_tenant_scan_from_catalog(spark):
+    detections_from_events(spark, SF_SMALL).createOrReplaceTempView("acme")
+    try:
+        assert tenant_detections(spark, "acme").count() == 1000
+    finally:
+        spark.catalog.dropTempView("acme")

@@ -36,3 +36,22 @@ def test_live_timeline_matches_batch(spark):
     last_bin = max(b for b, _, _ in batch)
     closed = {x for x in batch if x[0] != last_bin}
     assert live == closed
+
+
+def test_live_timeline_parquet_sink(spark):
+    from tracklens.streaming.live_timeline import start_live_timeline
+
+    src = tempfile.mkdtemp(prefix="tracklens-stream-src2-")
+    raw = detections_from_events(spark, SF_SMALL).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    raw.write.mode("overwrite").parquet(src)
+    out = tempfile.mkdtemp(prefix="tracklens-stream-out-") + "/timeline"
+    ckpt = tempfile.mkdtemp(prefix="tracklens-stream-ckpt-")
+    stream = spark.readStream.schema(raw.schema).parquet(src)
+    q = start_live_timeline(stream, out, ckpt, trigger={"availableNow": True}, watermark="0 seconds")
+    q.awaitTermination(120)
+    written = spark.read.parquet(out)
+    total = written.agg(F.sum("count")).collect()[0][0]
+    batch = timeline(normalise(raw))
+    last_bin = batch.agg(F.max("bin_start")).collect()[0][0]
+    expect = batch.where(F.col("bin_start") != last_bin).agg(F.sum("count")).collect()[0][0]
+    assert total == expect

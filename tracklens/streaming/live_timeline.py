@@ -33,14 +33,23 @@ def live_timeline(
     )
 
 
-def start_live_timeline(stream: DataFrame, sink_path: str, checkpoint: str, **kw):
+def start_live_timeline(
+    stream: DataFrame, sink_path: str, checkpoint: str, trigger: dict | None = None, **kw
+):
     """Append closed windows to a Parquet folder (exactly once via the
-    checkpoint, which must live on shared storage on a cluster)."""
-    return (
+    checkpoint, which must live on shared storage on a cluster).
+
+    ``trigger`` is passed to ``DataStreamWriter.trigger`` (for example
+    ``{"availableNow": True}`` for a catch-up run, or
+    ``{"processingTime": "1 minute"}``).
+    """
+    writer = (
         live_timeline(stream, **kw)
         .writeStream.outputMode("append")
         .format("parquet")
         .option("path", sink_path)
         .option("checkpointLocation", checkpoint)
-        .start()
     )
+    if trigger:
+        writer = writer.trigger(**trigger)
+    return writer.start()
