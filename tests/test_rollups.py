@@ -162,3 +162,10 @@ def test_approximate_heatmap_counts(spark):
     ap = {tuple(r[k] for k in key): r.point_count for r in heatmap(det, 4, approx_distinct=True).collect()}
     assert ex.keys() == ap.keys()
     assert sum(abs(ex[k] - ap[k]) for k in ex) <= 0.05 * sum(ex.values())
+
+
+def test_raw_search_numbers_print_like_the_page(spark):
+    t = spark.createDataFrame([("a", 3.0), ("b", 3.25)], "Type string, Speed double")
+    assert raw_search(t, "3").count() == 2
+    assert raw_search(t, "3.0").count() == 0  # shown as "3"
+    assert raw_search(t, "3.2").count() == 1

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracklens.functions.casting import fixed6, js_round, round_half_up
 from tracklens.functions.classes import PEDESTRIAN, VEHICLE
@@ -288,7 +289,14 @@ def raw_search(table: DataFrame, query: str) -> DataFrame:
     terms = search_terms(query)
     if not terms:
         return table
-    texts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in table.columns]
+
+    def text(field) -> Column:
+        t = F.col(f"`{field.name}`").cast("string")
+        if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+            t = F.regexp_replace(t, r"\.0$", "")  # integral numbers print without ".0"
+        return F.coalesce(t, F.lit(""))
+
+    texts = [text(f) for f in table.schema.fields]
     cond = None
     for t in terms:
         pat = term_pattern(t)
