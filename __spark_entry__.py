@@ -41,6 +41,8 @@ REPORT = Period("2024-01-01T00:00:00", "2024-01-31T23:59:59")
 # one week, to exercise the period predicate itself
 WEEK = Period("2024-01-08T00:00:00", "2024-01-14T23:59:59")
 TOP_CELLS = 25
+# map heatmap: coarser cells and a two-track minimum, so the rounding and
+# the minimum-tracks filter are exercised (the defaults equal `heatmap`'s)
 MAP_PRECISION, MAP_MIN_POINTS = 4, 2
 # thinning suited to the test data's sparse points (defaults suit 10 Hz sensors)
 THIN = ThinParams(max_tracks=40, interval_ms=21_600_000, min_distance_m=25)
@@ -98,9 +100,10 @@ def _features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _trip_trail(spark: SparkSession, d: str) -> DataFrame:
-    tb = _map_bounds(spark, d).select(F.struct("time_min_ms", "time_range_ms")).scalar()
+    # the two bounds come from one tiny aggregate, fetched once
+    tb = _map_bounds(spark, d).select("time_min_ms", "time_range_ms").first()
     return TR.trip_trail(
-        _map_tracks(spark, d), TRAIL_STEP_MS, TRAIL_MS, tb.getField("time_min_ms"), tb.getField("time_range_ms")
+        _map_tracks(spark, d), TRAIL_STEP_MS, TRAIL_MS, F.lit(tb[0]).cast("long"), F.lit(tb[1]).cast("long")
     )
 
 
