@@ -235,17 +235,19 @@ def trips(points: DataFrame, time_min_ms: Column | None = None) -> DataFrame:
 
     ``points`` are map-track points (already thinned, so one track's list
     is bounded by period / interval).  The class is the first point's.
+    Without ``time_min_ms`` the origin is the earliest point over all
+    trips: a window over the per-track rows (at most ``max_tracks``), so
+    no second pass over the points is needed.
     """
-    p, t0 = _offset_ms(points, time_min_ms)
     ntz = is_ntz(points, "timestamp")
-    p = p.withColumn("_t", F.col("_ms") - t0)
+    p = points.withColumn("_ms", epoch_ms(F.col("timestamp"), ntz))
     g = p.groupBy("track_id").agg(
         F.array_sort(
             F.collect_list(
                 F.struct(
                     epoch_us(F.col("timestamp"), ntz).alias("us"),
                     F.col("event_id").alias("eid"),
-                    F.col("_t").alias("t"),
+                    F.col("_ms").alias("ms"),
                     F.col("longitude").alias("lon"),
                     F.col("latitude").alias("lat"),
                     F.coalesce(F.col("speed"), F.lit(0.0)).alias("speed"),
@@ -254,11 +256,15 @@ def trips(points: DataFrame, time_min_ms: Column | None = None) -> DataFrame:
             )
         ).alias("pts")
     )
+    if time_min_ms is None:
+        g = g.withColumn("_t0", F.min(F.col("pts")[0]["ms"]).over(Window.partitionBy()))
+    else:
+        g = g.withColumn("_t0", time_min_ms)
     return g.select(
         F.col("track_id").alias("trackId"),
         F.col("pts")[0]["otype"].alias("objectType"),
         F.transform("pts", lambda x: F.array(x["lon"], x["lat"])).alias("coordinates"),
-        F.transform("pts", lambda x: x["t"]).alias("timestamps"),
+        F.transform("pts", lambda x: x["ms"] - F.col("_t0")).alias("timestamps"),
         F.transform("pts", lambda x: x["speed"]).alias("speeds"),
     )
 
