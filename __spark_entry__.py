@@ -122,6 +122,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "type_case_total": lambda spark, d: P.type_classes(_det(spark, d), "total"),
         "type_map_partial": lambda spark, d: P.type_classes(_det(spark, d), "partial"),
         "compass8": lambda spark, d: P.heading_sectors(_det(spark, d)),
+        "cardinal4": lambda spark, d: P.cardinal_sectors(_det(spark, d)),
         "zones_parsed": lambda spark, d: P.zones_parsed(_det(spark, d)),
         "zones_expanded": lambda spark, d: Z.zones_expanded(_det(spark, d)),
         "zone_stats": lambda spark, d: Z.zone_stats(_det(spark, d)),
@@ -167,6 +168,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "zone_features": lambda spark, d: RP.zone_features(_features(spark, d)),
         "feature_type_counts": lambda spark, d: RP.feature_type_counts(_features(spark, d)),
         "period_slug": lambda spark, d: RP.daily_periods(_det(spark, d)),
+        "org_names": lambda spark, d: RP.report_index(_det(spark, d), ORG),
         "summary": _summary,
         "summary_by_filter": lambda spark, d: RU.summary_by_filter(_summary(spark, d), REPORT),
     }
@@ -183,6 +185,7 @@ def oracle_sql() -> dict[str, str]:
         "type_case_total": O.type_case_total(s, e),
         "type_map_partial": O.type_map_partial(s, e),
         "compass8": O.compass8(s, e),
+        "cardinal4": O.cardinal4(s, e),
         "zones_parsed": O.zones_parsed(s, e),
         "zones_expanded": O.zones_expanded(s, e),
         "zone_stats": O.zone_stats(s, e),
@@ -224,6 +227,7 @@ def oracle_sql() -> dict[str, str]:
         "zone_features": O.zone_features(s, e),
         "feature_type_counts": O.feature_type_counts(s, e),
         "period_slug": O.period_slug(s, e),
+        "org_names": O.org_names(s, e, ORG, ORG_DISPLAY_NAMES.get(ORG)),
         "summary": O.summary_flat(*summ),
         "summary_by_filter": O.summary_by_filter(*summ),
     }

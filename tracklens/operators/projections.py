@@ -41,3 +41,7 @@ def heading_sectors(det: DataFrame) -> DataFrame:
 
 def zones_parsed(det: DataFrame) -> DataFrame:
     return det.select("event_id", "zones_hit", zones_loader(F.col("zones_hit")).alias("zones"))
+
+
+def cardinal_sectors(det: DataFrame) -> DataFrame:
+    return det.select("event_id", "heading_degrees", cardinal4(F.col("heading")).alias("cardinal"))

@@ -172,6 +172,17 @@ def daily_periods(det: DataFrame) -> DataFrame:
     )
 
 
+def report_index(det: DataFrame, org: str) -> DataFrame:
+    """Daily report periods of one tenant with its display name (an
+    unknown slug names itself) and snapshot folder slug."""
+    return daily_periods(det).select(
+        F.lit(validate_slug(org)).alias("org_subdomain"),
+        org_name_literal(org).alias("org_name"),
+        "period_slug",
+        "detections",
+    )
+
+
 def snapshot_path(root: str, org: str, period: Period) -> str:
     validate_slug(org)
     return f"{root.rstrip('/')}/org={org}/period={period.slug()}"
