@@ -169,3 +169,10 @@ def test_raw_search_numbers_print_like_the_page(spark):
     assert raw_search(t, "3").count() == 2
     assert raw_search(t, "3.0").count() == 0  # shown as "3"
     assert raw_search(t, "3.2").count() == 1
+
+
+def test_histogram_zero_span(spark):
+    tl = spark.sql("SELECT TIMESTAMP_NTZ'2024-01-08 00:00:00' AS bin_start, 'vehicle' AS object_type, 1L AS count")
+    t0 = 1704672000000
+    rng = spark.createDataFrame([(t0, t0, 0)], "time_min_ms long, time_max_ms long, time_range_ms long")
+    assert histogram_columns(tl, rng, 10).count() == 0

@@ -308,7 +308,7 @@ def trip_heads(
         "*", F.explode(F.sequence(lo, hi, step)).alias("frame_ms")
     )
     exact = F.col("nt").isNull() | (F.col("frame_ms") == F.col("t"))
-    frac = (F.col("frame_ms") - F.col("t")).cast("double") / (F.col("nt") - F.col("t")).cast("double")
+    frac = F.try_divide((F.col("frame_ms") - F.col("t")).cast("double"), (F.col("nt") - F.col("t")).cast("double"))
 
     def lerp(a: str, b: str) -> Column:
         return F.when(exact, F.col(a)).otherwise(F.col(a) + (F.col(b) - F.col(a)) * frac)

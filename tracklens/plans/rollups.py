@@ -254,7 +254,8 @@ def histogram_columns(
     t_min, t_rng = F.lit(time_range[0]).cast("long"), F.lit(time_range[1]).cast("long")
     ms = epoch_ms(F.col("bin_start"), is_ntz(timeline, "bin_start"))
     dur = t_rng.cast("double") / F.lit(float(n_columns))
-    idx = F.floor((ms - t_min).cast("double") / dur).cast("long")
+    # a zero span (a single instant) has no columns; try_divide keeps it NULL
+    idx = F.floor(F.try_divide((ms - t_min).cast("double"), dur)).cast("long")
     b = tl.select(idx.alias("column"), "object_type", "count").where(
         (t_rng > 0) & (F.col("column") >= 0) & (F.col("column") < n_columns)
     )
