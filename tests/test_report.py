@@ -38,7 +38,9 @@ def test_build_report_round_trip_and_immutability(spark):
     raw = detections_from_events(spark, SF_SMALL)
     paths = build_report(spark, raw, "pip", WEEK, out, ThinParams(20, 3_600_000, 10))
     assert set(paths) == {"summary", "timeline", "speed-profile", "zone-stats", "direction-rose",
-                          "heatmap", "map-heatmap", "map-tracks"}
+                          "heatmap", "map-heatmap", "map-tracks", "zones"}
+    zones = json.loads(spark.read.text(paths["zones"]).collect()[0].value)
+    assert zones == {"type": "FeatureCollection", "features": []}  # no feature table for this tenant
     assert paths["timeline"].startswith(snapshot_path(out, "pip", WEEK))
     tl = read_result(spark, paths["timeline"], TIMELINE_SCHEMA)
     rows = tl.collect()

@@ -18,6 +18,7 @@ from tracklens.operators.zonestats import zone_stats
 from tracklens.params import FREIGHT_ZONE, Period, ThinParams, validate_slug
 from tracklens.plans import sinks
 from tracklens.sources.detections import normalise
+from tracklens.sources.features import features_table
 from tracklens.session import stage_table
 from tracklens.sources.orgs import org_name_literal
 
@@ -210,9 +211,13 @@ def build_report(
     heat_precision: int = 5,
     heat_min_points: int = 1,
     fmt: str = "json",
+    features: DataFrame | None = None,
 ) -> dict[str, str]:
     """Write every report result for one tenant and period.
 
+    ``features`` is the tenant's feature table; by default it is read from
+    the catalog (a missing table gives an empty collection).
+
     The typed, period-filtered scan is written once as Parquet under the
     cluster's shared checkpoint folder and read back, so every result reads
     a pruned columnar table and a lost executor never forces a re-read of
@@ -236,6 +241,7 @@ def build_report(
         "heatmap": sinks.heatmap_records(cells),
         "map-heatmap": sinks.heatmap_records(cells),
         "map-tracks": sinks.map_track_records(map_tracks(det, thin)),
+        "zones": feature_collection(features if features is not None else features_table(spark, org)),
     }
     paths = {}
     order = sink_order()
@@ -243,7 +249,9 @@ def build_report(
         if name in order:
             df = df.orderBy(*order[name])
         path = f"{base}/{name}"
-        df.write.mode("errorifexists").format(fmt).save(path)
+        # the zones result is one GeoJSON document: written as that text itself
+        out_fmt = "text" if name == "zones" else fmt
+        df.write.mode("errorifexists").format(out_fmt).save(path)
         paths[name] = path
     return paths
 
