@@ -126,3 +126,25 @@ def test_period_hours_rules():
     assert Period("2024-01-08T00:00:00", "2024-01-10T00:00:00").hours() == 48
     assert Period("2024-01-08T00:00:00+00:00", "2024-01-10T00:00:00+00:00").browser_hours() == 48
     assert Period("2026-01-19T00:00:00", "2026-01-19T23:59:59").slug() == "2026-01-19_to_2026-01-19"
+
+
+def test_summary_record_shape(spark, det):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from tracklens.plans.report import summary_record
+
+    flat = summary(track_rollup(det), track_zones(det), WEEK, "pip", spark)
+    doc = json.loads(summary_record(flat).select(F.to_json(F.struct("*")).alias("j")).collect()[0].j)
+    assert set(doc) == {
+        "total_detections", "pedestrian_count", "vehicle_count", "composition", "avg_speed", "top_speed",
+        "ped_avg_speed", "ped_top_speed", "veh_avg_speed", "veh_top_speed", "flow_rate_per_hour",
+        "freight_entries", "peak_hour", "zones_active", "directions", "directions_4way", "period",
+        "org_subdomain", "org_name",
+    }
+    assert set(doc["composition"]) == {"pedestrian_pct", "vehicle_pct"}
+    assert list(doc["directions"]) == ["N", "NE", "E", "SE", "S", "SW", "W", "NW"]
+    assert set(doc["directions_4way"]) == {"all", "pedestrian", "vehicle"}
+    assert set(doc["directions_4way"]["all"]) == {"North", "South", "East", "West"}
+    assert doc["period"] == {"start": WEEK.start, "end": WEEK.end}
