@@ -35,6 +35,12 @@ from tracklens.sources.orgs import ORG_DISPLAY_NAMES  # noqa: E402
 from tracklens.sources.detections import normalise  # noqa: E402
 from tracklens.sources.events_view import detections_from_events  # noqa: E402
 
+try:  # the training-data operators may be left out of an installation
+    import corpus_pipeline as PIPELINE
+    from tracklens.llm import queries as LLM
+except ImportError:
+    PIPELINE = LLM = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 # whole data range of the test tables (every event falls inside)
 REPORT = Period("2024-01-01T00:00:00", "2024-01-31T23:59:59")
@@ -113,7 +119,8 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    more = {**LLM.QUERIES, "pipeline": PIPELINE.run} if LLM else {}
+    return more | {
         "timeline": lambda spark, d: timeline(_det(spark, d)),
         "period_filter": lambda spark, d: _det(spark, d, WEEK).select(
             "event_id", "track_identifier", "object_type", "device_identifier", "timestamp"
@@ -178,7 +185,8 @@ def oracle_sql() -> dict[str, str]:
     s, e = REPORT.start, REPORT.end
     thin = (THIN.max_tracks, THIN.interval_ms, THIN.min_distance_m)
     summ = (s, e, REPORT.hours(), REPORT.browser_hours(), ORG, ORG_DISPLAY_NAMES.get(ORG))
-    return {
+    more = LLM.oracle_sql() if LLM else {}
+    return more | {
         "timeline": O.timeline(s, e),
         "period_filter": O.period_filter(WEEK.start, WEEK.end),
         "normalise": O.normalise(s, e),
