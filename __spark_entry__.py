@@ -22,7 +22,7 @@ from tracklens.operators import summary as S  # noqa: E402
 from tracklens.operators import tracks as TR  # noqa: E402
 from tracklens.operators import zonestats as Z  # noqa: E402
 from tracklens.operators.filters import period_filter  # noqa: E402
-from tracklens.operators.heatmap import heatmap, top_cells, unplaced_detections  # noqa: E402
+from tracklens.operators.heatmap import center_latitude, heatmap, top_cells, unplaced_detections  # noqa: E402
 from tracklens.operators.rollup import track_rollup, track_zones  # noqa: E402
 from tracklens.operators.speed import speed_profile  # noqa: E402
 from tracklens.operators.timeline import timeline  # noqa: E402
@@ -30,8 +30,8 @@ from tracklens.params import Period, ThinParams  # noqa: E402
 from tracklens.plans import report as RP  # noqa: E402
 from tracklens.plans import rollups as RU  # noqa: E402
 from tracklens.plans import sinks as SK  # noqa: E402
-from tracklens.sources.features import observed_zone_features  # noqa: E402
-from tracklens.sources.orgs import ORG_DISPLAY_NAMES  # noqa: E402
+from tracklens.sources.features import features_table, observed_zone_features  # noqa: E402
+from tracklens.sources.orgs import ORG_DISPLAY_NAMES, org_registry, with_org_name  # noqa: E402
 from tracklens.sources.detections import normalise  # noqa: E402
 from tracklens.sources.events_view import detections_from_events  # noqa: E402
 
@@ -50,8 +50,13 @@ TOP_CELLS = 25
 # map heatmap: coarser cells and a two-track minimum, so the rounding and
 # the minimum-tracks filter are exercised (the defaults equal `heatmap`'s)
 MAP_PRECISION, MAP_MIN_POINTS = 4, 2
+# the map's own cells: all of them
+CELL_MIN_POINTS = 1
 # thinning suited to the test data's sparse points (defaults suit 10 Hz sensors)
-THIN = ThinParams(max_tracks=40, interval_ms=21_600_000, min_distance_m=25)
+THIN = ThinParams(interval_ms=21_600_000, min_distance_m=25)
+FIRST_TRACKS = 40  # the top-k of `first_tracks`
+AT_MS = 864_000_000  # a playback instant in the middle of the data
+TRAIL_AT_MS = 86_400_000  # a trail that holds points of the sparse test data
 HEAD_STEP_MS = 3_600_000  # one playback frame per hour of data
 TRAIL_STEP_MS, TRAIL_MS = 5_000, 180_000
 HEX_RADIUS_M = 10
@@ -61,7 +66,7 @@ ORG = "pip"
 
 
 def _det(spark: SparkSession, sf_dir: str, period: Period = REPORT) -> DataFrame:
-    return period_filter(normalise(detections_from_events(spark, sf_dir)), period)
+    return normalise(period_filter(detections_from_events(spark, sf_dir), period))
 
 
 def _rollup(spark: SparkSession, d: str) -> DataFrame:
@@ -86,7 +91,27 @@ def _summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _map_cells(spark: SparkSession, d: str) -> DataFrame:
-    return SK.heatmap_records(heatmap(_det(spark, d), MAP_PRECISION, MAP_MIN_POINTS))
+    return SK.heatmap_records(heatmap(_det(spark, d), MAP_PRECISION, CELL_MIN_POINTS))
+
+
+def _hexagons(spark: SparkSession, d: str, choice: str) -> DataFrame:
+    center = center_latitude(_det(spark, d), MAP_PRECISION)
+    return RU.hex_density(RU.type_filter(_map_cells(spark, d), choice), HEX_RADIUS_M, center)
+
+
+def _org_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Detections per tenant (one sensor each) with the tenants' names."""
+    device = F.col("device_identifier")
+    slug = F.when(device == "dev-0", "pip").otherwise(F.concat(F.lit("org-"), device))
+    per_org = _det(spark, d).groupBy(slug.alias("org")).agg(F.count(F.lit(1)).alias("detections"))
+    return with_org_name(per_org, "org", org_registry(spark))
+
+
+def _stored_features(spark: SparkSession, d: str) -> DataFrame:
+    """The derived feature table, registered under a name and read as a tenant's table is."""
+    view = "geographic_features_of_test_org"
+    _features(spark, d).createOrReplaceTempView(view)
+    return RP.zone_features(features_table(spark, "test-org", view))
 
 
 def _rose_records(spark: SparkSession, d: str) -> DataFrame:
@@ -106,11 +131,8 @@ def _features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _trip_trail(spark: SparkSession, d: str) -> DataFrame:
-    # the two bounds come from one tiny aggregate, fetched once
-    tb = _map_bounds(spark, d).select("time_min_ms", "time_range_ms").first()
-    return TR.trip_trail(
-        _map_tracks(spark, d), TRAIL_STEP_MS, TRAIL_MS, F.lit(tb[0]).cast("long"), F.lit(tb[1]).cast("long")
-    )
+    span = _map_bounds(spark, d).select("time_range_ms").scalar()
+    return TR.trip_trail(_map_tracks(spark, d), TRAIL_STEP_MS, TRAIL_MS, _t0(spark, d), span)
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -149,11 +171,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "flow_rate": lambda spark, d: S.flow_rate(_rollup(spark, d), REPORT),
         "dominant_direction": lambda spark, d: D.dominant_direction(_rollup(spark, d)),
         "direction_rose": lambda spark, d: D.direction_rose(_rollup(spark, d)),
-        "first_tracks": lambda spark, d: TR.first_tracks(_det(spark, d), THIN.max_tracks),
+        "first_tracks": lambda spark, d: TR.first_tracks(_det(spark, d), FIRST_TRACKS),
         "step_distance": lambda spark, d: TR.step_distance(_det(spark, d)),
         "map_tracks": _map_tracks,
         "track_time_range": _map_bounds,
-        "trips": lambda spark, d: TR.trips(_map_tracks(spark, d)),
+        "trips": lambda spark, d: TR.trips(_map_tracks(spark, d), _t0(spark, d)),
         "trip_heads": lambda spark, d: TR.trip_heads(_map_tracks(spark, d), HEAD_STEP_MS, _t0(spark, d)),
         "trip_trail": _trip_trail,
         "timeline_by_type": lambda spark, d: RU.type_filter(timeline(_det(spark, d)), "Pedestrian"),
@@ -168,7 +190,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "speed_box_stats": lambda spark, d: RU.speed_box_stats(_speed_records(spark, d)),
         "speed_whiskers": lambda spark, d: RU.speed_whiskers(_speed_records(spark, d)),
         "bounds": lambda spark, d: RU.bounds(_map_cells(spark, d)),
-        "hex_density": lambda spark, d: RU.hex_density(_map_cells(spark, d), HEX_RADIUS_M),
+        "hex_density": lambda spark, d: _hexagons(spark, d, "All"),
+        "hex_density_by_type": lambda spark, d: _hexagons(spark, d, "Vehicle"),
+        "trips_by_type": lambda spark, d: TR.trips(RU.type_filter(_map_tracks(spark, d), "Pedestrian"), _t0(spark, d)),
+        "heads_at": lambda spark, d: TR.heads_at(_map_tracks(spark, d), AT_MS, _t0(spark, d)),
+        "trail_at": lambda spark, d: TR.trail_at(_map_tracks(spark, d), AT_MS, TRAIL_AT_MS, _t0(spark, d)),
+        "raw_speed_table": lambda spark, d: RU.raw_table(_speed_records(spark, d), "Speed Profile"),
+        "speed_outliers": lambda spark, d: RU.speed_outliers(_speed_records(spark, d)),
+        "org_lookup": _org_lookup,
+        "stored_features": _stored_features,
+        "exact_rounding": lambda spark, d: P.exact_rounding(_det(spark, d)),
         "histogram_columns": lambda spark, d: RU.histogram_columns(
             timeline(_det(spark, d)), _map_bounds(spark, d), HISTOGRAM_COLUMNS
         ),
@@ -184,6 +215,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     s, e = REPORT.start, REPORT.end
     thin = (THIN.max_tracks, THIN.interval_ms, THIN.min_distance_m)
+    cells = (MAP_PRECISION, CELL_MIN_POINTS)
     summ = (s, e, REPORT.hours(), REPORT.browser_hours(), ORG, ORG_DISPLAY_NAMES.get(ORG))
     more = LLM.oracle_sql() if LLM else {}
     return more | {
@@ -213,7 +245,7 @@ def oracle_sql() -> dict[str, str]:
         "flow_rate": O.flow_rate(s, e, REPORT.hours()),
         "dominant_direction": O.dominant_direction(s, e),
         "direction_rose": O.direction_rose(s, e),
-        "first_tracks": O.first_tracks(s, e, THIN.max_tracks),
+        "first_tracks": O.first_tracks(s, e, FIRST_TRACKS),
         "step_distance": O.step_distance(s, e),
         "map_tracks": O.map_tracks(s, e, *thin),
         "track_time_range": O.track_time_range(s, e, *thin),
@@ -229,8 +261,17 @@ def oracle_sql() -> dict[str, str]:
         "raw_search": O.raw_search(s, e, SEARCH),
         "speed_box_stats": O.speed_box_stats(s, e),
         "speed_whiskers": O.speed_whiskers(s, e),
-        "bounds": O.bounds(s, e, MAP_PRECISION, MAP_MIN_POINTS),
-        "hex_density": O.hex_density(s, e, MAP_PRECISION, MAP_MIN_POINTS, HEX_RADIUS_M),
+        "bounds": O.bounds(s, e, *cells),
+        "hex_density": O.hex_density(s, e, *cells, HEX_RADIUS_M),
+        "hex_density_by_type": O.hex_density_by_type(s, e, *cells, HEX_RADIUS_M, "vehicle"),
+        "trips_by_type": O.trips_by_type(s, e, *thin, "pedestrian"),
+        "heads_at": O.heads_at(s, e, *thin, AT_MS),
+        "trail_at": O.trail_at(s, e, *thin, AT_MS, TRAIL_AT_MS),
+        "raw_speed_table": O.raw_speed_table(s, e),
+        "speed_outliers": O.speed_outliers(s, e),
+        "org_lookup": O.org_lookup(s, e, ORG_DISPLAY_NAMES),
+        "stored_features": O.zone_features(s, e),
+        "exact_rounding": O.exact_rounding(s, e),
         "histogram_columns": O.histogram_columns(s, e, *thin, HISTOGRAM_COLUMNS),
         "zone_features": O.zone_features(s, e),
         "feature_type_counts": O.feature_type_counts(s, e),

@@ -163,3 +163,62 @@ def test_argmax_score_ties_and_nulls(spark):
     s = argmax_score({lab: f"k_{lab}" for lab in CARDINAL_LABELS}, CARDINAL_LABELS)
     got = df.select(score_label(s, CARDINAL_LABELS).alias("l"), score_count(s, CARDINAL_LABELS).alias("n")).collect()
     assert [(r.l, r.n) for r in got] == [("East", 2), ("West", 1), (None, None), ("East", 3)]
+
+
+def test_rounding_goes_by_the_exact_value(spark):
+    """Python's round and JavaScript's toFixed, at and beside ties."""
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from tracklens.functions.casting import js_fixed, round_half_even
+
+    values = [50.812335, 50.812325, 2.675, 1.45, 0.25, 0.35, 0.5, 1.5, 2.5, -2.675, -0.25, -1.45, 0.0, 1e15, 4.35, 1.005]
+    values += [50.81 + i * 1e-6 for i in range(0, 4000, 7)] + [-1.09 + i * 5e-6 for i in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    cols = [round_half_even(F.col("x"), 5).alias("p5"), round_half_even(F.col("x"), 1).alias("p1")]
+    cols += [round_half_even(F.col("x"), 0).alias("p0"), js_fixed(F.col("x"), 1).alias("j1")]
+    for r in df.select("x", *cols).collect():
+        assert (r.p5, r.p1, r.p0) == (round(r.x, 5), round(r.x, 1), round(r.x, 0)), r.x
+        # toFixed: the nearest multiple to the exact value, of two the one further from zero
+        assert r.j1 == float(Decimal(r.x).quantize(Decimal("0.1"), ROUND_HALF_UP)), r.x
+    odd = df.limit(1).select(round_half_even(F.lit(float("nan")), 1).alias("n"), round_half_even(F.lit(None).cast("double"), 1).alias("z")).first()
+    assert odd.n != odd.n and odd.z is None
+
+
+def test_zone_json_is_strict(spark):
+    from tracklens.functions.zones import zones_loader, zones_sql
+
+    texts = ["['a','b']", '["a"] junk', '["a"],["b"]', '["a"', '["a","b"]', " [] ", '["a", null, " "]', "bare", '["a"] ]']
+    df = spark.createDataFrame([(x,) for x in texts], "z string")
+    got = {r.z: (r.l, r.s) for r in df.select("z", zones_loader(F.col("z")).alias("l"), zones_sql(F.col("z")).alias("s")).collect()}
+    for bad in ("['a','b']", '["a"] junk', '["a"],["b"]', '["a"', '["a"] ]'):
+        assert got[bad] == ([bad], None) or got[bad] == ([bad], [])
+    assert got['["a","b"]'] == (["a", "b"], ["a", "b"])
+    assert got[" [] "] == ([], [])
+    assert got['["a", null, " "]'] == (["a", " "], ["a"])
+    assert got["bare"] == (["bare"], ["bare"])
+
+
+def test_period_hours():
+    from tracklens.params import Period
+
+    assert Period("2024-01-08T00:00:00", "2024-01-08T12:00:00").hours() == 12
+    assert Period("2024-01-08T00:00:00Z", "2024-01-08T12:30:00Z").hours() == 12.5
+    assert Period("2024-01-08T00:00:00", "2024-01-08T00:10:00").hours() == 1
+    for start, end in (
+        ("2024-01-08T00:00:00Z", "2024-01-08T12:00:00"),
+        ("2024-01-08T00:00:00+00:00", "2024-01-08T12:00:00+00:00"),
+        ("2024-01-08", "2024-01-09"),
+        ("2024-02-30T00:00:00", "2024-03-01T00:00:00"),
+    ):
+        assert Period(start, end).hours() == 24
+
+
+def test_nan_coordinates_have_no_cell(spark):
+    from conftest import det_df
+    from tracklens.operators.heatmap import heatmap, unplaced_detections
+
+    rows = [dict(track_identifier="t", timestamp="2024-01-08T10:00:00", longitude=x, latitude="50.8") for x in ("1.0", "NaN", "bad", None)]
+    det = det_df(spark, rows)
+    assert [r.lon for r in heatmap(det).collect()] == [1.0]
+    assert unplaced_detections(det).first().points == 3
+

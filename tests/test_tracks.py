@@ -5,13 +5,17 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL, det_df
+from conftest import SF_SMALL, det_df, raw_df
 from tracklens.operators.filters import period_filter
 from tracklens.operators.tracks import (
+    _segments,
     first_tracks,
+    heads_at,
+    left_out,
     map_tracks,
     step_distance,
     thinned_points,
+    trail_at,
     trip_heads,
     trip_trail,
     trips,
@@ -155,9 +159,59 @@ def test_null_track_and_empty_key_cross_chunks(spark):
     assert a[("", "2024-01-08 11:00:02")] == pytest.approx(1112.0, rel=0.01)
 
 
-def test_staged_and_unstaged_thinning_agree(spark, small_det):
-    thin = ThinParams(15, 3_600_000, 10)
-    # repr: NaN headings compare unequal as floats
-    a = sorted(map(repr, map_tracks(small_det, thin, stage=True).collect()))
-    b = sorted(map(repr, map_tracks(small_det, thin, stage=False).collect()))
-    assert a == b and len(a) > 0
+def test_no_cap_keeps_every_track(spark, small_det):
+    free, capped = ThinParams(None, 3_600_000, 10), ThinParams(5, 3_600_000, 10)
+    tracks = {r.track_id for r in map_tracks(small_det, free).select("track_id").distinct().collect()}
+    assert tracks == {r[0] for r in small_det.select("track_identifier").distinct().collect()}
+    few = {r.track_id for r in map_tracks(small_det, capped).select("track_id").distinct().collect()}
+    assert len(few) == 5 and few < tracks
+    assert left_out(small_det, 5).first()[0] == len(tracks) - 5
+    assert left_out(small_det, None).first()[0] == 0
+
+
+def test_equal_times_have_one_order_without_event_ids(spark):
+    rows = [dict(_pt("t", "10:00:00", 50.80 + i * 0.001, lon=f"-1.{i}")) for i in range(6)]
+    rows += [_pt("t", "10:00:05", 50.9)]
+    raw = raw_df(spark, rows).drop("event_id")
+    once, again = (
+        sorted((str(r.timestamp), r.lon, r.prev_lon) for r in thinned_points(normalise(d), ThinParams(None, 0, 0)).collect())
+        for d in (raw, raw.orderBy(F.desc("longitude")))
+    )
+    assert once == again
+
+
+def _plan_nodes(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_map_tracks_reads_the_source_twice_and_never_gathers_it(spark, tmp_path):
+    path = str(tmp_path / "det")
+    detections_from_events(spark, SF_SMALL).write.parquet(path)
+    det = normalise(period_filter(spark.read.parquet(path), ALL))
+    plan = _plan_nodes(map_tracks(det, ThinParams(None, 3_600_000, 10)))
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") <= 2
+    assert "SinglePartition" not in final
+    origin = F.lit(0).cast("long")
+    trip_plan = _plan_nodes(trips(map_tracks(det, ThinParams(None, 3_600_000, 10)), origin)).split("== Initial Plan ==")[0]
+    assert "SinglePartition" not in trip_plan
+
+
+def test_heads_and_trail_at_one_instant(spark):
+    pts = _three_point_track(spark)
+    by_frame = {r.frame_ms: r for r in trip_heads(pts, step_ms=5000).collect()}
+    for at in (0, 5000, 10000, 15000, 20000):
+        (head,) = heads_at(pts, at).collect()
+        assert (head.lon, head.lat, head.speed) == (by_frame[at].lon, by_frame[at].lat, by_frame[at].speed)
+    assert heads_at(pts, -1).collect() == [] and heads_at(pts, 20001).collect() == []
+    assert sorted(r.t for r in trail_at(pts, 15000, 10000).collect()) == [10000]
+    assert sorted(r.t for r in trail_at(pts, 20000, 20000).collect()) == [0, 10000, 20000]
+
+
+def test_segments_do_not_depend_on_the_chunk(spark, small_det):
+    pts = map_tracks(small_det, ThinParams(None, 3_600_000, 10))
+    rows = [
+        sorted(map(repr, _segments(pts, F.lit(0).cast("long"), chunk).collect())) for chunk in (600_000, 10**13)
+    ]
+    assert rows[0] == rows[1]

@@ -19,7 +19,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from tracklens.params import Period, ThinParams, validate_slug
+from tracklens.params import DEFAULT_MIN_POINTS, DEFAULT_PRECISION, Period, ThinParams, validate_slug
 from tracklens.plans.report import build_report
 from tracklens.sources.detections import tenant_detections
 
@@ -37,7 +37,10 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--out", required=True)
     p.add_argument("--start", default=os.environ.get("PERIOD_START", DEFAULT_START))
     p.add_argument("--end", default=os.environ.get("PERIOD_END", DEFAULT_END))
-    p.add_argument("--max-tracks", type=int, default=ThinParams().max_tracks)
+    p.add_argument("--max-tracks", type=int, help="keep the tracks seen first (the report page: 500); all by default")
+    p.add_argument("--date-col", help="date partition column of the raw table")
+    p.add_argument("--map-precision", type=int, default=DEFAULT_PRECISION)
+    p.add_argument("--map-min-points", type=int, default=DEFAULT_MIN_POINTS)
     p.add_argument("--thin-interval-ms", type=int, default=ThinParams().interval_ms)
     p.add_argument("--min-distance-m", type=float, default=ThinParams().min_distance_m)
     p.add_argument("--format", default="json")
@@ -53,7 +56,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     raw = tenant_detections(spark, org, database=args.database, root=args.source)
     period = Period(args.start, args.end)
     thin = ThinParams(args.max_tracks, args.thin_interval_ms, args.min_distance_m)
-    paths = build_report(spark, raw, org, period, args.out, thin, fmt=args.format)
+    paths = build_report(
+        spark, raw, org, period, args.out, thin, fmt=args.format, date_col=args.date_col,
+        map_precision=args.map_precision, map_min_points=args.map_min_points,
+    )
     print(json.dumps(paths), file=sys.stderr)
     return paths
 

@@ -40,9 +40,43 @@ def round_half_up(c: Column, digits: int) -> Column:
     return F.when(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), c).otherwise(rounded)
 
 
+def _split(c: Column) -> tuple[Column, Column]:
+    """Two doubles of 26 bits each that add up to ``c``."""
+    wide = c * F.lit(134217729.0)  # 2^27 + 1
+    high = wide - (wide - c)
+    return high, c - high
+
+
+def _round_exact(c: Column, digits: int, ties_even: bool) -> Column:
+    """``c`` to ``digits`` decimals by its exact binary value.
+
+    ``x * 10^digits`` is taken as a double and its rounding error (both
+    exact, by splitting the factors), so that a value just beside a tie is
+    told from a tie.  The quotient of two exact doubles is then the double
+    nearest to the decimal result, which is what parsing its text gives.
+    """
+    scale = 10.0**digits
+    x = F.abs(c)
+    product = x * F.lit(scale)
+    (xh, xl), (sh, sl) = _split(x), _split(F.lit(scale))
+    error = xl * sl - (((product - xh * sh) - xl * sh) - xh * sl)
+    whole = F.floor(product).cast("double")
+    part = product - whole
+    on_tie = (whole % F.lit(2.0) == 1.0) if ties_even else F.lit(True)
+    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & on_tie)))
+    rounded = F.signum(c) * (whole + F.when(up, 1.0).otherwise(0.0)) / F.lit(scale)
+    plain = F.isnan(c) | (x >= F.lit(2.0**52 / scale))  # nothing behind the point, or no number
+    return F.when(plain, c).otherwise(rounded)
+
+
 def round_half_even(c: Column, digits: int = 0) -> Column:
-    """Python ``round`` (banker's rounding)."""
-    return F.bround(c, digits)
+    """Python ``round``: by the exact binary value, ties to even."""
+    return _round_exact(c.cast("double"), digits, True)
+
+
+def js_fixed(c: Column, digits: int) -> Column:
+    """The number that JavaScript ``toFixed`` prints: by the exact binary value, ties away from zero."""
+    return _round_exact(c.cast("double"), digits, False)
 
 
 def js_round(c: Column) -> Column:

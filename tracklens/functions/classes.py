@@ -33,14 +33,6 @@ def type_partial(raw: Column) -> Column:
     )
 
 
-def is_small(raw: Column) -> Column:
-    return F.coalesce(raw == RAW_SMALL, F.lit(False))
-
-
-def is_large(raw: Column) -> Column:
-    return F.coalesce(raw == RAW_LARGE, F.lit(False))
-
-
 def filter_key(choice: str) -> str | None:
     """Report filter 'All' / 'Pedestrian' / 'Vehicle' -> type value (None = all)."""
     if choice is None or choice.lower() == "all":

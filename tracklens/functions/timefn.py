@@ -1,8 +1,7 @@
 """Time arithmetic that works for TIMESTAMP and TIMESTAMP_NTZ columns.
 
-Detection times are UTC.  For TIMESTAMP_NTZ columns every function here is
-time-zone free; for TIMESTAMP columns the session time zone must be UTC
-(``tracklens.session`` sets it).
+Detection times are UTC; ``normalise`` turns them into TIMESTAMP_NTZ, and no
+function here depends on the session's time zone.
 """
 
 from __future__ import annotations
@@ -67,16 +66,10 @@ def ts_literal(value: datetime, ntz: bool) -> Column:
 
 
 def iso8601(c: Column, ntz: bool) -> Column:
-    """``YYYY-MM-DDTHH:MM:SS[.ffffff]+00:00`` like Python's ``isoformat``."""
+    """``YYYY-MM-DDTHH:MM:SS[.ffffff]+00:00`` like Python's ``isoformat``, in UTC whatever the session's zone."""
     us = epoch_us(c, ntz)
     frac = F.pmod(us, F.lit(1_000_000))
-    base = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
-    return F.when(c.isNull(), F.lit(None).cast("string")).otherwise(
-        F.concat(
-            base,
-            F.when(frac != 0, F.concat(F.lit("."), F.lpad(frac.cast("string"), 6, "0"))).otherwise(
-                F.lit("")
-            ),
-            F.lit("+00:00"),
-        )
-    )
+    wall = (c if ntz else from_epoch_us(us, True)).cast("string")
+    second = F.replace(F.substring(wall, 1, 19), F.lit(" "), F.lit("T"))
+    part = F.when(frac != 0, F.concat(F.lit("."), F.lpad(frac.cast("string"), 6, "0"))).otherwise(F.lit(""))
+    return F.concat(second, part, F.lit("+00:00"))

@@ -18,8 +18,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _ARRAY = "array<string>"
-
-
 _WS = " \t\n\r\f\u000b"
 
 
@@ -33,9 +31,22 @@ def has_zones(raw: Column) -> Column:
     return raw.isNotNull() & (strip_ws(raw) != "")
 
 
+def json_array(text: Column) -> Column:
+    """The elements of a JSON array as texts; NULL unless ``text`` is exactly one valid array.
+
+    The parser stops behind the first value, so the text is parsed inside an
+    outer array and inside an object: only white space can follow a value in
+    both, or a comma, which makes a second element of the outer array.
+    """
+    strict = {"allowSingleQuotes": "false"}
+    in_array = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<{_ARRAY}>", strict)
+    in_object = F.from_json(F.concat(F.lit('{"z":'), text, F.lit("}")), f"z {_ARRAY}", strict)
+    return F.when((F.size(in_array) == 1) & in_object["z"].isNotNull(), in_array[0])
+
+
 def zones_loader(raw: Column) -> Column:
     s = strip_ws(raw)
-    parsed = F.coalesce(F.from_json(s, _ARRAY), F.array(s))
+    parsed = F.coalesce(json_array(s), F.array(s))
     arr = (
         F.when(raw.isNull() | (s == ""), F.array().cast(_ARRAY))
         .when(s.startswith("["), parsed)
@@ -46,6 +57,6 @@ def zones_loader(raw: Column) -> Column:
 
 def zones_sql(raw: Column) -> Column:
     """Array of trimmed, non-blank zone names (before explode)."""
-    arr = F.when(strip_ws(raw).startswith("["), F.from_json(raw, _ARRAY)).otherwise(F.array(raw))
+    arr = F.when(strip_ws(raw).startswith("["), json_array(strip_ws(raw))).otherwise(F.array(raw))
     trimmed = F.transform(arr, strip_ws)
     return F.filter(trimmed, lambda z: z.isNotNull() & (z != ""))

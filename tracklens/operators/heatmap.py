@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracklens.functions.casting import round_half_up, to_mph
 from tracklens.functions.classes import type_partial
 from tracklens.params import DEFAULT_MIN_POINTS, DEFAULT_PRECISION
 
+def placed() -> Column:
+    """Both coordinates are numbers."""
+    return F.coalesce(~F.isnan("lon") & ~F.isnan("lat") & F.col("lon").isNotNull() & F.col("lat").isNotNull(), F.lit(False))
+
+
 CELL_KEYS = ["lon", "lat", "raw_type", "device_id"]
 
 
@@ -38,7 +43,7 @@ def heatmap(
         "track_identifier",
         "speed_ms",
         "timestamp",
-    ).where(F.col("lon").isNotNull() & F.col("lat").isNotNull())
+    ).where(placed())
     if approx_distinct:
         per_cell = cells.groupBy(*CELL_KEYS).agg(
             F.approx_count_distinct("track_identifier").alias("point_count"),
@@ -77,6 +82,16 @@ def _finish(per_cell: DataFrame, min_points: int) -> DataFrame:
     )
 
 
+def center_latitude(det: DataFrame, precision: int = DEFAULT_PRECISION) -> Column:
+    """Middle of the latitude range of the cells with one track at least, as a scalar.
+
+    Rounding keeps the order, so the range of the rounded latitudes is the
+    rounded range of the points': no cell is formed for it.
+    """
+    ends = det.where(placed() & F.col("track_identifier").isNotNull()).agg(F.min("lat").alias("lo"), F.max("lat").alias("hi"))
+    return ends.select((round_half_up(F.col("lo"), precision) + round_half_up(F.col("hi"), precision)) / 2).scalar()
+
+
 def top_cells(cells: DataFrame, n: int) -> DataFrame:
     """The ``n`` busiest cells (a top-k report; ties by cell key)."""
     return cells.orderBy(
@@ -86,10 +101,9 @@ def top_cells(cells: DataFrame, n: int) -> DataFrame:
 
 
 def unplaced_detections(det: DataFrame) -> DataFrame:
-    """Detections the grid cannot place (longitude or latitude unparseable):
+    """Detections the grid cannot place (a longitude or latitude that is no number):
     one row with their point and distinct-track counts, so the cells the
     heatmap leaves out are reported rather than silently lost."""
-    bad = F.col("lon").isNull() | F.col("lat").isNull()
-    return det.where(bad).agg(
+    return det.where(~placed()).agg(
         F.count(F.lit(1)).alias("points"), F.count_distinct("track_identifier").alias("tracks")
     )

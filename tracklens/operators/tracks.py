@@ -1,18 +1,16 @@
 """Trajectories: track selection, step distances, thinning, trips, heads.
 
 Sequence operators (previous point, next point) are window functions over
-one track in time order.  A track can be arbitrarily long, so the window is
-partitioned by (track, time chunk) instead of track alone: the previous row
-of a chunk's first row is carried over from a small per-chunk table of
-"last point" rows (one row per track and chunk).  The result is identical
-to an unchunked ``lag`` and no task ever holds more than one chunk of one
-track.
+one track in time order.  A track can be arbitrarily long, so windows are
+partitioned by (track, time chunk) instead of track alone.  What a chunk's
+first or last row needs from the neighbouring chunk comes from an aggregate
+with one row per (track, chunk), which combines map-side: the points are
+windowed and sorted once.  The result is identical to an unchunked window
+and no task ever holds more than one chunk of one track.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,74 +20,92 @@ from tracklens.functions.geo import haversine_m
 from tracklens.functions.timefn import epoch_ms, epoch_us, is_ntz
 from tracklens.functions.zones import zones_loader
 from tracklens.params import PLAYBACK_STEP_MS, TRAIL_LENGTH_MS, ThinParams
-from tracklens.session import stage_table
 
 TRACK = "track_identifier"
 ORDER = ["timestamp", "event_id"]
-# A selected-track list up to this many rows is broadcast; the cap is the
-# query's own LIMIT, so its size is known before the join is planned.
-BROADCAST_TRACK_LIMIT = 200_000
 DEFAULT_CHUNK_MS = 3_600_000
+# rows without a track id belong together, so their chunks are shorter
+NULL_CHUNKS = 60
 
 
-def first_tracks(det: DataFrame, max_tracks: int) -> DataFrame:
-    """The ``max_tracks`` tracks seen first in the period (ties by track id).
+def first_tracks(det: DataFrame, max_tracks: int | None = None) -> DataFrame:
+    """Each track's first and last detection times; of the ``max_tracks`` tracks seen first, if given.
 
-    Each track's first and last detection times come along (they bound
-    the thinning buckets).  A NULL track id takes part in the ranking as
-    one group, as in SQL, but never joins to points.
+    Ties go by track id.  A NULL track id takes part in the ranking as one
+    group, as in SQL, but never joins to points.
     """
     bounds = det.groupBy(TRACK).agg(
         F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts")
     )
+    if max_tracks is None:
+        return bounds
     return bounds.orderBy(F.col("first_ts"), F.col(TRACK).asc_nulls_last()).limit(max_tracks)
 
 
-def with_previous(
-    df: DataFrame, chunk: Column, values: list[str], key: str = TRACK
+def left_out(det: DataFrame, max_tracks: int | None) -> DataFrame:
+    """One row: how many tracks a cap of ``max_tracks`` leaves out."""
+    n = det.select(TRACK).distinct().agg(F.count(F.lit(1)).alias("n"))
+    kept = F.col("n") if max_tracks is None else F.lit(max_tracks)
+    return n.select(F.greatest(F.col("n") - kept, F.lit(0)).cast("long").alias("tracks_left_out"))
+
+
+def _with_keys(df: DataFrame, key: str, chunk: Column) -> DataFrame:
+    """Window keys: the key with NULL as '', whether it is NULL, and the chunk."""
+    return df.select(
+        "*", F.coalesce(F.col(key), F.lit("")).alias("_kk"), F.col(key).isNull().alias("_kn"), chunk.alias("_chunk")
+    )
+
+
+def time_chunk(us: Column, key: str, chunk_ms: int) -> Column:
+    """Number of the time chunk of an instant (microseconds); shorter chunks where ``key`` is NULL."""
+    span = F.when(F.col(key).isNull(), F.lit(max(1, chunk_ms // NULL_CHUNKS))).otherwise(F.lit(chunk_ms)).cast("long")
+    return F.floor(us / (span * F.lit(1000))).cast("long")
+
+
+def _neighbours(
+    keyed: DataFrame, values: list[str], back: bool, extra: dict[str, Column] | None = None
 ) -> DataFrame:
-    """Add ``prev_<v>`` (the value of the previous row of the same key in
-    time order), processing one time chunk per window partition.
-
-    Within a chunk ``lag`` gives the previous row.  The first row of a
-    chunk takes the last row of the nearest earlier chunk: those last rows
-    (one per key and chunk) come from the same windowed frame, and a
-    second, tiny window over chunks carries them forward.  Windows and the
-    join use the same keys — (key with NULL as '', key is NULL, chunk) —
-    so a NULL key is one group (as in SQL) and, when the join is a
-    sort-merge join, the big side keeps the window's partitioning instead
-    of being shuffled again.  ``chunk`` must be non-decreasing in time
-    within a key.
+    """``keyed`` (with ``_kk, _kn, _chunk``) plus ``prev_<v>`` or ``next_<v>``: the value of the row before or
+    behind within the same key in time order, and ``extra``, per-track aggregates of the chunk rows.
+
+    ``extra`` maps a name to an aggregate over the chunk aggregate's columns
+    ``lo`` and ``hi`` (first and last time) and ``first`` (its first row).
     """
-    d = df.select(
-        "*",
-        F.coalesce(F.col(key), F.lit("")).alias("_kk"),
-        F.col(key).isNull().alias("_kn"),
-        chunk.alias("_chunk"),
-    )
     keys = ["_kk", "_kn", "_chunk"]
-    w = Window.partitionBy(*keys).orderBy(*ORDER)
-    inner = d.select(
-        "*",
-        F.row_number().over(w).alias("_rn"),
-        F.lead(F.lit(1)).over(w).isNull().alias("_is_last"),
-        *[F.lag(v).over(w).alias(f"prev_{v}") for v in values],
+    order = F.struct(*ORDER)
+    row = F.struct(*values)
+    chunks = keyed.groupBy(*keys).agg(
+        (F.max_by(row, order) if back else F.min_by(row, order)).alias("_edge"),
+        F.min("timestamp").alias("lo"),
+        F.max("timestamp").alias("hi"),
+        F.min_by(row, order).alias("first"),
     )
-    last = inner.where(F.col("_is_last")).select(*keys, F.struct(*values).alias("_last"))
-    carry = last.select(
-        *keys, F.lag("_last").over(Window.partitionBy("_kk", "_kn").orderBy("_chunk")).alias("_carry")
+    track = Window.partitionBy("_kk", "_kn")
+    by_chunk = track.orderBy("_chunk")
+    carry = chunks.select(
+        *keys,
+        (F.lag if back else F.lead)("_edge").over(by_chunk).alias("_carry"),
+        *[agg.over(track).alias(name) for name, agg in (extra or {}).items()],
     )
-    joined = inner.join(carry, keys, "left")
-    first = F.col("_rn") == 1
-    drop = {f"prev_{v}" for v in values} | {"_is_last", "_kk", "_kn"}
-    keep = [c for c in inner.columns if c not in drop]
-    return joined.select(
-        *keep,
-        *[
-            F.when(first, F.col("_carry").getField(v)).otherwise(F.col(f"prev_{v}")).alias(f"prev_{v}")
-            for v in values
-        ],
+    w = Window.partitionBy(*keys).orderBy(*ORDER)
+    near, name = (F.lag, "prev") if back else (F.lead, "next")
+    inner = keyed.select(
+        "*",
+        near(F.lit(1)).over(w).isNull().alias("_edge_row"),
+        *[near(v).over(w).alias(f"_{v}") for v in values],
     )
+    joined = inner.join(carry, keys)
+    value = [
+        F.when(F.col("_edge_row"), F.col("_carry").getField(v)).otherwise(F.col(f"_{v}")).alias(f"{name}_{v}")
+        for v in values
+    ]
+    own = [c for c in keyed.columns if c not in keys]
+    return joined.select(*own, *value, *(extra or {}))
+
+
+def with_previous(df: DataFrame, chunk: Column, values: list[str], key: str = TRACK) -> DataFrame:
+    """``df`` with ``prev_<v>``; ``chunk`` must not fall with time within a key."""
+    return _neighbours(_with_keys(df, key, chunk), values, back=True)
 
 
 def step_distance(det: DataFrame, chunk_ms: int = DEFAULT_CHUNK_MS) -> DataFrame:
@@ -98,63 +114,45 @@ def step_distance(det: DataFrame, chunk_ms: int = DEFAULT_CHUNK_MS) -> DataFrame
     0 when there is no previous point or its longitude does not parse;
     NULL when a needed coordinate is missing.
     """
-    ntz = is_ntz(det, "timestamp")
-    chunk = F.floor(epoch_ms(F.col("timestamp"), ntz) / F.lit(chunk_ms)).cast("long")
-    p = with_previous(det.select(TRACK, *ORDER, "lon", "lat"), chunk, ["lon", "lat"])
+    us = epoch_us(F.col("timestamp"), is_ntz(det, "timestamp"))
+    points = _with_keys(det.select(TRACK, *ORDER, "lon", "lat"), TRACK, time_chunk(us, TRACK, chunk_ms))
+    p = _neighbours(points, ["lon", "lat"], back=True)
     dist = F.when(F.col("prev_lon").isNull(), F.lit(0.0)).otherwise(
         haversine_m(F.col("prev_lon"), F.col("prev_lat"), F.col("lon"), F.col("lat"))
     )
     return p.select("event_id", TRACK, "timestamp", round_half_up(dist, 3).alias("distance_m"))
 
 
-def _large_source(df: DataFrame, factor: int = 4) -> bool:
-    """True when the input has many more splits than the cluster has cores
-    (re-reading it costs real I/O); small inputs are cheaper to re-read
-    than to stage."""
-    try:
-        return df.rdd.getNumPartitions() > factor * df.sparkSession.sparkContext.defaultParallelism
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect): assume large
-        return True
-
-
-def thinned_points(det: DataFrame, thin: ThinParams, stage: bool | None = None) -> DataFrame:
-    """Raw rows of the selected tracks that survive thinning.
+def thinned_points(det: DataFrame, thin: ThinParams) -> DataFrame:
+    """Raw rows that survive thinning, of all tracks or of the ``thin.max_tracks`` seen first.
 
     A row is kept when it is the first of its time bucket (``interval_ms``
     from the track's first detection; 0 = one bucket per millisecond) and
     lies at least ``min_distance_m`` from the previous *raw* point (or has
     none), or when it is at the track's last timestamp.
 
-    With ``stage`` the selected tracks' rows (a small slice of the source
-    when ``max_tracks`` is a few hundred) are written once to the shared
-    checkpoint folder, so the source is scanned twice in all (track list,
-    points) and both window branches read the staged slice; without it
-    each branch re-derives the slice from the source.  ``None`` (default)
-    stages only large sources.
+    The source is read twice: for the points, and for the chunk aggregate
+    that gives the carried rows and each track's first and last time.
     """
+    pts = det.where(F.col(TRACK).isNotNull())
+    if thin.max_tracks is not None:
+        chosen = first_tracks(det, thin.max_tracks).select(F.col(TRACK).alias("_chosen"))
+        pts = pts.join(chosen, F.col(TRACK) == F.col("_chosen"), "left_semi")
     ntz = is_ntz(det, "timestamp")
-    sel = first_tracks(det, thin.max_tracks)
-    if thin.max_tracks <= BROADCAST_TRACK_LIMIT:
-        sel = F.broadcast(sel)
-    pts = det.join(sel, TRACK)
-    if stage is None:
-        stage = _large_source(det)
-    if stage:
-        pts = stage_table(pts, "selected_points")
-    us = epoch_us(F.col("timestamp"), ntz)
-    off_ms = F.floor((us - epoch_us(F.col("first_ts"), ntz)) / F.lit(1000)).cast("long")
-    interval = int(thin.interval_ms)
-    if interval > 0:
-        bucket = F.floor(off_ms / F.lit(interval)).cast("long")
-        span = interval * max(1, math.ceil(thin.chunk_ms / interval))
-    else:
-        bucket = F.floor(us / F.lit(1000)).cast("long")
-        span = max(1, int(thin.chunk_ms))
-    pts = pts.withColumn("_bucket", bucket)
-    p = with_previous(
-        pts, F.floor(off_ms / F.lit(span)).cast("long"), ["lon", "lat", "_bucket"]
+    pts = pts.withColumn("us", epoch_us(F.col("timestamp"), ntz))
+    keyed = _with_keys(pts, TRACK, time_chunk(F.col("us"), TRACK, thin.chunk_ms))
+    p = _neighbours(
+        keyed, ["lon", "lat", "us"], back=True, extra={"first_ts": F.min("lo"), "last_ts": F.max("hi")}
     )
-    first_in_bucket = F.col("prev__bucket").isNull() | (F.col("prev__bucket") != F.col("_bucket"))
+    interval = int(thin.interval_ms)
+
+    def bucket(us: str) -> Column:
+        if interval <= 0:
+            return F.floor(F.col(us) / F.lit(1000)).cast("long")
+        off_ms = F.floor((F.col(us) - epoch_us(F.col("first_ts"), ntz)) / F.lit(1000))
+        return F.floor(off_ms / F.lit(interval)).cast("long")
+
+    first_in_bucket = F.col("prev_us").isNull() | (bucket("prev_us") != bucket("us"))
     dist = F.when(F.col("prev_lon").isNull(), F.lit(0.0)).otherwise(
         haversine_m(F.col("prev_lon"), F.col("prev_lat"), F.col("lon"), F.col("lat"))
     )
@@ -163,7 +161,7 @@ def thinned_points(det: DataFrame, thin: ThinParams, stage: bool | None = None)
         first_in_bucket
         & (F.lit(md == 0) | (dist >= F.lit(md)) | F.col("prev_lon").isNull())
     ) | (F.col("timestamp") == F.col("last_ts"))
-    return p.where(keep).drop("_bucket", "prev__bucket", "_rn", "_chunk")
+    return p.where(keep).drop("us", "prev_us")
 
 
 def _nonzero_or_zero(c: Column, value: Column) -> Column:
@@ -171,14 +169,14 @@ def _nonzero_or_zero(c: Column, value: Column) -> Column:
     return F.when(c.isNull() | (c == 0), F.lit(0.0)).otherwise(value)
 
 
-def map_tracks(det: DataFrame, thin: ThinParams, stage: bool | None = None) -> DataFrame:
+def map_tracks(det: DataFrame, thin: ThinParams) -> DataFrame:
     """Thinned track points as the map consumes them.
 
     Coordinates to 5 decimals and heading to 1 (half-even), speed in mph
     to 1 decimal; missing or zero values become 0; zones parsed with the
     loader rule; raw types mapped only when known.
     """
-    t = thinned_points(det, thin, stage)
+    t = thinned_points(det, thin)
     speed = round_half_up(to_mph(F.col("speed_ms")), 1)
     return t.select(
         "event_id",
@@ -199,8 +197,7 @@ def map_time_bounds(det: DataFrame, thin: ThinParams) -> DataFrame:
 
     Thinning always keeps a track's first raw point (nothing before it)
     and its last one, so the points' time range equals the range of the
-    selected tracks' first/last detections — a one-row aggregate of the
-    capped track list, whose shuffle the thinning plan already has.
+    selected tracks' first/last detections: a one-row aggregate.
     """
     sel = first_tracks(det, thin.max_tracks).where(F.col(TRACK).isNotNull())
     ntz = is_ntz(det, "timestamp")
@@ -212,15 +209,6 @@ def map_time_bounds(det: DataFrame, thin: ThinParams) -> DataFrame:
     )
 
 
-def _offset_ms(points: DataFrame, time_min_ms: Column | None) -> tuple[DataFrame, Column]:
-    ntz = is_ntz(points, "timestamp")
-    p = points.withColumn("_ms", epoch_ms(F.col("timestamp"), ntz))
-    t0 = time_min_ms if time_min_ms is not None else points.select(
-        F.min(epoch_ms(F.col("timestamp"), ntz))
-    ).scalar()
-    return p, t0
-
-
 def track_time_range(points: DataFrame) -> DataFrame:
     """Time origin, end and span (ms) of the map points."""
     ntz = is_ntz(points, "timestamp")
@@ -235,60 +223,70 @@ def trips(points: DataFrame, time_min_ms: Column | None = None) -> DataFrame:
 
     ``points`` are map-track points (already thinned, so one track's list
     is bounded by period / interval).  The class is the first point's.
-    Without ``time_min_ms`` the origin is the earliest point over all
-    trips: a window over the per-track rows (at most ``max_tracks``), so
-    no second pass over the points is needed.
+    ``time_min_ms`` is the time origin, usually ``map_time_bounds``'s one
+    number; without it the earliest of ``points`` is looked up.
     """
     ntz = is_ntz(points, "timestamp")
-    p = points.withColumn("_ms", epoch_ms(F.col("timestamp"), ntz))
-    g = p.groupBy("track_id").agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct(
-                    epoch_us(F.col("timestamp"), ntz).alias("us"),
-                    F.col("event_id").alias("eid"),
-                    F.col("_ms").alias("ms"),
-                    F.col("longitude").alias("lon"),
-                    F.col("latitude").alias("lat"),
-                    F.coalesce(F.col("speed"), F.lit(0.0)).alias("speed"),
-                    F.col("object_type").alias("otype"),
-                )
-            )
-        ).alias("pts")
+    us = epoch_us(F.col("timestamp"), ntz)
+    point = F.struct(
+        us.alias("us"), F.col("event_id").alias("eid"), F.col("longitude").alias("lon"),
+        F.col("latitude").alias("lat"), F.coalesce(F.col("speed"), F.lit(0.0)).alias("speed"),
+    )
+    g = points.groupBy("track_id").agg(
+        F.array_sort(F.collect_list(point)).alias("pts"),
+        F.min_by(F.struct("object_type"), F.struct(us, "event_id")).alias("first"),
     )
-    if time_min_ms is None:
-        g = g.withColumn("_t0", F.min(F.col("pts")[0]["ms"]).over(Window.partitionBy()))
-    else:
-        g = g.withColumn("_t0", time_min_ms)
-    return g.select(
+    return g.withColumn("_t0", _origin(points, time_min_ms)).select(
         F.col("track_id").alias("trackId"),
-        F.col("pts")[0]["otype"].alias("objectType"),
+        F.col("first.object_type").alias("objectType"),
         F.transform("pts", lambda x: F.array(x["lon"], x["lat"])).alias("coordinates"),
-        F.transform("pts", lambda x: x["ms"] - F.col("_t0")).alias("timestamps"),
+        F.transform("pts", lambda x: F.floor(x["us"] / 1000).cast("long") - F.col("_t0")).alias("timestamps"),
         F.transform("pts", lambda x: x["speed"]).alias("speeds"),
     )
 
 
-def _segments(points: DataFrame, time_min_ms: Column | None) -> DataFrame:
-    p, t0 = _offset_ms(points, time_min_ms)
-    w = Window.partitionBy("track_id").orderBy("timestamp", "event_id")
-    first_type = F.first("object_type").over(
-        w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    )
-    return p.select(
+def _origin(points: DataFrame, time_min_ms: Column | None) -> Column:
+    if time_min_ms is not None:
+        return time_min_ms
+    return points.select(F.min(epoch_ms(F.col("timestamp"), is_ntz(points, "timestamp")))).scalar()
+
+
+def _segments(points: DataFrame, time_min_ms: Column | None, chunk_ms: int = DEFAULT_CHUNK_MS) -> DataFrame:
+    """Each point with the next one of its track, times as offsets from the origin."""
+    ntz = is_ntz(points, "timestamp")
+    p = points.select(
+        "track_id", "object_type", "timestamp", "event_id", "longitude", "latitude",
+        F.coalesce(F.col("speed"), F.lit(0.0)).alias("speed"),
+        epoch_ms(F.col("timestamp"), ntz).alias("ms"),
+    )
+    keyed = _with_keys(p, "track_id", time_chunk(epoch_us(F.col("timestamp"), ntz), "track_id", chunk_ms))
+    values = ["ms", "longitude", "latitude", "speed", "object_type"]
+    near = _neighbours(keyed, values, back=False, extra={"opening": F.min_by("first", "lo")})
+    t0 = _origin(points, time_min_ms)
+    return near.select(
         "track_id",
-        first_type.alias("objectType"),
-        (F.col("_ms") - t0).alias("t"),
+        F.col("opening.object_type").alias("objectType"),
+        (F.col("ms") - t0).alias("t"),
         F.col("longitude").alias("lon"),
         F.col("latitude").alias("lat"),
-        F.coalesce(F.col("speed"), F.lit(0.0)).alias("speed"),
-        (F.lead("_ms").over(w) - t0).alias("nt"),
-        F.lead("longitude").over(w).alias("nlon"),
-        F.lead("latitude").over(w).alias("nlat"),
-        F.coalesce(F.lead("speed").over(w), F.lit(0.0)).alias("nspeed"),
+        "speed",
+        (F.col("next_ms") - t0).alias("nt"),
+        F.col("next_longitude").alias("nlon"),
+        F.col("next_latitude").alias("nlat"),
+        F.coalesce("next_speed", F.lit(0.0)).alias("nspeed"),
     )
 
 
+def _between(at: Column) -> list[Column]:
+    """``lon, lat, speed`` at ``at`` on a segment: its first point, or moved towards the next one."""
+    exact = F.col("nt").isNull() | (at == F.col("t"))
+    frac = F.try_divide((at - F.col("t")).cast("double"), (F.col("nt") - F.col("t")).cast("double"))
+    return [
+        F.when(exact, F.col(c)).otherwise(F.col(c) + (F.col(f"n{c}") - F.col(c)) * frac).alias(c)
+        for c in ("lon", "lat", "speed")
+    ]
+
+
 def trip_heads(
     points: DataFrame, step_ms: int = PLAYBACK_STEP_MS, time_min_ms: Column | None = None
 ) -> DataFrame:
@@ -307,20 +305,47 @@ def trip_heads(
     frames = s.where(lo <= hi).select(
         "*", F.explode(F.sequence(lo, hi, step)).alias("frame_ms")
     )
-    exact = F.col("nt").isNull() | (F.col("frame_ms") == F.col("t"))
-    frac = F.try_divide((F.col("frame_ms") - F.col("t")).cast("double"), (F.col("nt") - F.col("t")).cast("double"))
+    return frames.select("frame_ms", F.col("track_id").alias("trackId"), "objectType", *_between(F.col("frame_ms")))
 
-    def lerp(a: str, b: str) -> Column:
-        return F.when(exact, F.col(a)).otherwise(F.col(a) + (F.col(b) - F.col(a)) * frac)
 
-    return frames.select(
-        "frame_ms",
-        F.col("track_id").alias("trackId"),
-        "objectType",
-        lerp("lon", "nlon").alias("lon"),
-        lerp("lat", "nlat").alias("lat"),
-        lerp("speed", "nspeed").alias("speed"),
+def heads_at(points: DataFrame, at_ms: int, time_min_ms: Column | None = None) -> DataFrame:
+    """Head positions at one instant, ``at_ms`` from the time origin: what the map draws for a playback time.
+
+    One aggregate per track: its last point at or before the instant and
+    its first one behind it.
+    """
+    ntz = is_ntz(points, "timestamp")
+    t0 = _origin(points, time_min_ms)
+    p = points.select(
+        "track_id", "object_type", (epoch_ms(F.col("timestamp"), ntz) - t0).alias("t"), F.col("longitude").alias("lon"),
+        F.col("latitude").alias("lat"), F.coalesce(F.col("speed"), F.lit(0.0)).alias("speed"),
+        F.struct("timestamp", "event_id").alias("o"),
+    )
+    here, point = F.col("t") <= at_ms, F.struct("t", "lon", "lat", "speed")
+    g = p.groupBy("track_id").agg(
+        F.min_by(F.struct("object_type"), "o").alias("opening"),
+        F.max_by(F.when(here, point), F.when(here, F.col("o"))).alias("a"),
+        F.min_by(F.when(~here, point), F.when(~here, F.col("o"))).alias("b"),
+    )
+    live = g.where(F.col("a").isNotNull() & (F.col("b").isNotNull() | (F.col("a.t") == at_ms)))
+    seg = live.select(
+        "track_id", "opening", "a.*", F.col("b.t").alias("nt"), F.col("b.lon").alias("nlon"),
+        F.col("b.lat").alias("nlat"), F.col("b.speed").alias("nspeed"),
+    )
+    return seg.select(
+        F.col("track_id").alias("trackId"), F.col("opening.object_type").alias("objectType"), *_between(F.lit(at_ms))
+    )
+
+
+def trail_at(
+    points: DataFrame, at_ms: int, trail_ms: int = TRAIL_LENGTH_MS, time_min_ms: Column | None = None
+) -> DataFrame:
+    """Points of the fading trail at one instant: ``at_ms - trail_ms <= t <= at_ms``."""
+    t = epoch_ms(F.col("timestamp"), is_ntz(points, "timestamp")) - _origin(points, time_min_ms)
+    p = points.select(
+        F.col("track_id").alias("trackId"), t.alias("t"), F.col("longitude").alias("lon"), F.col("latitude").alias("lat")
     )
+    return p.where(F.col("t").between(at_ms - trail_ms, at_ms))
 
 
 def trip_trail(
@@ -333,14 +358,17 @@ def trip_trail(
     """Points drawn as the fading trail at each frame: T - trail <= t <= T.
 
     Frames run from 0 to the time range (the playback scrubber's span).
+    Every point comes once per frame that shows it; for one frame use
+    :func:`trail_at`.
     """
-    p, t0 = _offset_ms(points, time_min_ms)
-    t = F.col("_ms") - t0
-    t_max = time_range_ms if time_range_ms is not None else p.select(F.max("_ms")).scalar() - t0
+    ms = epoch_ms(F.col("timestamp"), is_ntz(points, "timestamp"))
+    t0 = _origin(points, time_min_ms)
+    t = ms - t0
+    t_max = time_range_ms if time_range_ms is not None else points.select(F.max(ms)).scalar() - t0
     step = F.lit(int(step_ms))
     lo = F.ceil(t / step).cast("long") * step
     hi = F.floor(F.least(t + F.lit(int(trail_ms)), t_max) / step).cast("long") * step
-    return p.where(lo <= hi).select(
+    return points.where(lo <= hi).select(
         F.explode(F.sequence(lo, hi, step)).alias("frame_ms"),
         F.col("track_id").alias("trackId"),
         t.alias("t"),

@@ -40,15 +40,9 @@ def zone_stats(det: DataFrame) -> DataFrame:
 def track_zone_sets(det: DataFrame) -> DataFrame:
     """track_identifier, zones: sorted distinct zones a track touched.
 
-    Distinct raw texts are collected first (a track repeats a handful of
-    zone strings), and only those are parsed.
+    Distinct (track, text) pairs are parsed, and distinct (track, zone)
+    pairs gathered, so a track's list holds its zones and nothing else.
     """
-    per_track = (
-        det.where(has_zones(F.col("zones_hit")))
-        .groupBy("track_identifier")
-        .agg(F.collect_set("zones_hit").alias("raws"))
-    )
-    return per_track.select(
-        "track_identifier",
-        F.array_sort(F.array_distinct(F.flatten(F.transform("raws", zones_loader)))).alias("zones"),
-    )
+    texts = det.where(has_zones(F.col("zones_hit"))).select("track_identifier", "zones_hit").distinct()
+    zones = texts.select("track_identifier", F.explode_outer(zones_loader(F.col("zones_hit"))).alias("zone"))
+    return zones.distinct().groupBy("track_identifier").agg(F.array_sort(F.collect_list("zone")).alias("zones"))

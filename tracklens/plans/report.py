@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracklens.functions.casting import round_half_even
 from tracklens.functions.compass import CARDINAL_LABELS, COMPASS_LABELS
 from tracklens.operators import summary as S
 from tracklens.operators.directions import direction_rose
@@ -13,15 +17,16 @@ from tracklens.operators.heatmap import heatmap
 from tracklens.operators.rollup import track_rollup, track_zones
 from tracklens.operators.speed import speed_profile
 from tracklens.operators.timeline import timeline
-from tracklens.operators.tracks import map_tracks
+from tracklens.operators.tracks import left_out, map_tracks
 from tracklens.operators.zonestats import zone_stats
-from tracklens.params import FREIGHT_ZONE, Period, ThinParams, validate_slug
+from tracklens.params import DEFAULT_MIN_POINTS, DEFAULT_PRECISION, FREIGHT_ZONE, Period, ThinParams, validate_slug
 from tracklens.plans import sinks
 from tracklens.sources.detections import normalise
 from tracklens.sources.features import features_table
-from tracklens.session import stage_table
+from tracklens.session import remove_path, stage_table, unstage
 from tracklens.sources.orgs import org_name_literal
 
+MANIFEST = "_manifest"
 SPEED_FIELDS = ["avg_speed", "top_speed", "ped_avg_speed", "ped_top_speed", "veh_avg_speed", "veh_top_speed"]
 
 
@@ -51,7 +56,7 @@ def summary(
         S.composition_expr(total, F.col("pedestrian_count")).alias("pedestrian_pct"),
         S.composition_expr(total, F.col("vehicle_count")).alias("vehicle_pct"),
         *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in SPEED_FIELDS],
-        F.bround(total / F.lit(hours), 0).cast("long").alias("flow_rate_per_hour"),
+        round_half_even(total / F.lit(hours), 0).cast("long").alias("flow_rate_per_hour"),
         zf.getField("freight_entries").alias("freight_entries"),
         S.peak_hour_expr(F.col("_best")).alias("peak_hour"),
         zf.getField("zones_active").alias("zones_active"),
@@ -116,29 +121,42 @@ def zone_features(features: DataFrame) -> DataFrame:
     )
 
 
+def feature_json() -> Column:
+    """One GeoJSON Feature; metadata that is no JSON becomes ``{}``."""
+    metadata = F.coalesce(F.try_parse_json(F.col("metadata")), F.parse_json(F.lit("{}")))
+    return F.concat(
+        F.lit('{"type":"Feature","geometry":'),
+        F.col("geometry"),
+        F.lit(',"properties":'),
+        F.to_json(F.struct("feature_id", "feature_name", "feature_type", metadata.alias("metadata"))),
+        F.lit("}"),
+    )
+
+
+def feature_lines(features: DataFrame) -> DataFrame:
+    """The FeatureCollection document as lines in order, one feature each, in one partition.
+
+    A document is one file, which one task writes line by line; no row and
+    no group ever holds more than one feature.
+    """
+    lines = zone_features(features).select(F.lit(1).alias("part"), "feature_id", feature_json().alias("line"))
+    spark = features.sparkSession
+    ends = spark.createDataFrame(
+        [(0, None, '{"type":"FeatureCollection","features":['), (2, None, "]}")], "part int, feature_id string, line string"
+    )
+    ordered = lines.union(ends).repartitionByRange(1, "part").sortWithinPartitions("part", "feature_id", "line")
+    ordered = ordered.withColumn("n", F.monotonically_increasing_id())  # the opening line is number 0
+    comma = F.when((F.col("part") == 1) & (F.col("n") > 1), ",").otherwise("")
+    return ordered.select(F.concat(comma, "line").alias("value"))
+
+
 def feature_collection(features: DataFrame) -> DataFrame:
     """One GeoJSON FeatureCollection document (text).
 
-    A tenant's feature table is its site plan (zones and gates), a small
-    bounded table, so the features are gathered into one document.
+    For a page that takes a small site plan in one piece; the report is
+    written from :func:`feature_lines`.
     """
-    f = zone_features(features).select(
-        "feature_id",
-        F.concat(
-            F.lit('{"type":"Feature","geometry":'),
-            F.col("geometry"),
-            F.lit(',"properties":'),
-            F.to_json(
-                F.struct(
-                    "feature_id",
-                    "feature_name",
-                    "feature_type",
-                    F.parse_json(F.col("metadata")).alias("metadata"),
-                )
-            ),
-            F.lit("}"),
-        ).alias("feature"),
-    )
+    f = zone_features(features).select("feature_id", feature_json().alias("feature"))
     return f.agg(
         F.concat(
             F.lit('{"type":"FeatureCollection","features":['),
@@ -161,7 +179,7 @@ def feature_type_counts(features: DataFrame) -> DataFrame:
 
 def daily_periods(det: DataFrame) -> DataFrame:
     """Each UTC day with detections as a report period and its folder slug."""
-    day = F.date_format(F.col("timestamp"), "yyyy-MM-dd")
+    day = F.to_date("timestamp").cast("string")
     d = det.groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("detections"))
     start = F.concat(F.col("day"), F.lit("T00:00:00"))
     end = F.concat(F.col("day"), F.lit("T23:59:59"))
@@ -208,58 +226,95 @@ def build_report(
     period: Period,
     out_root: str,
     thin: ThinParams = ThinParams(),
-    heat_precision: int = 5,
-    heat_min_points: int = 1,
+    heat_precision: int = DEFAULT_PRECISION,
+    heat_min_points: int = DEFAULT_MIN_POINTS,
+    map_precision: int = DEFAULT_PRECISION,
+    map_min_points: int = DEFAULT_MIN_POINTS,
     fmt: str = "json",
     features: DataFrame | None = None,
+    date_col: str | None = None,
 ) -> dict[str, str]:
     """Write every report result for one tenant and period.
 
     ``features`` is the tenant's feature table; by default it is read from
-    the catalog (a missing table gives an empty collection).
-
-    The typed, period-filtered scan is written once as Parquet under the
-    cluster's shared checkpoint folder and read back, so every result reads
-    a pruned columnar table and a lost executor never forces a re-read of
-    the raw source; the per-track roll-up (one row per track) is
-    checkpointed there too and feeds the summary and the rose.  The
-    snapshot folder must not exist: a published period is never
-    overwritten.
+    the catalog (a missing table gives an empty collection). ``date_col``
+    names the raw table's date partition column, if it has one.
+
+    The typed, period-filtered scan, the per-track roll-up and the heatmap
+    cells are each written once as Parquet under the cluster's shared
+    checkpoint folder and removed at the end. The results are written into a
+    building folder, which gets its manifest last and then its final name: a
+    snapshot is whole or not there, and a published one is never overwritten.
     """
     base = snapshot_path(out_root, org, period)
-    if _exists(spark, base):
+    if is_published(spark, base):
         raise FileExistsError(f"snapshot already published: {base}")
-    det = stage_table(period_filter(normalise(raw), period), "detections")
-    roll = track_rollup(det).checkpoint()
-    cells = heatmap(det, heat_precision, heat_min_points)
-    results = {
-        "summary": summary_record(summary(roll, track_zones(det), period, org, spark)),
-        "timeline": sinks.timeline_records(timeline(det)),
-        "speed-profile": sinks.speed_profile_records(speed_profile(det)),
-        "zone-stats": sinks.zone_stats_records(zone_stats(det)),
-        "direction-rose": sinks.rose_records(direction_rose(roll)),
-        "heatmap": sinks.heatmap_records(cells),
-        "map-heatmap": sinks.heatmap_records(cells),
-        "map-tracks": sinks.map_track_records(map_tracks(det, thin)),
-        "zones": feature_collection(features if features is not None else features_table(spark, org)),
-    }
-    paths = {}
-    order = sink_order()
-    for name, df in results.items():
-        if name in order:
-            df = df.orderBy(*order[name])
-        path = f"{base}/{name}"
-        # the zones result is one GeoJSON document: written as that text itself
-        out_fmt = "text" if name == "zones" else fmt
-        df.write.mode("errorifexists").format(out_fmt).save(path)
-        paths[name] = path
-    return paths
+    parent, _, name = base.rpartition("/")
+    building = f"{parent}/_building-{name}-{uuid.uuid4().hex}"
+    staged: list[DataFrame] = []
+
+    def held(df: DataFrame, title: str) -> DataFrame:
+        staged.append(stage_table(df, title))
+        return staged[-1]
+
+    try:
+        det = held(normalise(period_filter(raw, period, date_col)), "detections")
+        roll = held(track_rollup(det), "rollup")
+        cells = map_cells = held(heatmap(det, heat_precision, heat_min_points), "cells")
+        if (map_precision, map_min_points) != (heat_precision, heat_min_points):
+            map_cells = heatmap(det, map_precision, map_min_points)
+        results = {
+            "summary": summary_record(summary(roll, track_zones(det), period, org, spark)),
+            "timeline": sinks.timeline_records(timeline(det)),
+            "speed-profile": sinks.speed_profile_records(speed_profile(det)),
+            "zone-stats": sinks.zone_stats_records(zone_stats(det)),
+            "direction-rose": sinks.rose_records(direction_rose(roll)),
+            "heatmap": sinks.heatmap_records(cells),
+            "map-heatmap": sinks.heatmap_records(map_cells),
+            "map-tracks": sinks.map_track_records(map_tracks(det, thin)),
+            "zones": feature_lines(features if features is not None else features_table(spark, org)),
+        }
+        order = sink_order()
+        for name, df in results.items():
+            ordered = df.orderBy(*order[name]) if name in order else df
+            # the zones result is one GeoJSON document: its lines are written as they are
+            ordered.write.mode("errorifexists").format("text" if name == "zones" else fmt).save(f"{building}/{name}")
+        manifest = {"org": org, "period": [period.start, period.end], "results": sorted(results), "format": fmt}
+        if thin.max_tracks is not None:
+            manifest |= {"max_tracks": thin.max_tracks, "tracks_left_out": left_out(det, thin.max_tracks).first()[0]}
+        spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{building}/{MANIFEST}")
+        if _exists(spark, base):
+            if is_published(spark, base):
+                raise FileExistsError(f"snapshot already published: {base}")
+            remove_path(spark, base)  # without a manifest it is what an interrupted build has left
+        _rename(spark, building, base)
+    finally:
+        for df in staged:
+            unstage(df)
+        if _exists(spark, building):
+            remove_path(spark, building)
+    return {name: f"{base}/{name}" for name in results}
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    p, fs = _path(spark, path)
+    return fs.exists(p)
+
+
+def _rename(spark: SparkSession, path: str, to: str) -> None:
+    p, fs = _path(spark, path)
+    if not fs.rename(p, _path(spark, to)[0]):
+        raise OSError(f"{path} can't be renamed to {to}")
+
+
+def is_published(spark: SparkSession, base: str) -> bool:
+    """A snapshot counts once its manifest is whole."""
+    return _exists(spark, f"{base}/{MANIFEST}/_SUCCESS")
 
 
 def read_result(spark: SparkSession, path: str, schema, fmt: str = "json") -> DataFrame:
@@ -267,6 +322,17 @@ def read_result(spark: SparkSession, path: str, schema, fmt: str = "json") -> Da
     return spark.read.schema(schema).format(fmt).load(path)
 
 
+def read_report(spark: SparkSession, base: str) -> dict[str, DataFrame]:
+    """All results of a published snapshot, each with its declared schema; ``zones`` as lines of its document."""
+    if not is_published(spark, base):
+        raise FileNotFoundError(f"no published snapshot: {base}")
+    manifest = json.loads(spark.read.text(f"{base}/{MANIFEST}").first()[0])
+    return {
+        name: read_result(spark, f"{base}/{name}", schema, "text" if name == "zones" else manifest["format"])
+        for name, schema in sinks.result_schemas().items()
+    }
+
+
 __all__ = [
     "summary",
     "summary_record",
@@ -276,5 +342,8 @@ __all__ = [
     "daily_periods",
     "snapshot_path",
     "build_report",
+    "feature_lines",
+    "is_published",
+    "read_report",
     "read_result",
 ]

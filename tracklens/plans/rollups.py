@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracklens.functions.casting import fixed6, js_round, round_half_up
+from tracklens.functions.casting import fixed6, js_fixed, js_round
 from tracklens.functions.classes import PEDESTRIAN, VEHICLE
 from tracklens.functions.compass import CARDINAL_LABELS, COMPASS_LABELS
 from tracklens.functions.geo import hex_cell, hex_center, mercator_inverse, mercator_xy
@@ -85,7 +85,7 @@ def zone_rollup(zone_stats: DataFrame, choice: str = "All") -> DataFrame:
     return g.select(
         zone_label(F.col("zone")).alias("zone"),
         det.cast("long").alias("detections"),
-        F.when(det > 0, round_half_up(F.col("speed_sum") / det, 1)).otherwise(F.lit(0.0)).alias("avg_speed"),
+        F.when(det > 0, js_fixed(F.col("speed_sum") / det, 1)).otherwise(F.lit(0.0)).alias("avg_speed"),
         share("ped").alias("pedestrian_pct"),
         share("veh").alias("vehicle_pct"),
     )
@@ -180,7 +180,7 @@ def speed_box_stats(speed_profile: DataFrame, exact: bool = True, accuracy: int
 def speed_whiskers(speed_profile: DataFrame) -> DataFrame:
     """Box-plot whiskers: extremes within 1.5 IQR of the quartiles, and the
     number of outliers beyond.  The quartile table has one row per class,
-    so it is broadcast to the values."""
+    so the planner sends it to the values."""
     box = speed_box_stats(speed_profile).select(
         "object_type",
         "q1",
@@ -189,7 +189,7 @@ def speed_whiskers(speed_profile: DataFrame) -> DataFrame:
         (F.col("q3") * 2.5 - F.col("q1") * 1.5).alias("hi_fence"),
     )
     s = speed_profile.where(F.col("object_type").isin(PEDESTRIAN, VEHICLE))
-    j = s.join(F.broadcast(box), "object_type")
+    j = s.join(box, "object_type")
     x = F.col("avg_speed")
     return j.groupBy("object_type", "lo_fence", "hi_fence").agg(
         F.min(F.when(x >= F.col("lo_fence"), x)).alias("whisker_low"),
@@ -198,6 +198,20 @@ def speed_whiskers(speed_profile: DataFrame) -> DataFrame:
     )
 
 
+def speed_outliers(speed_profile: DataFrame) -> DataFrame:
+    """The tracks beyond the whiskers' fences (1.5 IQR from the quartiles)."""
+    box = speed_box_stats(speed_profile).select(
+        F.col("object_type").alias("_type"),
+        (F.col("q1") * 2.5 - F.col("q3") * 1.5).alias("lo_fence"),
+        (F.col("q3") * 2.5 - F.col("q1") * 1.5).alias("hi_fence"),
+    )
+    x = F.col("avg_speed")
+    beyond = (x < F.col("lo_fence")) | (x > F.col("hi_fence"))
+    return speed_profile.join(box, F.col("object_type") == F.col("_type")).where(beyond).select(
+        "track_id", "object_type", "avg_speed"
+    )
+
+
 def bounds(cells: DataFrame) -> DataFrame:
     return cells.agg(
         F.min("lon").alias("min_lon"),
@@ -244,14 +258,14 @@ def histogram_columns(
     Only non-empty columns are returned.
 
     ``time_range`` is the one-row ``(time_min_ms, time_max_ms,
-    time_range_ms)`` frame, whose two numbers are fetched once (one small
-    job) and used as literals, or those two numbers directly.
+    time_range_ms)`` frame, read by scalar subqueries, or its first and last
+    number.
     """
     tl = type_filter(timeline, choice)
     if isinstance(time_range, DataFrame):
-        row = time_range.select("time_min_ms", "time_range_ms").first()
-        time_range = (row[0], row[1]) if row is not None else (None, None)
-    t_min, t_rng = F.lit(time_range[0]).cast("long"), F.lit(time_range[1]).cast("long")
+        t_min, t_rng = (time_range.select(c).scalar() for c in ("time_min_ms", "time_range_ms"))
+    else:
+        t_min, t_rng = (F.lit(x).cast("long") for x in time_range)
     ms = epoch_ms(F.col("bin_start"), is_ntz(timeline, "bin_start"))
     dur = t_rng.cast("double") / F.lit(float(n_columns))
     # a zero span (a single instant) has no columns; try_divide keeps it NULL

@@ -82,4 +82,14 @@ def result_schemas() -> dict:
         ),
     }
     out["map-heatmap"] = out["heatmap"]
+    counts = T.MapType(S, L)
+    out["summary"] = st(
+        ("total_detections", L), ("pedestrian_count", L), ("vehicle_count", L),
+        ("composition", st(("pedestrian_pct", L), ("vehicle_pct", L))),
+        ("avg_speed", D), ("top_speed", D), ("ped_avg_speed", D), ("ped_top_speed", D), ("veh_avg_speed", D),
+        ("veh_top_speed", D), ("flow_rate_per_hour", L), ("freight_entries", L), ("peak_hour", S), ("zones_active", L),
+        ("directions", counts), ("directions_4way", T.MapType(S, counts)),
+        ("period", st(("start", S), ("end", S))), ("org_subdomain", S), ("org_name", S),
+    )
+    out["zones"] = st(("value", S))
     return out

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,18 +28,15 @@ def local_session(cores: int | str = "*", app: str = "tracklens") -> SparkSessio
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a scratch one only when unset.
+    """The cluster's shared checkpoint folder.
 
-    On a cluster ``spark.checkpoint.dir`` names shared storage that
-    survives executor loss; it is never replaced here.  Local runs
-    without the setting get a fresh temporary folder.
+    ``spark.checkpoint.dir`` names shared storage that survives executor
+    loss; it is never replaced here, and a session without it is refused:
+    one machine's temporary folder would be unreadable to the others.
     """
-    conf = spark.sparkContext.getConf()
-    path = conf.get(CHECKPOINT_KEY, None) or spark.conf.get(CHECKPOINT_KEY, None)
+    path = spark.conf.get(CHECKPOINT_KEY, None)
     if not path:
-        path = tempfile.mkdtemp(prefix="tracklens-ckpt-")
-        spark.conf.set(CHECKPOINT_KEY, path)
-    spark.sparkContext.setCheckpointDir(path)
+        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
     return path
 
 
@@ -55,4 +51,17 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tracklens-stage/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def unstage(df: DataFrame) -> None:
+    """Remove a staged table that nothing reads any more."""
+    if getattr(df, "_staged_at", None):
+        remove_path(df.sparkSession, df._staged_at)

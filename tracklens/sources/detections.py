@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracklens.functions.casting import safe_double
+from tracklens.functions.timefn import from_epoch_us, is_ntz
 from tracklens.params import validate_slug
 
 RAW_SCHEMA = T.StructType(
@@ -35,33 +35,9 @@ def table_name(org: str, overrides: dict[str, str] | None = None) -> str:
     return (overrides if overrides is not None else TABLE_NAME_OVERRIDES).get(org, org)
 
 
-def ensure_parallelism(
-    df: DataFrame, keys: list[str] | None = None, min_partitions: int | None = None
-) -> DataFrame:
-    """Spread a scan that has fewer splits than the cluster has cores.
-
-    A large table arrives in thousands of file splits and is returned
-    untouched (no shuffle).  A small or unsplittable source (one row group,
-    one gzip file) would otherwise run every per-row parse of the report in
-    a single task; it is round-robin repartitioned over the cores instead,
-    which costs one shuffle of an input that is small by construction.
-    Rows are hashed on ``keys`` (a near-unique row key; all columns when
-    none is given): deterministic on retry without the local sort a
-    round-robin repartition needs.  The spread input is persisted (memory,
-    spilling to disk): the cached relation is a leaf the optimizer cannot
-    push predicates through, so the parsing behind a pushed-down filter
-    runs in the spread tasks and not back in the single scan task, and
-    later queries over the same small source reuse it.
-    """
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. a Spark Connect session)
-        return df
-    if splits < target:
-        spread = df.repartition(target, *[F.col(c) for c in (keys or df.columns)])
-        return spread.persist(StorageLevel.MEMORY_AND_DISK)
-    return df
+def quoted(*parts: str) -> str:
+    """A table name whose parts may hold any character (a slug may hold hyphens)."""
+    return ".".join(f"`{part.replace('`', '``')}`" for part in parts)
 
 
 def tenant_detections(
@@ -75,10 +51,8 @@ def tenant_detections(
     """Scan one tenant's detections: a catalog table, or parquet under ``root``."""
     name = table_name(org, overrides)
     if root is not None:
-        df = spark.read.parquet(f"{root.rstrip('/')}/{name}")
-    else:
-        df = spark.table(f"{database}.{name}" if database else name)
-    return ensure_parallelism(df, ["track_identifier", "timestamp"])
+        return spark.read.parquet(f"{root.rstrip('/')}/{name}")
+    return spark.table(quoted(*database.split("."), name) if database else quoted(name))
 
 
 def normalise(raw: DataFrame) -> DataFrame:
@@ -86,16 +60,21 @@ def normalise(raw: DataFrame) -> DataFrame:
 
     Keeps the raw ``object_type``, ``heading_degrees`` and ``zones_hit``
     (several rules look at the raw text) and adds ``lon``, ``lat``,
-    ``speed_ms`` and ``heading``.  ``event_id`` is only a tiebreak for
-    rows with equal timestamps; a constant is used when it is missing.
+    ``speed_ms`` and ``heading``.  ``timestamp`` becomes UTC wall-clock time
+    (TIMESTAMP_NTZ), so that no session time zone enters anything behind
+    this point; filter the period on the raw column first, which keeps the
+    predicate in the scan.  ``event_id`` is only a tiebreak for rows with
+    equal timestamps; without such a column it is a hash of the row, which
+    orders rows the same way on every run.
     """
-    event_id = F.col("event_id") if "event_id" in raw.columns else F.lit(0).cast("long")
+    ts = F.col("timestamp")
+    event_id = F.col("event_id") if "event_id" in raw.columns else F.xxhash64(*[F.col(f.name) for f in RAW_SCHEMA if f.name in raw.columns])
     return raw.select(
         event_id.alias("event_id"),
         F.col("track_identifier"),
         F.col("object_type"),
         F.col("device_identifier"),
-        F.col("timestamp"),
+        (ts if is_ntz(raw, "timestamp") else from_epoch_us(F.unix_micros(ts), True)).alias("timestamp"),
         safe_double(F.col("longitude")).alias("lon"),
         safe_double(F.col("latitude")).alias("lat"),
         safe_double(F.col("speed")).alias("speed_ms"),

@@ -30,10 +30,10 @@ def org_registry(spark: SparkSession) -> DataFrame:
 def with_org_name(df: DataFrame, slug_col: str, registry: DataFrame, out: str = "org_name") -> DataFrame:
     """Left lookup of the display name; an unknown slug names itself.
 
-    The registry is a handful of rows (one per tenant), so it is broadcast.
+    The planner broadcasts the registry by its measured size.
     """
     reg = registry.select(F.col("slug").alias("__slug"), F.col("display_name").alias("__name"))
-    joined = df.join(F.broadcast(reg), df[slug_col] == reg["__slug"], "left")
+    joined = df.join(reg, df[slug_col] == reg["__slug"], "left")
     return joined.withColumn(out, F.coalesce(F.col("__name"), F.col(slug_col))).drop("__slug", "__name")
 
 
