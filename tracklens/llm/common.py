@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+#: folders of plain local sessions without a setting, by application
+LOCAL_DIRS: dict[str, str] = {}
 #: monotonically_increasing_id() keeps the partition above this bit and the row number below.
 PARTITION_BIT = 33
 
@@ -25,8 +27,8 @@ def scratch_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not (master == "local" or master.startswith("local[")):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set(CHECKPOINT_DIR, base)
+        app = spark.sparkContext.applicationId
+        base = LOCAL_DIRS.setdefault(app, LOCAL_DIRS.get(app) or tempfile.mkdtemp(prefix="llm-"))
     return base.rstrip("/")
 
 

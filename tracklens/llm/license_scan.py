@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: a tag whose colon ends no sentence
+TAG = r"(SPDX-License-Identifier):"
 #: a sentence without one of these words is no licence sentence
 CUE = "licen|copyright|permission|redistribut|warrant|as is|public domain|unencumbered|endorse|liable|spdx|gnu |mozilla|creative commons"
 
@@ -119,7 +121,8 @@ def sentence_id(sentence: Column) -> Column:
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the licence sentences of ``text``, in order."""
-    cut = F.regexp_replace(F.coalesce(text, F.lit("")), r"([.;:!?])[ \t\r\n]+|\n[ \t\r]*\n", "$1\n\n")
+    tagged = F.regexp_replace(F.coalesce(text, F.lit("")), TAG, "$1 ")
+    cut = F.regexp_replace(tagged, r"([.;:!?])[ \t\r\n]+|\n[ \t\r]*\n", "$1\n\n")
     words = F.regexp_replace(F.translate(cut, UPPER, LOWER), r"\n\n", "|")
     plain = F.split(F.regexp_replace(words, r"[^a-z0-9|]+", " "), r"\|")
     cued = F.filter(plain, lambda s: s.rlike(CUE))
@@ -156,7 +159,7 @@ def oracle() -> str:
         marked = f"replace({marked}, '{''.join(f'<{i}>' for i in seq)}', '[{name}]')"
     return rf"""
 WITH cut AS (
-  SELECT doc_id, regexp_replace(coalesce(text, ''), '([.;:!?])[ \t\r\n]+|\n[ \t\r]*\n', '\1' || chr(10) || chr(10), 'g') AS t FROM documents
+  SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '{TAG}', '\1 ', 'g'), '([.;:!?])[ \t\r\n]+|\n[ \t\r]*\n', '\1' || chr(10) || chr(10), 'g') AS t FROM documents
 ), plain AS (
   SELECT doc_id, string_split(regexp_replace(replace(translate(t, '{UPPER}', '{LOWER}'), chr(10) || chr(10), '|'), '[^a-z0-9|]+', ' ', 'g'), '|') AS ss
   FROM cut

@@ -15,7 +15,8 @@ Newton steps solve the dual: one distributed sum per step over the table of
 Copies: documents are put in order of (source, size, hash of doc_id); a
 document gets as many copies as whole numbers are passed by the running sum
 of its source's rates. Neighbours in that order are of a size, so the words
-taken miss the target by little more than one document.
+taken miss the target by little more than one document. A few documents per
+source then get one copy more or less, which evens out what is left.
 
 Defined results: NULL texts have size 0; rate and copies of empty documents
 follow the same rule, but take no words; a source without words has target 0;
@@ -37,6 +38,7 @@ MAX_COPIES = 3
 ONE = 1 << 30  # a rate of 1
 HALF = 1 << 29
 MAX_STEPS = 100
+EVEN_ROUNDS = 3
 #: a source's words are balanced when they miss its target by less than this share
 CLOSE = 1e-6
 
@@ -135,9 +137,41 @@ def mix_rows(rows: DataFrame) -> DataFrame:
     ordered = in_order(rated.withColumn("_h", F.xxhash64("doc_id")), ["source", "size", "_h", "doc_id", "_rid"], "mix-rows")
     summed = running_before(ordered, "source", F.col("_rate"))
     passed = lambda c: F.expr(f"({c} + {HALF}) div {ONE}")
-    return summed.withColumns(
+    placed = summed.withColumns(
         {"rate": F.col("_rate") / F.lit(float(ONE)), "copies": passed("_before + _rate") - passed("_before")}
-    ).drop("_pid", "_idx", "_at", "_h", "_before", "_rate")
+    ).drop("_pid", "_idx", "_at", "_before", "_rate")
+    return evened(stage(placed, "mix-placed")).drop("_h")
+
+
+def evened(placed: DataFrame) -> DataFrame:
+    """``placed`` with ``copies`` changed by one for a few documents per source, to come nearer the target.
+
+    In each round every source picks the one document whose copy more or
+    less takes most off what the source still misses or has too much.
+    """
+    changes = placed.select("_rid", F.lit(0).cast("long").alias("_delta")).limit(0)
+    now = placed
+    for _ in range(EVEN_ROUNDS):
+        totals = now.groupBy(F.col("source").alias("_s")).agg(
+            F.sum(F.col("copies") * F.col("size")).alias("_taken"), F.max("target").alias("_goal")
+        )
+        miss = F.col("_goal") - F.col("_taken")
+        may = F.when(miss > 0, F.col("copies") < MAX_COPIES).otherwise(F.col("copies") > 0)
+        gain = F.abs(miss) - F.abs(F.abs(miss) - F.col("size"))
+        order = F.struct(gain, "_h", "doc_id", "_rid")
+        pick = (
+            now.join(totals, F.col("source").eqNullSafe(F.col("_s")))
+            .filter(may & (gain > 0))
+            .groupBy("_s")
+            .agg(F.max_by(F.struct("_rid", F.signum(miss).cast("long").alias("_delta")), order).alias("p"))
+            .select("p.*")
+        )
+        changes = stage(changes.union(pick), "mix-changes")
+        sums = changes.groupBy("_rid").agg(F.sum("_delta").alias("_delta"))
+        now = placed.join(sums, "_rid", "left").select(
+            *[c for c in placed.columns if c != "copies"], (F.col("copies") + F.coalesce("_delta", F.lit(0))).alias("copies")
+        )
+    return now
 
 
 def mix(docs: DataFrame) -> DataFrame:

@@ -39,6 +39,7 @@ PER_CLASS = 6000  # labelled rows per label that are used, at most
 VOCABULARY = 2048
 MIN_DOCS = 4  # toxic examples that hold a term, at least
 MIN_ODDS = 2.0  # natural log of the odds ratio, at least
+MIN_GAIN = 10.0  # log-likelihood ratio, at least
 PREFIXES = (4, 5, 6)
 NEAREST = 16
 SHARPNESS = 4
@@ -108,7 +109,7 @@ def vocabulary(sample: DataFrame, size: int = VOCABULARY) -> list[str]:
     best = (
         counts.groupBy("term")
         .agg(F.sum("toxic").cast("double").alias("a"), F.sum("clean").cast("double").alias("b"))
-        .filter((a >= MIN_DOCS) & (odds >= MIN_ODDS))
+        .filter((a >= MIN_DOCS) & (odds >= MIN_ODDS) & (gain >= MIN_GAIN))
         .orderBy(F.round(gain, 6).desc(), "term")
         .limit(size)
     )
