@@ -39,6 +39,7 @@ ONE = 1 << 30  # a rate of 1
 HALF = 1 << 29
 MAX_STEPS = 100
 EVEN_ROUNDS = 3
+LARGE = 0.01  # share of a target from which a document is large
 #: a source's words are balanced when they miss its target by less than this share
 CLOSE = 1e-6
 
@@ -122,17 +123,59 @@ def solve_rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return state
 
 
+def balanced(sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The solved dual per source, with ``goal``, the words it is solved for, and the copies of large documents.
+
+    A document of more than ``LARGE`` of its source's target can't be evened
+    out by others once its rate is rounded. The sources that have such
+    documents are solved again without them, for what their whole copies
+    leave of the target.
+    """
+    targets = source_targets(sizes)
+    dual = solve_rates(sizes, targets).withColumn("goal", F.col("target"))
+    at = F.col("source").eqNullSafe(F.col("_s"))
+    cells = sizes.withColumnRenamed("source", "_s").join(dual, at)
+    of_size = rate(F.col("size"), F.col("source_size"), F.col("docs"), F.col("multiplier"), F.col("full"))
+    large = stage(
+        cells.filter(~F.col("full") & (F.col("target") > 0) & (F.col("size") > F.col("target") * LARGE))
+        .withColumn("_r", of_size)
+        .select("source", "size", "n", F.expr(f"(_r + {HALF}) div {ONE}").alias("whole")),
+        "mix-large",
+    )
+    if not large.head(1):
+        return dual, large
+    own = large.select(F.col("source").alias("_s"), F.col("size").alias("_n"))
+    small = sizes.join(own, at & (F.col("size") == F.col("_n")), "left_anti")
+    taken = large.groupBy("source").agg(F.sum(F.col("n") * F.col("whole") * F.col("size")).alias("taken"))
+    spare = small.groupBy(F.col("source").alias("_s")).agg(F.sum(F.col("n") * F.col("size")).alias("spare"))
+    left = targets.join(taken.withColumnRenamed("source", "_s"), at).drop("_s").join(spare, at, "left").drop("_s")
+    goal = F.greatest(F.col("target") - F.col("taken"), F.lit(0.0))
+    again = left.select(
+        "source", "docs", "source_size", goal.alias("target"), (goal >= F.coalesce("spare", F.lit(0)) * MAX_COPIES).alias("full")
+    )
+    solved = solve_rates(small, again).withColumnRenamed("target", "goal")
+    solved = solved.join(targets.select(F.col("source").alias("_s"), "target"), at).drop("_s")
+    rest = dual.join(taken.select(F.col("source").alias("_s")), at, "left_anti")
+    columns = ["source", "docs", "source_size", "target", "goal", "full", "multiplier"]
+    return stage(rest.select(columns).union(solved.select(columns)), "mix-solved"), large
+
+
 def mix_rows(rows: DataFrame) -> DataFrame:
     """``rows(doc_id, source, size, _rid, ...)`` with ``source_size, target, rate, copies``; ``rows`` is staged."""
     sizes = stage(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-sizes")
-    dual = solve_rates(sizes, source_targets(sizes)).withColumnRenamed("source", "_s")
-    rated = rows.join(dual, F.col("source").eqNullSafe(F.col("_s"))).select(
-        *rows.columns,
-        "source_size",
-        "target",
-        F.when(F.col("target") > 0, rate(F.col("size"), F.col("source_size"), F.col("docs"), F.col("multiplier"), F.col("full")))
-        .otherwise(0)
-        .alias("_rate"),
+    dual, large = balanced(sizes)
+    dual = dual.withColumnRenamed("source", "_s")
+    large = large.select(F.col("source").alias("_ls"), F.col("size").alias("_lsize"), "whole")
+    of_size = rate(F.col("size"), F.col("source_size"), F.col("docs"), F.col("multiplier"), F.col("full"))
+    rated = (
+        rows.join(dual, F.col("source").eqNullSafe(F.col("_s")))
+        .join(large, F.col("source").eqNullSafe(F.col("_ls")) & (F.col("size") == F.col("_lsize")), "left")
+        .select(
+            *rows.columns,
+            "source_size",
+            "target",
+            F.coalesce(F.col("whole") * ONE, F.when(F.col("goal") > 0, of_size).otherwise(0)).alias("_rate"),
+        )
     )
     ordered = in_order(rated.withColumn("_h", F.xxhash64("doc_id")), ["source", "size", "_h", "doc_id", "_rid"], "mix-rows")
     summed = running_before(ordered, "source", F.col("_rate"))
