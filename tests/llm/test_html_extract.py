@@ -30,7 +30,17 @@ def test_short_article_keeps_its_heading():
     assert extract(page) == "Head\nOne line."
 
 
+def test_words_in_classes():
+    page = f'<body><div class="content-with-sidebar"><p>{PARA}</p><p>{PARA}</p></div><footer>x</footer></body>'
+    assert extract(page) == f"{PARA}\n{PARA}"  # hardly anything else is on the page
+    inner = f'<article><div class="entry-header"><h1>Head</h1></div><p>{PARA}</p><div class="post-comments">{PARA}</div></article>'
+    assert extract(inner) == f"Head\n{PARA}"
+    comments = f'<div id="a"><p>Short, real.</p></div><div class="comments">{"".join(f"<p>{PARA}</p>" for _ in range(30))}</div>'
+    assert extract(comments) == "Short, real."
+
+
 def test_odd_markup():
+    assert extract('<p>a</p><a "x>b') in ("a", "a\nb")
     assert extract(None) == extract("") == extract("<html></html>") == extract("<!-- never closed") == ""
     assert extract("just text &amp; more") == "just text & more"
     assert extract("<p>a<p>b</div></span>c") == "a\nb\nc"

@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|--!>|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<(?:[!?]|/[^a-zA-Z])[^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
+    r"|</?[a-zA-Z][^>]*(?:>|\Z)",  # a quote that is never closed
     re.S,
 )
 ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -76,6 +77,8 @@ SKIP_WORDS = frozenset(
     cookie cookies consent gdpr notice notices notification popup modal overlay alert toast
     search searchform toolbar toc skip hidden""".split()
 )
+#: words that also name what surrounds an article; they count less where hardly anything else is left
+LAYOUT_WORDS = frozenset("nav navbar navigation menu sidebar aside widget widgets header masthead topbar footer foot banner toc skip hidden".split())
 SPARE_TAGS = frozenset("html body main".split())
 
 SIGMA = 1.0  # blocks: width of the smoothing window
@@ -83,6 +86,8 @@ GAUSS = np.exp(-0.5 * (np.arange(-3, 4) / SIGMA) ** 2)
 SHARE = 0.5  # of the standard deviation: threshold of the fused ratios
 MOST = 0.9  # of the content characters: what the article must hold
 LINKED = 0.6  # share of a list's characters in links that makes it a menu
+ARTICLE_WORDS = frozenset("comment comments reply ad promo teaser related".split())
+FEW, TIMES = 200, 10  # layout words don't count where they leave FEW characters and hide TIMES as many
 DEEPEST = 512  # elements below this depth are laid side by side
 SLICE = 128
 
@@ -90,46 +95,45 @@ SLICE = 128
 class Node:
     __slots__ = ("depth", "links", "parent", "path", "skip", "tag", "total", "weight")
 
-    def __init__(self, tag: str, parent: Node | None, path: int, skip: bool):
+    def __init__(self, tag: str, parent: Node | None, path: int, skip: int):
         self.tag, self.parent, self.path, self.skip = tag, parent, path, skip
         self.depth = parent.depth + 1 if parent else 0
         self.total = self.links = self.weight = 0
 
 
-def _skipped(tag: str, attrs: str, parent: Node) -> tuple[bool, str]:
-    """Whether a subtree is no article text, and the first class."""
+def _skipped(tag: str, attrs: str, parent: Node) -> tuple[int, str]:
+    """Whether a subtree is no article text (2), or none by a layout word only (1), and the first class."""
     name, cls = "", ""
     if attrs.strip(" /"):
         found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTR.finditer(attrs)}
         cls = (found.get("class", "").split() or [""])[0]
         name = f"{found.get('class', '')} {found.get('id', '')}"
         if "hidden" in found or found.get("aria-hidden", "").lower() == "true":
-            return True, cls
+            return 2, cls
         if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
-            return True, cls
+            return 2, cls
         if found.get("role", "").lower() in SKIP_ROLES:
-            return True, cls
-    if tag in SKIP_TAGS:
-        inside = parent
-        while tag == "header" and inside:  # an article's own header has its title
-            if inside.tag in ("article", "main"):
-                return False, cls
-            inside = inside.parent
-        return True, cls
+            return 2, cls
+    inside = any(up.tag in ("article", "main") for up in _above(parent))
+    if tag in SKIP_TAGS:  # an article's own header has its title
+        return 2 * (tag != "header" or not inside), cls
     if name and tag not in SPARE_TAGS:
-        words = {w.lower() for part in name.split() for w in WORD.findall(part)}
-        marked = words & SKIP_WORDS
-        if marked and not (tag == "article" and not marked & {"comment", "comments", "reply", "ad", "promo", "teaser", "related"}):
-            first = {w.lower() for part in name.split() for w in WORD.findall(part)[:1]}
-            last = {w.lower() for part in name.split() for w in WORD.findall(part)[-1:]}
-            # "has-sidebar", "no-ads", "with-comments" say what is around, not what this is
-            return bool(marked & (first | last)) and not first & {"has", "no", "with", "without"}, cls
-    return False, cls
+        words = [[w.lower() for w in WORD.findall(part)] for part in name.split()]
+        first, last = ({x[i] for x in words if x} for i in (0, -1))
+        marked = (first | last) & SKIP_WORDS
+        if inside:
+            marked -= {"header"}
+        if tag == "article":
+            marked &= ARTICLE_WORDS
+        # "has-sidebar", "no-ads", "with-comments" say what is around, not what this is
+        if marked and not first & {"has", "no", "with", "without"}:
+            return 1 + bool(marked - LAYOUT_WORDS), cls
+    return 0, cls
 
 
 def blocks(page: str) -> list[tuple[Node, str, int]]:
     """The page's text blocks in order: innermost block element, text, characters in links."""
-    root = Node("html", None, 0, False)
+    root = Node("html", None, 0, 0)
     paths: dict[tuple, int] = {}  # number of a path by its parent's, tag and class
     node, out, parts, linked = root, [], [], 0
     anchor = 0  # open <a> elements
@@ -215,10 +219,10 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
             continue
         if tag == "html" and not node.parent:
             continue
-        skip, cls = _skipped(tag, m["attrs"], node) if m["attrs"] or tag in SKIP_TAGS else (False, "")
+        skip, cls = _skipped(tag, m["attrs"], node) if m["attrs"] or tag in SKIP_TAGS else (0, "")
         path = node.path if tag in INLINE else paths.setdefault((node.path, tag, cls), len(paths) + 1)
         above = node if node.depth < DEEPEST else node.parent
-        node = Node(tag, above, path, node.skip or skip)
+        node = Node(tag, above, path, max(node.skip, skip))
         anchor += tag == "a"
     flush()
     return out
@@ -252,7 +256,13 @@ def _above(node: Node | None) -> Iterator[Node]:
 
 def extract(page: str | None) -> str:
     """The article of a page: its blocks joined by line breaks."""
-    found = [b for b in blocks(page or "") if not b[0].skip]
+    every = blocks(page or "")
+    found = [b for b in every if not b[0].skip]
+    left = sum(len(text) for _, text, _ in found)
+    if left < FEW:
+        hidden = [b for b in every if b[0].skip == 1]
+        if sum(len(text) - linked for _, text, linked in hidden) > TIMES * max(1, left):
+            found = [b for b in every if b[0].skip < 2]
     if not found:
         return ""
     ratio = path_ratios(found)
