@@ -48,6 +48,14 @@ def test_rules(spark, rows):
     assert by_id[91].licenses == "MIT" and by_id[None].licenses == "MIT"
 
 
+def test_every_pattern_has_a_cue():
+    import re
+
+    for _, pattern in license_scan.SENTENCES:
+        for part in pattern.split("|") if "(" not in pattern else [pattern]:
+            assert re.search(license_scan.CUE, part), part
+
+
 def test_oracle(spark, rows):
     import pandas as pd
 
