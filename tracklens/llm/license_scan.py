@@ -24,7 +24,7 @@ TAG = r"(SPDX-License-Identifier):"
 #: a sentence without one of these words is no licence sentence
 CUE = (
     "licen|copyright|permission|redistribut|warrant|as is|public domain|unencumbered|endorse|liable|spdx|gnu |mozilla"
-    "|creative commons|rights reserved|free software|applicable law|advertising materials|bsd |gpl|mpl |cc0|cc by"
+    "|creative commons|rights reserved|free software|applicable law|advertising materials|bsd|gpl|mpl |cc0|cc by"
 )
 
 # Patterns of normalised licence sentences and their identifiers; the first that matches counts.
