@@ -112,6 +112,32 @@ def test_nearest(spark, rows):
     assert hits >= 0.9 * total
 
 
+def recall_in_buckets(spark, x, asked, bucket):
+    """Share of the true five nearest that the query finds in small buckets; per asked vector."""
+    rows = [(0, "", i, v.tolist(), "") for i, v in enumerate(x.astype(np.float32))]
+    assert lsh_search.hashes_for(len(rows), bucket) >= 4
+    table = spark.createDataFrame(rows, KINDS).repartition(8)
+    got = lsh_search.nearest_vectors(table, F.col("vec_id").isin(asked), bucket=bucket).collect()
+    mine = {q: {r.vec_id for r in got if r.query_id == q} for q in asked}
+    assert all(len(m) == 5 for m in mine.values())
+    u = np.array([r[3] for r in rows])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near = u[asked] @ u.T
+    near[np.arange(len(asked)), asked] = -2
+    return np.array([len(mine[q] & set(n)) / 5 for q, n in zip(asked, np.argsort(-near, axis=1)[:, :5].tolist(), strict=True)])
+
+
+def test_near_copies_of_others_hide_no_neighbours(spark):
+    rng = np.random.default_rng(6)
+    lone = rng.standard_normal((1200, 32))
+    pairs = np.repeat(rng.standard_normal((100, 32)), 3, axis=0)  # groups of fewer than six
+    groups = np.repeat(rng.standard_normal((120, 32)), 20, axis=0)
+    x = np.concatenate([lone, pairs + rng.standard_normal(pairs.shape) * 0.02, groups + rng.standard_normal(groups.shape) * 0.02])
+    asked = [*range(0, 1200, 15), *range(1200, 1500, 10), *range(1500, 3900, 40)]
+    found = recall_in_buckets(spark, x, asked, 128)
+    assert found[:80].mean() >= 0.9 and found[80:110].mean() >= 0.9 and found[110:].mean() >= 0.9
+
+
 def test_probes_come_in_order_and_reach_the_success():
     q = np.random.default_rng(3).standard_normal(24)
     q /= np.linalg.norm(q)

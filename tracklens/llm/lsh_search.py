@@ -10,8 +10,11 @@ A query visits perturbed buckets in the order of their estimated success: a
 neighbour at cosine c projects to ``c * f + sqrt(1 - c^2) * N(0, 1)`` if the
 query projects to f, which gives each slot its probability and each bucket
 the product. It goes on until the probabilities add up to ``SUCCESS`` per
-table. c is the typical cosine of the nearest vector in a bounded sample
-(``SAMPLE``), which is at most that of the nearest in the whole table.
+table, for c and for cosines between c and 1. There are two rounds. In the
+first, c is the typical cosine of the nearest vector in a bounded sample
+(``SAMPLE``). In the second, each query has its own c, the cosine of the
+last of its k answers so far, which is at most that of its true k-th; a
+query with fewer than k answers visits all buckets.
 
 All candidates of a bucket are ranked by the exact cosine in double
 precision; the best of all tables' buckets are merged. Buckets and the
@@ -47,6 +50,8 @@ TABLES = 2
 WIDTH = 3.0
 BUCKET = 512
 SUCCESS = 0.8  # per table
+RUNGS = 4  # cosines from c on, each half as far from 1 as the one before
+SALTS = 64  # parts that the buckets of a length come in where queries visit all
 SAMPLE = 2048  # vectors that the typical neighbour's cosine is taken from, at most
 BLOCK = 1024  # vectors of a packed row, at most
 QUERY_BLOCK = 256
@@ -60,9 +65,9 @@ def directions(table: int, dim: int, hashes: int) -> tuple[np.ndarray, np.ndarra
     return rng.standard_normal((dim, hashes)), rng.random(hashes) * WIDTH
 
 
-def hashes_for(n: int) -> int:
+def hashes_for(n: int, bucket: int = BUCKET) -> int:
     """Each hash tells about two slots apart."""
-    return max(0, min(24, round(math.log2(max(1, n) / BUCKET))))
+    return max(0, min(24, round(math.log2(max(1, n) / bucket))))
 
 
 def bucket_names(slots: np.ndarray) -> np.ndarray:
@@ -100,6 +105,13 @@ def probes(q: np.ndarray, table: int, hashes: int, cosine: float, success: float
     return at[:n], p[:n]
 
 
+def visited(q: np.ndarray, table: int, hashes: int, cosine: float) -> np.ndarray:
+    """Names of the buckets to visit for neighbours at ``cosine`` and nearer, equal vectors included."""
+    c = min(0.999, max(-0.999, cosine))
+    ladder = [*(1 - (1 - c) / 2**i for i in range(RUNGS)), 1.0]
+    return np.unique(np.concatenate([bucket_names(probes(q, table, hashes, x)[0]) for x in ladder]))
+
+
 def typical_cosine(classes: DataFrame, sample: int = SAMPLE) -> float:
     """Median cosine of the nearest other vector within a sample of at most ``sample`` vectors of one length."""
     rows = classes.select("dim", "embedding").orderBy(F.xxhash64(F.lit(3), "h1", "h2"), "h1", "h2").limit(sample).collect()
@@ -176,7 +188,7 @@ def _keyed(hashes: int):
 
 
 def _probing(hashes: int, cosine: float):
-    """Every query under the buckets that it visits."""
+    """Every query under the buckets that it visits first or, with a cosine of its own (5th column), those it visits besides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,7 +196,9 @@ def _probing(hashes: int, cosine: float):
                 dim = batch.column(0)[i].as_py()
                 q = unit(matrix(batch.column(3).slice(i, 1), dim))[0]
                 for table in range(TABLES):
-                    name = np.unique(bucket_names(probes(q, table, hashes, cosine)[0]))
+                    name = visited(q, table, hashes, cosine)
+                    if batch.num_columns > 4:
+                        name = np.setdiff1d(visited(q, table, hashes, batch.column(4)[i].as_py()), name)
                     take = pa.array(np.full(len(name), i))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(name), dim, dtype=np.int32)), pa.array(np.full(len(name), table, dtype=np.int32)), pa.array(name), *(batch.column(c).take(take) for c in (1, 2, 3))],
@@ -214,7 +228,7 @@ def _ranked(k: int):
     return run
 
 
-def nearest_vectors(vectors: DataFrame, is_query: Column, k: int = NEAREST) -> DataFrame:
+def nearest_vectors(vectors: DataFrame, is_query: Column, k: int = NEAREST, bucket: int = BUCKET) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest other rows of each row of ``vectors`` that ``is_query`` picks."""
     rows = with_hashes(
         vectors.select("vec_id", "embedding", F.coalesce(is_query, F.lit(False)).alias("asks")).filter(
@@ -230,25 +244,41 @@ def nearest_vectors(vectors: DataFrame, is_query: Column, k: int = NEAREST) -> D
     )
     classes = stage(grouped.withColumn("cid", F.monotonically_increasing_id()), "lsh-classes")
     n, cosine = classes.count(), typical_cosine(classes)
-    hashes = hashes_for(n)
+    hashes = hashes_for(n, bucket)
     keyed = "dim int, tbl int, bucket long, cid long, ids array<long>, embedding array<double>"
     packed = "dim int, tbl int, bucket long, block binary"
     slim = ["dim", "cid", "ids", F.col("embedding").cast("array<double>").alias("embedding")]
     at = ["dim", "tbl", "bucket"]
     index = classes.select(slim).mapInArrow(_keyed(hashes), keyed)
     asked = classes.join(asking.select("dim", "h1", "h2").distinct(), ["dim", "h1", "h2"], "left_semi")
-    visits = asked.select(slim).repartition("cid").mapInArrow(_probing(hashes, cosine), keyed)
     blocks = stage(index.repartition(*at).sortWithinPartitions(*at).mapInArrow(_blocks(3, BLOCK), packed), "lsh-index")
-    asks = stage(visits.repartition(*at).sortWithinPartitions(*at).mapInArrow(_blocks(3, QUERY_BLOCK), packed), "lsh-visits")
-    met = asks.withColumnRenamed("block", "queries").join(blocks, at).select("block", "queries")
-    scored = met.mapInArrow(_ranked(k), "qid long, cid long, score double, low long")
     best = Window.partitionBy("qid").orderBy(F.col("score").desc(), "low")
-    top = (
-        scored.groupBy("qid", "cid", "low")
-        .agg(F.max("score").alias("score"))
-        .withColumn("rn", F.row_number().over(best))
-        .filter(F.col("rn") <= k + 1)
+
+    def scored(visits: DataFrame, name: str) -> DataFrame:
+        asks = stage(visits.repartition(*at).sortWithinPartitions(*at).mapInArrow(_blocks(3, QUERY_BLOCK), packed), name)
+        met = asks.withColumnRenamed("block", "queries").join(blocks, at).select("block", "queries")
+        return met.mapInArrow(_ranked(k), "qid long, cid long, score double, low long")
+
+    def top_of(scores: DataFrame) -> DataFrame:
+        once = scores.groupBy("qid", "cid", "low").agg(F.max("score").alias("score"))
+        return once.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= k + 1).drop("rn")
+
+    visits = asked.select(slim).repartition("cid").mapInArrow(_probing(hashes, cosine), keyed)
+    first = stage(top_of(scored(visits, "lsh-visits")), "lsh-first")
+    so_far = F.sum(F.size("ids")).over(best.rowsBetween(Window.unboundedPreceding, 0))
+    reached = (
+        first.join(classes.select("cid", "ids"), "cid")
+        .withColumn("so_far", so_far)
+        .groupBy("qid")
+        .agg(F.max(F.when(F.col("so_far") > k, F.col("score"))).alias("cosine"))  # a query's own row is no answer
     )
+    own = asked.select(slim).join(reached, F.col("cid") == F.col("qid"), "left").drop("qid")
+    besides = own.filter("cosine IS NOT NULL").repartition("cid").mapInArrow(_probing(hashes, cosine), keyed)
+    every = blocks.filter("tbl = 0").select(*at).distinct().withColumn("salt", F.pmod(F.xxhash64("bucket"), F.lit(SALTS)))
+    short_of = own.filter("cosine IS NULL").drop("cosine").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    everywhere = short_of.join(every, ["dim", "salt"]).select(*at, "cid", "ids", "embedding")
+    second = scored(besides.unionByName(everywhere), "lsh-visits-2")
+    top = top_of(first.select("qid", "cid", "score", "low").unionByName(second))
     answer = top.join(classes.select("cid", "ids"), "cid").select("qid", "score", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("qid").orderBy(F.col("score").desc(), "vec_id")
     short = stage(answer.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k + 1), "lsh-best")
