@@ -3,10 +3,13 @@
 Base spans: assignments of secrets, access identifiers and long hex strings.
 A credential is often spread over parts that alone prove little: an account
 or client identifier, a random-looking string, a service address. Such weak
-parts are reported only where they complement each other. A scope is the
-paragraph (no blank line inside) within ``REACH`` characters of an
-identifier; an interval join over the sorted positions of the text brings
-each identifier together with the secrets and endpoints in its scope:
+parts are reported only where they complement each other. The scope of an
+identifier is the innermost block in braces around it, the run of setting
+lines (``name: value``) it is in, and, in running text, its paragraph (no
+blank line inside) within ``REACH`` characters, those of secrets not counted.
+Blocks and runs are taken whole. An interval join over the sorted positions
+of the text brings each identifier together with the secrets and endpoints
+in its scope:
 
 * ``key``: a random-looking string near an access identifier, or near an
   account identifier with an endpoint in the same scope;
@@ -48,9 +51,12 @@ ACCOUNT = re.compile(
     r"(?<![A-Za-z0-9])(?:client_?id|account_?id|access_?id|user_?name|user|login)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9@_.-]{3,})",
     re.IGNORECASE | re.ASCII,
 )
-RANDOM = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
+RANDOM = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"(?:https?|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|s3|ftp)://[^\s\"'<>]+", re.ASCII)
 BLANK = re.compile(r"\n[ \t\r]*\n")
+BRACE = re.compile(r"[{}]")
+#: consecutive lines of settings, lines of one word (parts of a long value) among them
+SETTINGS = re.compile(r"(?:^[ \t]*+(?:(?:[-*][ \t]+|export[ \t]+)?[\"']?[\w.-]++[\"']?[ \t]*+[:=][^\n]*+|[^\s]++[ \t\r]*+)(?:\n|\Z))++", re.M)
 MIN_BITS = 3.0  # entropy per character of a random-looking string
 REACH = 400
 MASK = "[secret]"
@@ -78,6 +84,34 @@ def looks_random(s: str) -> bool:
     return -sum(c / n * math.log2(c / n) for c in Counter(s).values()) >= MIN_BITS
 
 
+def blocks_of(text: str, breaks: list[int]) -> list[tuple[int, int]]:
+    """Blocks in braces, the inner ones first; one never closed ends with its paragraph."""
+    out, opened = [], []
+    for m in BRACE.finditer(text):
+        if m[0] == "{":
+            opened.append(m.start())
+        elif opened:
+            out.append((opened.pop(), m.end()))
+    return out + [(a, breaks[bisect_right(breaks, a)]) for a in reversed(opened)]
+
+
+def innermost(blocks: list[tuple[int, int]], at: list[int]) -> dict[int, tuple[int, int]]:
+    """The innermost of the nested blocks around each of the sorted positions."""
+    todo, out, held = sorted(blocks, key=lambda b: (b[0], -b[1])), {}, []
+    i = 0
+    for p in at:
+        while i < len(todo) and todo[i][0] <= p:
+            while held and held[-1][1] <= todo[i][0]:
+                held.pop()
+            held.append(todo[i])
+            i += 1
+        while held and held[-1][1] <= p:
+            held.pop()
+        if held:
+            out[p] = held[-1]
+    return out
+
+
 def linked_parts(text: str, base: list[Span]) -> list[Span]:
     """Weak parts whose complements lie in the same scope."""
     strong = [s for s in base if s[0] == "access"]
@@ -93,34 +127,72 @@ def linked_parts(text: str, base: list[Span]) -> list[Span]:
 
     endpoints = [("endpoint", m.start(), m.end()) for m in ENDPOINT.finditer(text)]
     inside = lambda s, spans: any(a <= s[1] < b for _, a, b in spans)
+    point_starts = [e[1] for e in endpoints]
     randoms = []
     for m in RANDOM.finditer(text):
         s = ("key", m.start(), m.end())
         if free(s) and looks_random(m[0]):
-            i = bisect_right([e[1] for e in endpoints], s[1])
+            i = bisect_right(point_starts, s[1])
             if not inside(s, endpoints[max(0, i - 1) : i]):
                 randoms.append(s)
     secrets = [s for s in base if s[0] != "access"]
     breaks = [0, *(m.end() for m in BLANK.finditer(text)), len(text) + 1]
 
-    def within(spans: list[Span], starts: list[int], lo: int, hi: int) -> list[Span]:
-        return spans[bisect_left(starts, lo) : bisect_left(starts, hi)]
+    hidden = [(0, 0)]  # secrets, merged, and how many of their characters lie before
+    for a, b in sorted([*taken, *(s[1:] for s in randoms)]):
+        a = max(a, hidden[-1][1])
+        if b > a:
+            hidden.append((a, b))
+    before = [0]
+    for a, b in hidden:
+        before.append(before[-1] + b - a)
+    hidden_at = [a for a, _ in hidden]
+
+    def plain(at: int) -> int:
+        """Position without the characters of secrets before it."""
+        i = bisect_right(hidden_at, at) - 1
+        return at - before[i] - min(at - hidden[i][0], hidden[i][1] - hidden[i][0])
+
+    columns = {
+        k: (v, [s[1] for s in v], [plain(s[1]) for s in v])
+        for k, v in (("key", randoms), ("secret", secrets), ("endpoint", endpoints))
+    }
+    identifiers = sorted(strong + weak, key=lambda s: s[1])
+    nested = innermost(blocks_of(text, breaks), [s[1] for s in identifiers])
+    settings = [m.span() for m in SETTINGS.finditer(text)]
+    runs = innermost(settings, [s[1] for s in identifiers])
+
+    def scope(kind: str, span: Span, para: tuple[int, int]) -> list[tuple[int, int]]:
+        """Slices of the parts of a kind, by number."""
+        _, starts, plains = columns[kind]
+        lo, hi = (bisect_left(starts, x) for x in para)
+        near = bisect_left(plains, plain(span[1]) - REACH), bisect_left(plains, plain(span[2]) + REACH)
+        whole = [b for b in (nested.get(span[1]), runs.get(span[1])) if b]
+        return [(max(lo, near[0]), min(hi, near[1])), *((bisect_left(starts, a), bisect_left(starts, b)) for a, b in whole)]
 
-    columns = {k: (v, [s[1] for s in v]) for k, v in (("key", randoms), ("secret", secrets), ("endpoint", endpoints))}
     out: set[Span] = set()
-    for span in sorted(strong + weak, key=lambda s: s[1]):
+    marked: dict[str, set[tuple[int, int]]] = {"key": set(), "endpoint": set()}  # slices, so that many identifiers may share them
+    for span in identifiers:
         p = bisect_right(breaks, span[1])
-        lo, hi = max(breaks[p - 1], span[1] - REACH), min(breaks[p], span[2] + REACH)
-        keys, known, points = (within(*columns[k], lo, hi) for k in ("key", "secret", "endpoint"))
-        known = [s for s in known if s[1:] != span[1:]]
+        para = breaks[p - 1], breaks[p]
+        keys, known, points = ([c for c in scope(k, span, para) if c[0] < c[1]] for k in ("key", "secret", "endpoint"))
+        starts = columns["secret"][1]
+        same = range(bisect_left(starts, span[1]), bisect_right(starts, span[1]))
+        own = [i for i in same if secrets[i][1:] == span[1:]]
+        secret = bool(keys) or any(b - a > sum(a <= i < b for i in own) for a, b in known)
         if span[0] == "access":
-            out.update(keys)
-            if keys or known:
-                out.update(points)
-        elif points and (keys or known) and free(span):
+            marked["key"].update(keys)
+            if secret:
+                marked["endpoint"].update(points)
+        elif points and secret and free(span):
             out.add(span)
-            out.update(keys)
-            out.update(points)
+            marked["key"].update(keys)
+            marked["endpoint"].update(points)
+    for k, slices in marked.items():
+        done = 0
+        for a, b in sorted(slices):
+            out.update(columns[k][0][max(a, done) : b])
+            done = max(done, b)
     return list(out)
 
 
