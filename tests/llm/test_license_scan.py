@@ -33,6 +33,43 @@ TEXTS = {
 }
 
 
+NOTICE = """This {0} is free software{1} you can redistribute it and/or modify
+it under the terms of the GNU {2}General Public License as published by
+the Free Software Foundation{3} either version {4} of the License, or
+(at your option) any later version.
+
+This {0} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {2}General Public License for more details.
+
+You should have received a copy of the GNU {2}General Public License
+along with this {0}; if not, write to the Free Software Foundation, Inc."""
+NOTICES = {
+    NOTICE.format("program", ";", "", ";", "2"): "GPL-2.0-or-later",
+    NOTICE.format("library", ";", "Lesser ", ";", "2.1"): "LGPL-2.1-or-later",
+    NOTICE.format("library", ";", "Library ", ";", "2"): "LGPL-2.0-or-later",
+    NOTICE.format("library", ";", "Lesser ", ";", "3"): "LGPL-3.0-or-later",
+    NOTICE.format("program", ":", "Lesser ", ",", "3"): "LGPL-3.0-or-later",
+    NOTICE.format("program", ":", "", ",", "3"): "GPL-3.0-or-later",
+    NOTICE.format("program", ":", "Affero ", ",", "3"): "AGPL-3.0-or-later",
+    NOTICE.format("program", ";", "Affero ", ";", "3"): "AGPL-3.0-or-later",
+    "under the GNU General Public License as published by the Free Software Foundation; either version 2, or (at your option) any later version.": "GPL-2.0-or-later",
+    "under the GNU General Public License as published by the Free Software Foundation; version 2 of the License.": "GPL-2.0",
+}
+
+
+def test_gnu_notices(spark):
+    rows = [(i, t) for i, t in enumerate(NOTICES)]
+    got = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.licenses, r.unresolved) for r in got] == [(want, "") for want in NOTICES.values()]
+    import pandas as pd
+
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    assert sorted(map(tuple, got)) == sorted(con.sql(license_scan.oracle()).fetchall())
+
+
 @pytest.fixture(scope="module")
 def rows():
     return [(i, t) for i, t in enumerate(TEXTS)] + [(90, None), (91, "word " * 200_000 + ". MIT License. "), (None, MIT), (0, MIT)]

@@ -24,7 +24,7 @@ TAG = r"(SPDX-License-Identifier):"
 #: a sentence without one of these words is no licence sentence
 CUE = (
     "licen|copyright|permission|redistribut|warrant|as is|public domain|unencumbered|endorse|liable|spdx|gnu |mozilla"
-    "|creative commons|rights reserved|free software|applicable law|advertising materials|bsd|gpl|mpl |cc0|cc by"
+    "|creative commons|rights reserved|free software|applicable law|advertising materials|bsd|gpl|mpl |cc0|cc by|later version"
 )
 
 # Patterns of normalised licence sentences and their identifiers; the first that matches counts.
@@ -60,6 +60,12 @@ SENTENCES: list[tuple[str, str]] = [
     ("bsd3-ref", "bsd 3 clause|3 clause bsd|new bsd license"),
     ("bsd2-ref", "bsd 2 clause|2 clause bsd|simplified bsd license"),
     ("bsd-ref", "(^| )bsd license"),
+    ("agpl-see", "see the gnu affero general public license for more details"),
+    ("lgpl-see", "see the gnu (lesser|library) general public license for more details"),
+    ("gpl-see", "see the gnu general public license for more details"),
+    ("agpl3-later", "gnu affero general public license.*version 3.*any later version"),
+    ("lgpl21-later", "gnu lesser general public license.*version 2 1.*any later version"),
+    ("lgpl3-later", "gnu lesser general public license.*version 3.*any later version"),
     ("agpl3-terms", "gnu affero general public license.*version 3"),
     ("lgpl21-terms", "gnu lesser general public license.*version 2 1"),
     ("lgpl3-terms", "gnu lesser general public license.*version 3"),
@@ -69,8 +75,16 @@ SENTENCES: list[tuple[str, str]] = [
     ("gpl2-terms", "gnu general public license.*version 2|(^| )gplv2"),
     ("gnu-warranty", "without even the implied warranty of merchantability or fitness"),
     ("gnu-copy", "you should have received a copy of the gnu .*general public license"),
-    ("gnu-free", "this program is free software"),
+    ("gnu-free", "this (program|library) is free software"),
     ("gpl-ref", "gnu general public license"),
+    ("lgpl-ref", "gnu (lesser|library) general public license"),
+    ("agpl-ref", "gnu affero general public license"),
+    ("ver21-later", "(^| )version 2 1( of the license)? or( at your option)? any later version"),
+    ("ver2-later", "(^| )version 2( 0)?( of the license)? or( at your option)? any later version"),
+    ("ver3-later", "(^| )version 3( 0)?( of the license)? or( at your option)? any later version"),
+    ("ver21-only", "^version 2 1 of the license"),
+    ("ver2-only", "^version 2 of the license"),
+    ("ver3-only", "^version 3 of the license"),
     ("mpl2-terms", "subject to the terms of the mozilla public license v(ersion)? ?2 0|mozilla public license version 2 0"),
     ("mpl2-copy", "if a copy of the mpl was not distributed with this file"),
     ("epl2-ref", "eclipse public license (v|version )2 0"),
@@ -83,6 +97,31 @@ SENTENCES: list[tuple[str, str]] = [
     ("rights", "all rights reserved"),
     ("copyright", "(^| )copyright( c)? (19|20)[0-9][0-9]|(^| )copyright c "),
 ]
+# GNU notices: licence, name, and the sentence or the two clauses (cut at a semicolon) that give the version.
+GNU: list[tuple[str, str, list[str]]] = [
+    ("AGPL-3.0-or-later", "agpl", ["agpl3-later"]), ("AGPL-3.0-or-later", "agpl", ["agpl-ref", "ver3-later"]),
+    ("LGPL-2.1-or-later", "lgpl", ["lgpl21-later"]), ("LGPL-2.1-or-later", "lgpl", ["lgpl-ref", "ver21-later"]),
+    ("LGPL-2.0-or-later", "lgpl", ["lgpl-ref", "ver2-later"]),
+    ("LGPL-3.0-or-later", "lgpl", ["lgpl3-later"]), ("LGPL-3.0-or-later", "lgpl", ["lgpl-ref", "ver3-later"]),
+    ("GPL-3.0-or-later", "gpl", ["gpl3-later"]), ("GPL-3.0-or-later", "gpl", ["gpl-ref", "ver3-later"]),
+    ("GPL-2.0-or-later", "gpl", ["gpl2-later"]), ("GPL-2.0-or-later", "gpl", ["gpl-ref", "ver2-later"]),
+    ("AGPL-3.0", "agpl", ["agpl3-terms"]), ("AGPL-3.0", "agpl", ["agpl-ref", "ver3-only"]),
+    ("LGPL-2.1", "lgpl", ["lgpl21-terms"]), ("LGPL-2.1", "lgpl", ["lgpl-ref", "ver21-only"]),
+    ("LGPL-3.0", "lgpl", ["lgpl3-terms"]), ("LGPL-3.0", "lgpl", ["lgpl-ref", "ver3-only"]),
+    ("GPL-3.0", "gpl", ["gpl3-terms"]), ("GPL-3.0", "gpl", ["gpl-ref", "ver3-only"]),
+    ("GPL-2.0", "gpl", ["gpl2-terms"]), ("GPL-2.0", "gpl", ["gpl-ref", "ver2-only"]),
+]
+
+
+def gnu_rules() -> list[tuple[str, list[str]]]:
+    """Each notice with and without the sentences around it, the longer first."""
+    out = []
+    for name, short, version in GNU:
+        for tail in (["gnu-warranty", f"{short}-see", "gnu-copy"], ["gnu-warranty", f"{short}-see"], ["gnu-warranty", "gnu-copy"], []):
+            out.append((name, ["gnu-free", *version, *tail]))
+    return out + [(name, version) for name, _, version in GNU]
+
+
 # Licence rules in order; each is a sequence of identifiers.
 RULES: list[tuple[str, list[str]]] = [
     ("Apache-2.0", ["apache2-ref", "apache2-except", "apache2-copy", "apache2-law", "apache2-see"]),
@@ -98,18 +137,13 @@ RULES: list[tuple[str, list[str]]] = [
     ("BSD-3-Clause", ["bsd-redist", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("BSD-2-Clause", ["bsd-redist", "bsd-source", "bsd-binary", "bsd-asis", "bsd-liable"]),
     ("BSD-2-Clause", ["bsd-redist", "bsd-source", "bsd-binary"]),
-    ("AGPL-3.0", ["gnu-free", "agpl3-terms", "gnu-warranty", "gnu-copy"]),
-    ("GPL-3.0-or-later", ["gnu-free", "gpl3-later", "gnu-warranty", "gnu-copy"]),
-    ("GPL-3.0-or-later", ["gnu-free", "gpl3-later"]),
-    ("GPL-2.0-or-later", ["gnu-free", "gpl2-later", "gnu-warranty", "gnu-copy"]),
-    ("GPL-2.0-or-later", ["gnu-free", "gpl2-later"]),
+    *gnu_rules(),
     ("MPL-2.0", ["mpl2-terms", "mpl2-copy"]),
     ("Apache-2.0", ["spdx-apache2"]), ("MIT", ["spdx-mit"]), ("BSD-3-Clause", ["spdx-bsd3"]), ("BSD-2-Clause", ["spdx-bsd2"]),
     ("GPL-3.0", ["spdx-gpl3"]), ("GPL-2.0", ["spdx-gpl2"]), ("MPL-2.0", ["spdx-mpl2"]),
     ("Apache-2.0", ["apache2-ref"]), ("Apache", ["apache-ref"]), ("MIT", ["mit-ref"]), ("ISC", ["isc-ref"]),
-    ("BSD-3-Clause", ["bsd3-ref"]), ("BSD-2-Clause", ["bsd2-ref"]), ("BSD", ["bsd-ref"]), ("AGPL-3.0", ["agpl3-terms"]),
-    ("LGPL-2.1", ["lgpl21-terms"]), ("LGPL-3.0", ["lgpl3-terms"]), ("GPL-3.0-or-later", ["gpl3-later"]),
-    ("GPL-2.0-or-later", ["gpl2-later"]), ("GPL-3.0", ["gpl3-terms"]), ("GPL-2.0", ["gpl2-terms"]), ("GPL", ["gpl-ref"]),
+    ("BSD-3-Clause", ["bsd3-ref"]), ("BSD-2-Clause", ["bsd2-ref"]), ("BSD", ["bsd-ref"]), ("AGPL", ["agpl-ref"]), ("AGPL", ["agpl-see"]),
+    ("LGPL", ["lgpl-ref"]), ("LGPL", ["lgpl-see"]), ("GPL", ["gpl-ref"]), ("GPL", ["gpl-see"]),
     ("MPL-2.0", ["mpl2-terms"]), ("EPL-2.0", ["epl2-ref"]), ("CC0-1.0", ["cc0-ref"]), ("CC-BY-SA-4.0", ["ccbysa4-ref"]),
     ("CC-BY-4.0", ["ccby4-ref"]), ("Unlicense", ["unlicense"]), ("BSL-1.0", ["boost-ref"]), ("Public-Domain", ["public-domain"]),
 ]
