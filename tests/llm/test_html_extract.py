@@ -39,6 +39,23 @@ def test_words_in_classes():
     assert extract(comments) == "Short, real."
 
 
+def test_text_across_sibling_sections():
+    lead = "The lead says it all, in short. It has a second sentence, too."
+    body = "".join(f"<p>{PARA} {i}.</p>" for i in range(20))
+    page = f"""<body><div class=top><a href=/>Home</a></div><div id=post><div class=lead><h2>Lead</h2><p>{lead}</p></div>
+<div class=body>{body}</div><div class=end><p>{PARA} At the end.</p></div></div></body>"""
+    got = extract(page).split("\n")
+    assert got == ["Lead", lead, *(f"{PARA} {i}." for i in range(20)), f"{PARA} At the end."]
+    cell = f"<table><tr><td><p>{lead}</p></td></tr><tr><td>{body}</td></tr></table>"
+    assert extract(cell).split("\n")[:2] == [lead, f"{PARA} 0."]
+
+
+def test_linked_lists_that_read_as_text_stay():
+    items = "".join(f'<li>Author {i}, A.; Other, B.: <a href="x">A long title of the source, with a subtitle that goes on and on, number {i}</a>, 2019.</li>' for i in range(8))
+    page = f"<article><p>{PARA}</p><p>{PARA}</p><h2>Sources</h2><ul>{items}</ul></article>"
+    assert extract(page).count("A long title of the source") == 8
+
+
 def test_odd_markup():
     assert extract('<p>a</p><a "x>b') in ("a", "a\nb")
     assert extract(None) == extract("") == extract("<html></html>") == extract("<!-- never closed") == ""

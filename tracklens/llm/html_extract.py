@@ -7,9 +7,11 @@ per block. Both are smoothed over the sequence of blocks with a Gaussian
 window, scaled to the page's mean and fused by their product; blocks whose
 fused value exceeds a share of its standard deviation are content. The
 article is the innermost section that holds nearly all content characters;
-its blocks are returned, headings and short lines included, apart from
+its blocks are returned, headings and short lines included, and so are
+content blocks elsewhere with the headings just before them. What goes are
 subtrees that are no article text by their tag, role or class (menus,
-forms, adverts, notices, comments, ...) and apart from lists of links.
+forms, adverts, notices, comments, ...), and blocks in lists of links that
+are no content by their ratio.
 
 Defined results: NULL, empty and text-free pages give an empty string; tags
 left open are closed by the rules for their kind; repeated rows give
@@ -291,17 +293,22 @@ def extract(page: str | None) -> str:
                 break
     keep = []
     title = None
-    for node, text, linked in found:
+    heads: list[str] = []  # headings just before, outside the article
+    for (node, text, linked), good in zip(found, content.tolist(), strict=True):
         ups = list(_above(node))
-        if article is not None and article not in ups:
+        menu = any(u.links > LINKED * u.total for u in ups if u.links and u.tag in LISTS and u is not article)
+        menu = not good and (menu or (linked > LINKED * len(text) and node.tag in SECTIONS))
+        if article is not None and article not in ups and (not good or linked >= len(text)):
             if node.tag == "h1" and not keep and article.parent in ups:
                 title = text  # a title just before the article's section
+            heads = [*heads, text] if node.tag in HEADINGS and not menu else []
             continue
-        menu = any(u.links > LINKED * u.total for u in ups if u.links and u.tag in LISTS and u is not article)
-        if menu or (linked > LINKED * len(text) and node.tag in SECTIONS):
-            continue
-        keep.append(text)
-    if title and keep and keep[0] != title:
+        if article is not None and article not in ups:
+            keep += heads
+        heads = []
+        if not menu:
+            keep.append(text)
+    if title and keep and title not in keep:
         keep.insert(0, title)
     return "\n".join(keep)
 
