@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklens.llm import bpe, hnsw, html_extract, license_scan, lsh_search, mixing, secret_scan, sharding, simhash, toxicity
+from tracklens.llm import (
+    bpe,
+    hnsw,
+    html_extract,
+    license_scan,
+    lsh_search,
+    merkle,
+    mixing,
+    resample,
+    secret_scan,
+    sharding,
+    simhash,
+    token_counts,
+    toxicity,
+)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,6 +71,18 @@ def simhash_dedup(spark: SparkSession, d: str) -> DataFrame:
     return simhash.simhash_groups(_read(spark, d, "documents"))
 
 
+def target_resampling(spark: SparkSession, d: str) -> DataFrame:
+    return resample.resample(_read(spark, d, "documents"), _read(spark, d, "benchmark"))
+
+
+def token_limits(spark: SparkSession, d: str) -> DataFrame:
+    return token_counts.over_limit(_read(spark, d, "documents"))
+
+
+def merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
+    return merkle.verified(_read(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": html_extraction,
     "op2_license_scan": licenses,
@@ -68,8 +94,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": secrets,
     "op9_rendezvous_shards": rendezvous_shards,
     "op10_simhash_dedup": simhash_dedup,
+    "op11_target_resampling": target_resampling,
+    "op12_token_counts": token_limits,
+    "op13_merkle_manifest": merkle_manifest,
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": license_scan.oracle()}
+    return {"op2_license_scan": license_scan.oracle(), "op13_merkle_manifest": merkle.oracle()}
