@@ -17,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 def test_stages_in_order(spark):
     assert [n for n, _ in P.STAGES] == ["toxicity", "simhash_dedup", "secret_scan", "source_mixing", "bpe"]
     assert P.ORACLE_SQL is None
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
     assert set(oracle_sql()) <= set(QUERIES)
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from pyspark.sql.window import Window
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 #: folders of plain local sessions without a setting, by application
 LOCAL_DIRS: dict[str, str] = {}
+#: tables staged inside each open ``scratch`` block
+STAGED: list[list[DataFrame]] = []
 #: monotonically_increasing_id() keeps the partition above this bit and the row number below.
 PARTITION_BIT = 33
 
@@ -39,9 +43,29 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
+    if STAGED:
+        STAGED[-1].append(out)
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables staged in the block are removed at its end, but for those given to the function it yields."""
+    tables: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        tables[:] = [t for t in tables if t is not df]
+        return df
+
+    STAGED.append(tables)
+    try:
+        yield keep
+    finally:
+        STAGED.remove(tables)
+        for df in tables:
+            unstage(df)
+
+
 def unstage(df: DataFrame) -> None:
     """Remove a staged table that nothing reads any more."""
     path = getattr(df, "_staged_at", None)
@@ -51,6 +75,20 @@ def unstage(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``_row``, a struct of all columns of ``docs``, and ``_rid``, a number of the row that every reading gives again.
+
+    A row of a file is known by the file (as a 64-bit hash of its path) and
+    its place in it, so a plain scan of files is read as it is; any other
+    table is staged first.
+    """
+    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+        docs = stage(docs, name)
+    file = docs.metadataColumn("_metadata")
+    rid = F.struct(F.xxhash64(file["file_path"]).alias("file"), file["row_index"].alias("at"))
+    return packed(docs, rid.alias("_rid"))
+
+
 def in_order(df: DataFrame, keys: list, name: str) -> DataFrame:
     """``df`` staged in the total order of ``keys``, with ``_pid`` (range partition) and ``_idx`` (row in it).
 

@@ -30,7 +30,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracklens.llm.common import in_order, packed, running_before, stage, unstage
+from tracklens.llm.common import in_order, numbered, running_before, scratch, stage, unstage
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -82,7 +82,11 @@ def rate(size: Column, source_size: Column, docs: Column, multiplier: Column, fu
 
 
 def solve_rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """``targets`` with each source's ``multiplier``: bracketed Newton steps on the dual."""
+    """``targets`` with each source's ``multiplier``: bracketed Newton steps on the dual.
+
+    A bracket is halved at least, so ``MAX_STEPS`` are more than any source
+    takes; a source that is not solved by then is an error.
+    """
     start = {"multiplier": F.lit(0.0), "low": F.lit(float("-inf")), "high": F.lit(float("inf")), "done": F.col("full") | (F.col("target") <= 0)}
     state = stage(targets.withColumns(start), "mix-dual")
     cells = sizes.withColumnRenamed("source", "_s")
@@ -120,6 +124,8 @@ def solve_rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         )
         old, state = state, stage(new, "mix-dual")
         unstage(old)
+    if state.filter("not done").head(1):
+        raise ArithmeticError(f"a source's rates are not balanced after {MAX_STEPS} steps")
     return state
 
 
@@ -231,11 +237,14 @@ def mix(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """``docs`` with each row as many times as the mix takes it, possibly not at all.
 
-    The rows are written once with a row number, by which they meet their
-    copies; rows that are equal in every column stay apart that way.
+    The texts are read twice, to be counted and to be given out, and written
+    nowhere between: rows meet their copies by their place in the files, which
+    keeps rows apart that are equal in every column. Only those narrow rows
+    are staged, and removed once the copies are known.
     """
-    held = stage(packed(docs, F.monotonically_increasing_id().alias("_rid")), "mix-held")
+    held = numbered(docs, "mix-held")
     size = n_words(F.col("_row.text")).alias("size")
-    rows = stage(held.select(F.col("_row.doc_id").alias("doc_id"), F.col("_row.source").alias("source"), size, "_rid"), "mix-docs")
-    takes = mix_rows(rows).filter("copies > 0").select("_rid", "copies")
+    with scratch() as keep:
+        rows = stage(held.select(F.col("_row.doc_id").alias("doc_id"), F.col("_row.source").alias("source"), size, "_rid"), "mix-docs")
+        takes = keep(stage(mix_rows(rows).filter("copies > 0").select("_rid", "copies"), "mix-takes"))
     return held.join(takes, "_rid").select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("_row.*")
