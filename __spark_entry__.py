@@ -183,6 +183,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "zone_rollup": lambda spark, d: RU.zone_rollup(_zone_records(spark, d), "All"),
         "zone_labels": lambda spark, d: RU.zone_labels(Z.zone_stats(_det(spark, d))),
         "heatmap_json_records": lambda spark, d: SK.heatmap_records(heatmap(_det(spark, d))),
+        "timeline_records": lambda spark, d: SK.timeline_records(timeline(_det(spark, d))),
+        "map_track_records": lambda spark, d: SK.map_track_records(_map_tracks(spark, d)),
         "raw_heatmap_table": lambda spark, d: RU.raw_table(SK.heatmap_records(heatmap(_det(spark, d)))),
         "raw_search": lambda spark, d: RU.raw_search(
             RU.raw_table(SK.heatmap_records(heatmap(_det(spark, d)))), SEARCH
@@ -257,6 +259,8 @@ def oracle_sql() -> dict[str, str]:
         "zone_rollup": O.zone_rollup(s, e),
         "zone_labels": O.zone_labels(s, e),
         "heatmap_json_records": O.heatmap_json_records(s, e),
+        "timeline_records": O.timeline_records(s, e),
+        "map_track_records": O.map_track_records(s, e, *thin),
         "raw_heatmap_table": O.raw_heatmap_table(s, e),
         "raw_search": O.raw_search(s, e, SEARCH),
         "speed_box_stats": O.speed_box_stats(s, e),

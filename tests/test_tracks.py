@@ -215,3 +215,12 @@ def test_segments_do_not_depend_on_the_chunk(spark, small_det):
         sorted(map(repr, _segments(pts, F.lit(0).cast("long"), chunk).collect())) for chunk in (600_000, 10**13)
     ]
     assert rows[0] == rows[1]
+
+
+def test_rows_without_a_time_are_kept(spark):
+    rows = [{"track_identifier": "a", "timestamp": t, "longitude": x, "latitude": "0"}
+            for t, x in ((None, "0"), ("2024-01-01T00:00:00", "0.001"), (None, "0.002"), ("2024-01-01T05:00:00", "0.002"))]
+    got = {r.event_id: r.distance_m for r in step_distance(det_df(spark, rows)).collect()}
+    plain = {r.event_id: r.distance_m for r in step_distance(det_df(spark, rows), 10**12).collect()}
+    assert set(got) == {0, 1, 2, 3} and got == plain
+    assert got[0] == 0 and got[2] > 200 and got[1] > 100 and got[3] > 100

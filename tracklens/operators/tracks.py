@@ -24,6 +24,8 @@ from tracklens.params import PLAYBACK_STEP_MS, TRAIL_LENGTH_MS, ThinParams
 TRACK = "track_identifier"
 ORDER = ["timestamp", "event_id"]
 DEFAULT_CHUNK_MS = 3_600_000
+# the chunk of rows without a time: they come first, as NULLs do in the order of a window
+NO_TIME = -(1 << 62)
 # rows without a track id belong together, so their chunks are shorter
 NULL_CHUNKS = 60
 
@@ -50,9 +52,12 @@ def left_out(det: DataFrame, max_tracks: int | None) -> DataFrame:
 
 
 def _with_keys(df: DataFrame, key: str, chunk: Column) -> DataFrame:
-    """Window keys: the key with NULL as '', whether it is NULL, and the chunk."""
+    """Window keys, none of them NULL: the key with NULL as '', whether it is NULL, and the chunk."""
     return df.select(
-        "*", F.coalesce(F.col(key), F.lit("")).alias("_kk"), F.col(key).isNull().alias("_kn"), chunk.alias("_chunk")
+        "*",
+        F.coalesce(F.col(key), F.lit("")).alias("_kk"),
+        F.col(key).isNull().alias("_kn"),
+        F.coalesce(chunk, F.lit(NO_TIME)).alias("_chunk"),
     )
 
 
@@ -112,7 +117,8 @@ def step_distance(det: DataFrame, chunk_ms: int = DEFAULT_CHUNK_MS) -> DataFrame
     """Metres from each detection to the previous raw detection of its track.
 
     0 when there is no previous point or its longitude does not parse;
-    NULL when a needed coordinate is missing.
+    NULL when a needed coordinate is missing.  Detections without a
+    timestamp stand before the first one of their track.
     """
     us = epoch_us(F.col("timestamp"), is_ntz(det, "timestamp"))
     points = _with_keys(det.select(TRACK, *ORDER, "lon", "lat"), TRACK, time_chunk(us, TRACK, chunk_ms))
