@@ -23,10 +23,12 @@ from tracklens.operators import tracks as TR  # noqa: E402
 from tracklens.operators import zonestats as Z  # noqa: E402
 from tracklens.operators.filters import period_filter  # noqa: E402
 from tracklens.operators.heatmap import center_latitude, heatmap, top_cells, unplaced_detections  # noqa: E402
+from tracklens.operators import segments as SG  # noqa: E402
 from tracklens.operators.rollup import track_rollup, track_zones  # noqa: E402
 from tracklens.operators.speed import speed_profile  # noqa: E402
 from tracklens.operators.timeline import timeline  # noqa: E402
 from tracklens.params import Period, ThinParams  # noqa: E402
+from tracklens.plans import periods as PP  # noqa: E402
 from tracklens.plans import report as RP  # noqa: E402
 from tracklens.plans import rollups as RU  # noqa: E402
 from tracklens.plans import sinks as SK  # noqa: E402
@@ -99,11 +101,21 @@ def _hexagons(spark: SparkSession, d: str, choice: str) -> DataFrame:
     return RU.hex_density(RU.type_filter(_map_cells(spark, d), choice), HEX_RADIUS_M, center)
 
 
-def _org_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """Detections per tenant (one sensor each) with the tenants' names."""
+def _of_tenants(det: DataFrame) -> DataFrame:
+    """Detections with their tenant: every sensor is one's own."""
     device = F.col("device_identifier")
-    slug = F.when(device == "dev-0", "pip").otherwise(F.concat(F.lit("org-"), device))
-    per_org = _det(spark, d).groupBy(slug.alias("org")).agg(F.count(F.lit(1)).alias("detections"))
+    return det.withColumn("org", F.when(device == "dev-0", "pip").otherwise(F.concat(F.lit("org-"), device)))
+
+
+def _by_period(spark: SparkSession, d: str) -> PP.PeriodReports:
+    """Results of all tenants, days and weeks."""
+    det = _of_tenants(_det(spark, d))
+    return PP.PeriodReports(det, SG.days_and_weeks(det), hold=False)
+
+
+def _org_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Detections per tenant with the tenants' names."""
+    per_org = _of_tenants(_det(spark, d)).groupBy("org").agg(F.count(F.lit(1)).alias("detections"))
     return with_org_name(per_org, "org", org_registry(spark))
 
 
@@ -210,6 +222,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "period_slug": lambda spark, d: RP.daily_periods(_det(spark, d)),
         "org_names": lambda spark, d: RP.report_index(_det(spark, d), ORG),
         "summary": _summary,
+        "summary_by_period": lambda spark, d: _by_period(spark, d).summary(),
+        "timeline_by_period": lambda spark, d: _by_period(spark, d).timeline(),
+        "speed_profile_by_period": lambda spark, d: _by_period(spark, d).speed_profile(),
+        "zone_stats_by_period": lambda spark, d: _by_period(spark, d).zone_stats(),
         "summary_by_filter": lambda spark, d: RU.summary_by_filter(_summary(spark, d), REPORT),
     }
 
@@ -282,5 +298,9 @@ def oracle_sql() -> dict[str, str]:
         "period_slug": O.period_slug(s, e),
         "org_names": O.org_names(s, e, ORG, ORG_DISPLAY_NAMES.get(ORG)),
         "summary": O.summary_flat(*summ),
+        "summary_by_period": O.summary_by_period(s, e, ORG_DISPLAY_NAMES),
+        "timeline_by_period": O.timeline_by_period(s, e),
+        "speed_profile_by_period": O.speed_profile_by_period(s, e),
+        "zone_stats_by_period": O.zone_stats_by_period(s, e),
         "summary_by_filter": O.summary_by_filter(*summ),
     }

@@ -49,7 +49,8 @@ def _cname(prefix: str, lab: str | None) -> str:
     return f"{prefix}_{lab if lab is not None else 'null'}"
 
 
-def track_raw_rollup(det: DataFrame) -> DataFrame:
+def track_raw_rollup(det: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The first step's states per (``keys``, track, raw type); they merge, see :func:`merged_raw`."""
     has_h = F.col("heading_degrees").isNotNull()
     comp = compass8(F.col("heading"))
     card = cardinal4(F.col("heading"))
@@ -67,11 +68,29 @@ def track_raw_rollup(det: DataFrame) -> DataFrame:
         aggs.append(F.count_if(has_h & cond).alias(_cname("c", lab)))
     for lab in CARDINAL_LABELS:
         aggs.append(F.count_if(has_h & (card == lab)).alias(_cname("k", lab)))
-    return det.groupBy("track_identifier", F.col("object_type").alias("raw_type")).agg(*aggs)
+    return det.groupBy(*keys, "track_identifier", F.col("object_type").alias("raw_type")).agg(*aggs)
+
+
+def merged_raw(states: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """States of (``keys``, track, raw type) from several states each: counts and sums add up, masks are joined."""
+    how = {"sp_max": F.max, "hour_mask": F.bit_or}
+    own = [*keys, "track_identifier", "raw_type"]
+    counts = track_raw_columns()
+    return states.groupBy(*own).agg(*[how.get(c, F.sum)(c).alias(c) for c in counts])
+
+
+def track_raw_columns() -> list[str]:
+    """The columns of a raw state."""
+    plain = ["sp_sum", "sp_cnt", "sp_max", "hsp_sum", "hsp_cnt", "h_rows", "hour_mask"]
+    return [*plain, *[_cname("c", lab) for lab in COMPASS_CATS], *[_cname("k", lab) for lab in CARDINAL_LABELS]]
 
 
 def track_rollup(det: DataFrame) -> DataFrame:
-    per_raw = track_raw_rollup(det)
+    return folded_raw(track_raw_rollup(det))
+
+
+def folded_raw(per_raw: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The second step: raw types folded into one row per (``keys``, track)."""
     raw = F.col("raw_type")
     small = F.coalesce(raw == RAW_SMALL, F.lit(False))
     large = F.coalesce(raw == RAW_LARGE, F.lit(False))
@@ -107,7 +126,7 @@ def track_rollup(det: DataFrame) -> DataFrame:
         ]
         for lab in COMPASS_CATS:
             aggs.append(F.sum(F.when(cond, F.col(_cname("c", lab)))).alias(_cname(f"{cls}_c", lab)))
-    per_track = per_raw.groupBy("track_identifier").agg(*aggs)
+    per_track = per_raw.groupBy(*keys, "track_identifier").agg(*aggs)
     # all rows = pedestrian rows + the rest, so the track's own counts are sums
     per_track = per_track.select(
         "*",
@@ -130,6 +149,7 @@ def track_rollup(det: DataFrame) -> DataFrame:
         *[F.when(F.col(f"{c}_h_rows") > 0, dominant(f"{c}_c")).alias(f"_{c}_dom") for c in ("ped", "veh")],
     )
     return scored.select(
+        *keys,
         "track_identifier",
         "has_small",
         "has_large",
@@ -152,8 +172,8 @@ def track_rollup(det: DataFrame) -> DataFrame:
     )
 
 
-def track_zones(det: DataFrame) -> DataFrame:
-    """Distinct (track, zone) pairs under the loader parse rule.
+def track_zones(det: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct (``keys``, track, zone) under the loader parse rule.
 
     Distinct (track, raw text) pairs are found first with a hash
     aggregate (a track repeats a handful of zone strings), and only those
@@ -161,7 +181,7 @@ def track_zones(det: DataFrame) -> DataFrame:
     """
     raw = (
         det.where(has_zones(F.col("zones_hit")))
-        .select("track_identifier", "zones_hit")
+        .select(*keys, "track_identifier", "zones_hit")
         .distinct()
     )
-    return raw.select("track_identifier", F.explode(zones_loader(F.col("zones_hit"))).alias("zone")).distinct()
+    return raw.select(*keys, "track_identifier", F.explode(zones_loader(F.col("zones_hit"))).alias("zone")).distinct()

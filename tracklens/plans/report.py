@@ -44,22 +44,38 @@ def summary(
     over the per-track roll-up; the zone figures are scalar subqueries over
     the distinct (track, zone) table.
     """
-    hours = float(period.hours())
-    agg = rollup.agg(*S.totals_aggs(), *S.hour_aggs(), *S.direction_aggs(), *S.direction4_aggs())
-    agg = agg.select("*", S._best_hour().alias("_best"))
+    agg = rollup.agg(*summary_aggs()).select("*", S._best_hour().alias("_best"))
     zf = S.zone_figures(zones, zone).scalar()
+    return agg.select(
+        *summary_columns(F.lit(float(period.hours())), zf.getField("freight_entries"), zf.getField("zones_active")),
+        F.lit(period.start).alias("period_start"),
+        F.lit(period.end).alias("period_end"),
+        F.lit(org).alias("org_subdomain"),
+        # the org is a parameter, so its display name is a literal lookup
+        # (a join on a constant key would be a nested-loop join)
+        org_name_literal(org).alias("org_name"),
+    )
+
+
+def summary_aggs() -> list[Column]:
+    """Everything the summary takes from the per-track roll-up, in one aggregation."""
+    return [*S.totals_aggs(), *S.hour_aggs(), *S.direction_aggs(), *S.direction4_aggs()]
+
+
+def summary_columns(hours: Column, freight_entries: Column, zones_active: Column) -> list[Column]:
+    """The summary's KPIs from ``summary_aggs`` and ``_best``, the best hour."""
     total = F.col("total_detections")
-    row = agg.select(
+    return [
         total,
         "pedestrian_count",
         "vehicle_count",
         S.composition_expr(total, F.col("pedestrian_count")).alias("pedestrian_pct"),
         S.composition_expr(total, F.col("vehicle_count")).alias("vehicle_pct"),
         *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in SPEED_FIELDS],
-        round_half_even(total / F.lit(hours), 0).cast("long").alias("flow_rate_per_hour"),
-        zf.getField("freight_entries").alias("freight_entries"),
+        round_half_even(total / hours, 0).cast("long").alias("flow_rate_per_hour"),
+        freight_entries.alias("freight_entries"),
         S.peak_hour_expr(F.col("_best")).alias("peak_hour"),
-        zf.getField("zones_active").alias("zones_active"),
+        zones_active.alias("zones_active"),
         *[F.col(f"dir_{d}").cast("long").alias(f"dir_{d}") for d in COMPASS_LABELS],
         *[
             F.col(f"dir4_{t}_{c}").cast("long").alias(f"dir4_{t}_{c}")
@@ -70,14 +86,7 @@ def summary(
             (F.col(f"dir4_pedestrian_{c}") + F.col(f"dir4_vehicle_{c}")).cast("long").alias(f"dir4_all_{c}")
             for c in CARDINAL_LABELS
         ],
-        F.lit(period.start).alias("period_start"),
-        F.lit(period.end).alias("period_end"),
-        F.lit(org).alias("org_subdomain"),
-        # the org is a parameter, so its display name is a literal lookup
-        # (a join on a constant key would be a nested-loop join)
-        org_name_literal(org).alias("org_name"),
-    )
-    return row
+    ]
 
 
 def summary_record(flat: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,7 +41,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
+#: folders of plain local sessions without the setting, by application
+LOCAL_DIRS: dict[str, str] = {}
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared checkpoint folder; a session on one machine (a local master) without one gets a folder of its own."""
+    master = spark.sparkContext.master
+    if spark.conf.get(CHECKPOINT_KEY, None) or not (master == "local" or master.startswith("local[")):
+        return checkpoint_dir(spark).rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in LOCAL_DIRS:
+        LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="tracklens-")
+    return LOCAL_DIRS[app]
+
+
+def stage_table(df: DataFrame, name: str, base: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet under the shared checkpoint folder and
     return a reader of it.
 
@@ -49,7 +65,7 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     and a lost executor re-reads the staged files rather than the source.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/tracklens-stage/{uuid.uuid4().hex}/{name}"
+    path = f"{(base or checkpoint_dir(spark)).rstrip('/')}/tracklens-stage/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
