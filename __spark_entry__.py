@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tracklens import oracle as O  # noqa: E402
+from tracklens.functions.casting import to_mph  # noqa: E402
+from tracklens.functions.classes import type_total  # noqa: E402
+from tracklens.functions.timefn import epoch_us  # noqa: E402
 from tracklens.operators import directions as D  # noqa: E402
 from tracklens.operators import projections as P  # noqa: E402
 from tracklens.operators import summary as S  # noqa: E402
@@ -23,7 +27,10 @@ from tracklens.operators import tracks as TR  # noqa: E402
 from tracklens.operators import zonestats as Z  # noqa: E402
 from tracklens.operators.filters import period_filter  # noqa: E402
 from tracklens.operators.heatmap import center_latitude, heatmap, top_cells, unplaced_detections  # noqa: E402
+from tracklens.operators import cellstates as CS  # noqa: E402
 from tracklens.operators import segments as SG  # noqa: E402
+from tracklens.operators.asof import asof_join  # noqa: E402
+from tracklens.operators.quantiles import exact_quantiles  # noqa: E402
 from tracklens.operators.rollup import track_rollup, track_zones  # noqa: E402
 from tracklens.operators.speed import speed_profile  # noqa: E402
 from tracklens.operators.timeline import timeline  # noqa: E402
@@ -32,6 +39,7 @@ from tracklens.plans import periods as PP  # noqa: E402
 from tracklens.plans import report as RP  # noqa: E402
 from tracklens.plans import rollups as RU  # noqa: E402
 from tracklens.plans import sinks as SK  # noqa: E402
+from tracklens.session import scratch_dir  # noqa: E402
 from tracklens.sources.features import features_table, observed_zone_features  # noqa: E402
 from tracklens.sources.orgs import ORG_DISPLAY_NAMES, org_registry, with_org_name  # noqa: E402
 from tracklens.sources.detections import normalise  # noqa: E402
@@ -147,6 +155,37 @@ def _trip_trail(spark: SparkSession, d: str) -> DataFrame:
     return TR.trip_trail(_map_tracks(spark, d), TRAIL_STEP_MS, TRAIL_MS, _t0(spark, d), span)
 
 
+def _week_from_days(spark: SparkSession, d: str) -> DataFrame:
+    """The week's heatmap from stored daily states of the whole range."""
+    path = f"{scratch_dir(spark)}/cell-states-{uuid.uuid4().hex}"
+    CS.store_days(CS.daily_states(_det(spark, d)), path)
+    return CS.heatmap_of_states(CS.stored_days(spark, path, WEEK.start_dt.date(), WEEK.end_dt.date()))
+
+
+def _speed_box_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Box statistics of unrounded per-track speeds."""
+    speeds = _det(spark, d).groupBy("track_identifier", type_total(F.col("object_type")).alias("object_type")).agg(
+        to_mph(F.avg("speed_ms")).alias("mph")
+    )
+    q = exact_quantiles(speeds, "object_type", "mph", [0.25, 0.5, 0.75])
+    return q.select("object_type", "min", *[F.col("quantiles")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))], "max", "count")
+
+
+def _raw_speed_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    points = _det(spark, d).select("device_identifier", to_mph(F.col("speed_ms")).alias("mph"))
+    return exact_quantiles(points, "device_identifier", "mph", [0.01, 0.5, 0.85, 0.99])
+
+
+def _asof_leader(spark: SparkSession, d: str) -> DataFrame:
+    """For every detection, where the track of the next number was last seen at that time."""
+    det = _det(spark, d)
+    us = epoch_us(F.col("timestamp"), True)
+    number = F.substring("track_identifier", 5, 20).cast("long") + 1
+    asked = det.select("event_id", "track_identifier", F.concat(F.lit("trk-"), number.cast("string")).alias("leader"), us.alias("asked_us"))
+    seen = det.select(F.col("track_identifier").alias("leader"), us.alias("seen_us"), F.col("event_id").alias("tie"), "lon", "lat", "speed_ms")
+    return asof_join(asked, seen, "leader", "asked_us", "seen_us", "tie", ["lon", "lat", "speed_ms"]).drop("asked_us")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: the five-minute activity timeline on sf0.001."""
     return timeline(_det(spark, SMOKE_DIR))
@@ -222,6 +261,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "period_slug": lambda spark, d: RP.daily_periods(_det(spark, d)),
         "org_names": lambda spark, d: RP.report_index(_det(spark, d), ORG),
         "summary": _summary,
+        "heatmap_from_days": _week_from_days,
+        "speed_box_exact": _speed_box_exact,
+        "raw_speed_quantiles": _raw_speed_quantiles,
+        "asof_leader": _asof_leader,
         "summary_by_period": lambda spark, d: _by_period(spark, d).summary(),
         "timeline_by_period": lambda spark, d: _by_period(spark, d).timeline(),
         "speed_profile_by_period": lambda spark, d: _by_period(spark, d).speed_profile(),
@@ -298,6 +341,10 @@ def oracle_sql() -> dict[str, str]:
         "period_slug": O.period_slug(s, e),
         "org_names": O.org_names(s, e, ORG, ORG_DISPLAY_NAMES.get(ORG)),
         "summary": O.summary_flat(*summ),
+        "heatmap_from_days": O.heatmap(WEEK.start, WEEK.end),
+        "speed_box_exact": O.speed_box_exact(s, e),
+        "raw_speed_quantiles": O.raw_speed_quantiles(s, e),
+        "asof_leader": O.asof_leader(s, e),
         "summary_by_period": O.summary_by_period(s, e, ORG_DISPLAY_NAMES),
         "timeline_by_period": O.timeline_by_period(s, e),
         "speed_profile_by_period": O.speed_profile_by_period(s, e),

@@ -57,7 +57,7 @@ def heatmap(
             F.min("timestamp").alias("first_seen"),
             F.max("timestamp").alias("last_seen"),
         )
-        return _finish(per_cell, min_points)
+        return finished_cells(per_cell, min_points)
     per_track = cells.groupBy(*CELL_KEYS, "track_identifier").agg(
         F.sum("speed_ms").alias("s"),
         F.count("speed_ms").alias("n"),
@@ -72,10 +72,10 @@ def heatmap(
         F.min("first_seen").alias("first_seen"),
         F.max("last_seen").alias("last_seen"),
     )
-    return _finish(per_cell, min_points)
+    return finished_cells(per_cell, min_points)
 
 
-def _finish(per_cell: DataFrame, min_points: int) -> DataFrame:
+def finished_cells(per_cell: DataFrame, min_points: int) -> DataFrame:
     return per_cell.where(F.col("point_count") >= min_points).select(
         *CELL_KEYS,
         type_partial(F.col("raw_type")).alias("object_type"),
