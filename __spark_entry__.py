@@ -10,6 +10,7 @@ import os
 import sys
 import uuid
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,10 +40,11 @@ from tracklens.plans import periods as PP  # noqa: E402
 from tracklens.plans import report as RP  # noqa: E402
 from tracklens.plans import rollups as RU  # noqa: E402
 from tracklens.plans import sinks as SK  # noqa: E402
+from tracklens.plans.search import SearchIndex  # noqa: E402
 from tracklens.session import scratch_dir  # noqa: E402
 from tracklens.sources.features import features_table, observed_zone_features  # noqa: E402
 from tracklens.sources.orgs import ORG_DISPLAY_NAMES, org_registry, with_org_name  # noqa: E402
-from tracklens.sources.detections import normalise  # noqa: E402
+from tracklens.sources.detections import normalise, store_tenant, tenant_detections  # noqa: E402
 from tracklens.sources.events_view import detections_from_events  # noqa: E402
 
 try:  # the training-data operators may be left out of an installation
@@ -155,6 +157,30 @@ def _trip_trail(spark: SparkSession, d: str) -> DataFrame:
     return TR.trip_trail(_map_tracks(spark, d), TRAIL_STEP_MS, TRAIL_MS, _t0(spark, d), span)
 
 
+def _tenant_days(spark: SparkSession, d: str) -> DataFrame:
+    """One tenant's timelines of a week's days, read from its catalog table by day."""
+    run = uuid.uuid4().hex
+    own = _of_tenants(detections_from_events(spark, d)).where(F.col("org") == ORG).drop("org")
+    store_tenant(own, ORG, f"tenants_{run}", f"{scratch_dir(spark)}/tenant-{run}")
+    first = WEEK.start_dt
+    days = [(first + timedelta(i)).strftime("%Y-%m-%d") for i in range(7)]
+    periods = SG.period_table(spark, [(ORG, Period(f"{x}T00:00:00", f"{x}T23:59:59")) for x in days])
+    raw = SG.days_of(tenant_detections(spark, ORG, database=f"tenants_{run}"), periods, "date")
+    return PP.PeriodReports(normalise(raw).withColumn("org", F.lit(ORG)), periods, hold=False).timeline()
+
+
+def _raw_search_indexed(spark: SparkSession, d: str) -> DataFrame:
+    table = RU.raw_table(SK.heatmap_records(heatmap(_det(spark, d))))
+    return SearchIndex.build(table, scratch_dir(spark)).search(SEARCH)
+
+
+def _published_map_tracks(spark: SparkSession, d: str) -> DataFrame:
+    """A published report's map tracks, read back through its pointer with their declared schema."""
+    root = f"{scratch_dir(spark)}/published-{uuid.uuid4().hex}"
+    RP.build_report(spark, detections_from_events(spark, d), ORG, REPORT, root, THIN)
+    return RP.read_report(spark, RP.snapshot_path(root, ORG, REPORT))["map-tracks"]
+
+
 def _week_from_days(spark: SparkSession, d: str) -> DataFrame:
     """The week's heatmap from stored daily states of the whole range."""
     path = f"{scratch_dir(spark)}/cell-states-{uuid.uuid4().hex}"
@@ -261,6 +287,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "period_slug": lambda spark, d: RP.daily_periods(_det(spark, d)),
         "org_names": lambda spark, d: RP.report_index(_det(spark, d), ORG),
         "summary": _summary,
+        "tenant_days": _tenant_days,
+        "raw_search_indexed": _raw_search_indexed,
+        "published_map_tracks": _published_map_tracks,
         "heatmap_from_days": _week_from_days,
         "speed_box_exact": _speed_box_exact,
         "raw_speed_quantiles": _raw_speed_quantiles,
@@ -341,6 +370,9 @@ def oracle_sql() -> dict[str, str]:
         "period_slug": O.period_slug(s, e),
         "org_names": O.org_names(s, e, ORG, ORG_DISPLAY_NAMES.get(ORG)),
         "summary": O.summary_flat(*summ),
+        "tenant_days": O.tenant_days(s, e, WEEK.start, WEEK.end),
+        "raw_search_indexed": O.raw_search(s, e, SEARCH),
+        "published_map_tracks": O.map_track_records(s, e, *thin),
         "heatmap_from_days": O.heatmap(WEEK.start, WEEK.end),
         "speed_box_exact": O.speed_box_exact(s, e),
         "raw_speed_quantiles": O.raw_speed_quantiles(s, e),

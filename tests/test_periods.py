@@ -104,3 +104,29 @@ def test_publish_by_tenant_and_period(spark, reports, tmp_path):
     assert one.agg(F.sum("count")).first()[0] == reports.timeline().where("org = 'other'").agg(F.sum("count")).first()[0]
     with pytest.raises(Exception, match="already exists"):
         reports.publish(str(tmp_path / "out"))
+
+
+def test_a_tenant_table_is_read_by_the_days_of_the_periods(spark, tmp_path):
+    import glob
+
+    from tracklens.sources.detections import store_tenant, tenant_detections
+
+    raw = detections_from_events(spark, SF_SMALL)
+    path = str(tmp_path / "tenant")
+    store_tenant(raw, "pip", "tenants_test", path)
+    try:
+        table = tenant_detections(spark, "pip", database="tenants_test")
+        assert table.count() == raw.count()
+        for day in ("2024-01-07", "2024-01-11"):  # files that no period needs can't be read any more
+            for file in glob.glob(f"{path}/date={day}/part-*"):
+                with open(file, "wb") as f:
+                    f.write(b"broken")
+        periods = SG.period_table(spark, [("pip", Period(f"2024-01-0{d}T00:00:00", f"2024-01-0{d}T23:59:59")) for d in (8, 9)])
+        det = normalise(SG.days_of(table, periods, "date")).withColumn("org", F.lit("pip"))
+        got = PeriodReports(det, periods, hold=False).timeline().drop(*SG.PERIOD)
+        two = Period("2024-01-08T00:00:00", "2024-01-09T23:59:59")
+        assert rows(got) == rows(timeline(normalise(period_filter(raw, two))))
+        with pytest.raises(Exception, match="(?i)parquet|footer|FAILED_READ"):
+            table.agg(F.max("longitude")).collect()
+    finally:
+        spark.sql("DROP DATABASE tenants_test CASCADE")

@@ -100,11 +100,25 @@ def test_interrupted_build_leaves_nothing_published(spark, tmp_path, monkeypatch
     os.makedirs(base)  # what another writer may have left
     paths = build_report(spark, raw, "pip", WEEK, out, ThinParams(7), map_precision=3, map_min_points=2)
     assert is_published(spark, base)
-    manifest = json.loads(spark.read.text(f"{base}/_manifest").first()[0])
+    version = report.current_version(spark, base)
+    assert all(p.startswith(version) for p in paths.values())
+    assert sorted(os.listdir(base)) == sorted([".CURRENT.crc", "CURRENT", os.path.basename(version)])
+    manifest = json.loads(spark.read.text(f"{version}/_manifest").first()[0])
     assert manifest["max_tracks"] == 7 and manifest["tracks_left_out"] > 0
     assert spark.read.json(paths["map-heatmap"]).count() < spark.read.json(paths["heatmap"]).count()
 
 
+def test_a_pointer_that_is_not_whole_publishes_nothing(spark, tmp_path):
+    from tracklens.plans.report import current_version
+
+    base = snapshot_path(str(tmp_path), "pip", WEEK)
+    os.makedirs(base)
+    for text in ("", "v-12"):
+        with open(os.path.join(base, "CURRENT"), "w") as f:
+            f.write(text)
+        assert current_version(spark, base) is None and not is_published(spark, base)
+
+
 def test_results_are_published_in_order(spark, tmp_path):
     paths = build_report(spark, detections_from_events(spark, SF_SMALL), "pip", WEEK, str(tmp_path), fmt="json")
     rows = {n: [json.loads(r.value) for r in spark.read.text(paths[n]).collect()] for n in ("timeline", "speed-profile", "map-tracks", "heatmap")}
@@ -291,7 +305,7 @@ def test_cli_builds_a_report(spark, monkeypatch):
     paths = cli.main(
         ["--org_subdomain", "acme", "--source", src, "--out", out, "--thin-interval-ms", "60000"], spark=spark
     )
-    assert paths["summary"].endswith("org=acme/period=2024-01-08_to_2024-01-08/summary")
+    assert "/org=acme/period=2024-01-08_to_2024-01-08/v-" in paths["summary"] and paths["summary"].endswith("/summary")
     summ = spark.read.json(paths["summary"]).collect()[0]
     assert summ.org_name == "acme" and summ.period.start == "2024-01-08T00:00:00"
     with pytest.raises(SystemExit):

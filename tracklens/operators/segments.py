@@ -90,3 +90,19 @@ def with_segment(det: DataFrame, held: DataFrame, slot_us: int = SLOT_US) -> Dat
 def to_periods(states: DataFrame, held: DataFrame) -> DataFrame:
     """States per segment as states per period: each comes once for every period that holds its segment."""
     return states.join(held.drop("until"), list(SEGMENT)).drop("segment")
+
+
+def days_of(det: DataFrame, periods: DataFrame, date_col: str) -> DataFrame:
+    """``det`` on the days between the first and the last of ``periods``.
+
+    ``date_col`` is the date partition column of a stored table; the two days
+    are scalar subqueries over the periods, so the scan lists and reads the
+    folders between them only.
+    """
+
+    def day(us: Column) -> Column:
+        return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(us / SLOT_US).cast("int"))
+
+    first = periods.select(day(F.min("lo_us"))).scalar()
+    last = periods.select(day(F.max(F.col("hi_us") - 1))).scalar()
+    return det.where(F.col(date_col).between(first, last))

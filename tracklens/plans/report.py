@@ -23,10 +23,11 @@ from tracklens.params import DEFAULT_MIN_POINTS, DEFAULT_PRECISION, FREIGHT_ZONE
 from tracklens.plans import sinks
 from tracklens.sources.detections import normalise
 from tracklens.sources.features import features_table
-from tracklens.session import remove_path, stage_table, unstage
+from tracklens.session import remove_path, scratch_dir, stage_table, unstage
 from tracklens.sources.orgs import org_name_literal
 
 MANIFEST = "_manifest"
+POINTER = "CURRENT"
 SPEED_FIELDS = ["avg_speed", "top_speed", "ped_avg_speed", "ped_top_speed", "veh_avg_speed", "veh_top_speed"]
 
 
@@ -252,18 +253,20 @@ def build_report(
     The typed, period-filtered scan, the per-track roll-up and the heatmap
     cells are each written once as Parquet under the cluster's shared
     checkpoint folder and removed at the end. The results are written into a
-    building folder, which gets its manifest last and then its final name: a
-    snapshot is whole or not there, and a published one is never overwritten.
+    version folder of the snapshot, which readers find only through the
+    snapshot's pointer: one small file that is written last and never again.
+    A snapshot so is whole or not there, on object stores as well, where
+    folders can't be renamed at once.
     """
     base = snapshot_path(out_root, org, period)
     if is_published(spark, base):
         raise FileExistsError(f"snapshot already published: {base}")
-    parent, _, name = base.rpartition("/")
-    building = f"{parent}/_building-{name}-{uuid.uuid4().hex}"
+    version = f"v-{uuid.uuid4().hex}"
+    building = f"{base}/{version}"
     staged: list[DataFrame] = []
 
     def held(df: DataFrame, title: str) -> DataFrame:
-        staged.append(stage_table(df, title))
+        staged.append(stage_table(df, title, scratch_dir(spark)))
         return staged[-1]
 
     try:
@@ -292,17 +295,15 @@ def build_report(
         if thin.max_tracks is not None:
             manifest |= {"max_tracks": thin.max_tracks, "tracks_left_out": left_out(det, thin.max_tracks).first()[0]}
         spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{building}/{MANIFEST}")
-        if _exists(spark, base):
-            if is_published(spark, base):
-                raise FileExistsError(f"snapshot already published: {base}")
-            remove_path(spark, base)  # without a manifest it is what an interrupted build has left
-        _rename(spark, building, base)
+        _point(spark, base, version)
+    except BaseException:
+        if _exists(spark, building):
+            remove_path(spark, building)
+        raise
     finally:
         for df in staged:
             unstage(df)
-        if _exists(spark, building):
-            remove_path(spark, building)
-    return {name: f"{base}/{name}" for name in results}
+    return {name: f"{building}/{name}" for name in results}
 
 
 def _path(spark: SparkSession, path: str):
@@ -315,15 +316,27 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def _rename(spark: SparkSession, path: str, to: str) -> None:
-    p, fs = _path(spark, path)
-    if not fs.rename(p, _path(spark, to)[0]):
-        raise OSError(f"{path} can't be renamed to {to}")
+def _point(spark: SparkSession, base: str, version: str) -> None:
+    """Publish a version: create the snapshot's pointer, which must not be there."""
+    p, fs = _path(spark, f"{base}/{POINTER}")
+    if fs.exists(p):
+        raise FileExistsError(f"snapshot already published: {base}")
+    out = fs.create(p, False)
+    out.write(bytearray(f"{version}\n".encode()))
+    out.close()
+
+
+def current_version(spark: SparkSession, base: str) -> str | None:
+    """The folder of a snapshot's published version; None without a pointer or with one that isn't whole."""
+    if not _exists(spark, f"{base}/{POINTER}"):
+        return None
+    text = spark.read.text(f"{base}/{POINTER}", wholetext=True).first()
+    return f"{base}/{text[0].strip()}" if text and text[0].endswith("\n") else None
 
 
 def is_published(spark: SparkSession, base: str) -> bool:
-    """A snapshot counts once its manifest is whole."""
-    return _exists(spark, f"{base}/{MANIFEST}/_SUCCESS")
+    """A snapshot counts once its pointer is whole."""
+    return current_version(spark, base) is not None
 
 
 def read_result(spark: SparkSession, path: str, schema, fmt: str = "json") -> DataFrame:
@@ -333,11 +346,12 @@ def read_result(spark: SparkSession, path: str, schema, fmt: str = "json") -> Da
 
 def read_report(spark: SparkSession, base: str) -> dict[str, DataFrame]:
     """All results of a published snapshot, each with its declared schema; ``zones`` as lines of its document."""
-    if not is_published(spark, base):
+    folder = current_version(spark, base)
+    if folder is None:
         raise FileNotFoundError(f"no published snapshot: {base}")
-    manifest = json.loads(spark.read.text(f"{base}/{MANIFEST}").first()[0])
+    manifest = json.loads(spark.read.text(f"{folder}/{MANIFEST}").first()[0])
     return {
-        name: read_result(spark, f"{base}/{name}", schema, "text" if name == "zones" else manifest["format"])
+        name: read_result(spark, f"{folder}/{name}", schema, "text" if name == "zones" else manifest["format"])
         for name, schema in sinks.result_schemas().items()
     }
 
@@ -352,6 +366,7 @@ __all__ = [
     "snapshot_path",
     "build_report",
     "feature_lines",
+    "current_version",
     "is_published",
     "read_report",
     "read_result",

@@ -279,6 +279,7 @@ def histogram_columns(
     )
 
 
+# --- fixed values: the page's column names ---
 HEATMAP_DISPLAY = [
     ("object_type", "Type"),
     ("device_id", "Device"),
@@ -291,6 +292,7 @@ HEATMAP_DISPLAY = [
     ("last_seen", "Last Seen"),
 ]
 SPEED_DISPLAY = [("object_type", "Type"), ("track_id", "Track ID"), ("avg_speed", "Avg Speed (mph)")]
+# ---------------------------------------------
 
 
 def raw_table(records: DataFrame, source: str = "Heatmap") -> DataFrame:
@@ -299,11 +301,8 @@ def raw_table(records: DataFrame, source: str = "Heatmap") -> DataFrame:
     return records.select(*[F.col(c).alias(label) for c, label in cols])
 
 
-def raw_search(table: DataFrame, query: str) -> DataFrame:
-    """Rows where every query term starts a word in some column (any case)."""
-    terms = search_terms(query)
-    if not terms:
-        return table
+def search_texts(table: DataFrame) -> list[Column]:
+    """Every column as the text the page shows, NULL as the empty one."""
 
     def text(field) -> Column:
         t = F.col(f"`{field.name}`").cast("string")
@@ -311,7 +310,15 @@ def raw_search(table: DataFrame, query: str) -> DataFrame:
             t = F.regexp_replace(t, r"\.0$", "")  # integral numbers print without ".0"
         return F.coalesce(t, F.lit(""))
 
-    texts = [text(f) for f in table.schema.fields]
+    return [text(f) for f in table.schema.fields]
+
+
+def raw_search(table: DataFrame, query: str) -> DataFrame:
+    """Rows where every query term starts a word in some column (any case)."""
+    terms = search_terms(query)
+    if not terms:
+        return table
+    texts = search_texts(table)
     cond = None
     for t in terms:
         pat = term_pattern(t)

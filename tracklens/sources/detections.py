@@ -55,6 +55,18 @@ def tenant_detections(
     return spark.table(quoted(*database.split("."), name) if database else quoted(name))
 
 
+def store_tenant(raw: DataFrame, org: str, database: str, path: str) -> str:
+    """Store a tenant's detections by UTC day under ``path`` and name them in the catalog; the table's name."""
+    spark, name = raw.sparkSession, quoted(database, table_name(org))
+    ts = F.col("timestamp")
+    day = F.to_date(ts if is_ntz(raw, "timestamp") else from_epoch_us(F.unix_micros(ts), True))
+    raw.withColumn("date", day).write.partitionBy("date").parquet(path)
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {quoted(database)}")
+    spark.catalog.createTable(name, path=path, source="parquet")
+    spark.catalog.recoverPartitions(name)
+    return name
+
+
 def normalise(raw: DataFrame) -> DataFrame:
     """Typed view of raw detections; parse every text column once.
 
