@@ -42,7 +42,7 @@ from tracklens.plans import rollups as RU  # noqa: E402
 from tracklens.plans import sinks as SK  # noqa: E402
 from tracklens.plans.search import SearchIndex  # noqa: E402
 from tracklens.session import scratch_dir  # noqa: E402
-from tracklens.sources.features import features_table, observed_zone_features  # noqa: E402
+from tracklens.sources.features import as_features, feature_bounds, features_table, observed_zone_features  # noqa: E402
 from tracklens.sources.orgs import ORG_DISPLAY_NAMES, org_registry, with_org_name  # noqa: E402
 from tracklens.sources.detections import normalise, store_tenant, tenant_detections  # noqa: E402
 from tracklens.sources.events_view import detections_from_events  # noqa: E402
@@ -157,6 +157,13 @@ def _trip_trail(spark: SparkSession, d: str) -> DataFrame:
     return TR.trip_trail(_map_tracks(spark, d), TRAIL_STEP_MS, TRAIL_MS, _t0(spark, d), span)
 
 
+def _wkt_table(spark: SparkSession, d: str) -> DataFrame:
+    """The derived feature table with its polygons as well-known text."""
+    ring = F.regexp_extract("geometry", r"\[\[(.*)\]\]", 1)
+    points = F.regexp_replace(F.regexp_replace(ring, r"\[([^,]+),([^\]]+)\]", "$1 $2"), ",", ", ")
+    return as_features(_features(spark, d).withColumn("geometry", F.concat(F.lit("POLYGON (("), points, F.lit("))"))))
+
+
 def _tenant_days(spark: SparkSession, d: str) -> DataFrame:
     """One tenant's timelines of a week's days, read from its catalog table by day."""
     run = uuid.uuid4().hex
@@ -287,6 +294,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "period_slug": lambda spark, d: RP.daily_periods(_det(spark, d)),
         "org_names": lambda spark, d: RP.report_index(_det(spark, d), ORG),
         "summary": _summary,
+        "wkt_features": lambda spark, d: RP.zone_features(_wkt_table(spark, d)),
+        "feature_bounds": lambda spark, d: feature_bounds(_wkt_table(spark, d)),
         "tenant_days": _tenant_days,
         "raw_search_indexed": _raw_search_indexed,
         "published_map_tracks": _published_map_tracks,
@@ -370,6 +379,8 @@ def oracle_sql() -> dict[str, str]:
         "period_slug": O.period_slug(s, e),
         "org_names": O.org_names(s, e, ORG, ORG_DISPLAY_NAMES.get(ORG)),
         "summary": O.summary_flat(*summ),
+        "wkt_features": O.zone_features(s, e),
+        "feature_bounds": O.feature_bounds(s, e),
         "tenant_days": O.tenant_days(s, e, WEEK.start, WEEK.end),
         "raw_search_indexed": O.raw_search(s, e, SEARCH),
         "published_map_tracks": O.map_track_records(s, e, *thin),

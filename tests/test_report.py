@@ -218,9 +218,10 @@ def test_features_as_stored(spark):
     assert doc["features"][0]["properties"]["metadata"] == {"gate": "A"}
 
     text = "feature_id string, feature_name string, feature_type string, geometry string, metadata struct<n:int>"
-    rows = [("x", "X", "zone", '{"type":"Point","coordinates":[1,2]}', (3,)), ("y", "Y", "zone", "POINT(1 2)", None)]
+    rows = [("x", "X", "zone", '{"type":"Point","coordinates":[1,2]}', (3,)), ("y", "Y", "zone", "POINT(1 2)", None), ("w", "W", "zone", "POINT(1", None)]
     got = {r.feature_id: r for r in as_features(spark.createDataFrame(rows, text)).collect()}
-    assert json.loads(got["x"].metadata) == {"n": 3} and got["y"].geometry is None
+    assert json.loads(got["x"].metadata) == {"n": 3} and got["w"].geometry is None
+    assert got["y"].geometry == got["x"].geometry
     broken = spark.createDataFrame([("z", "Z", "zone", '{"type":"Point","coordinates":[1,2]}', "{broken")], FEATURES_SCHEMA)
     assert json.loads(feature_collection(broken).first()[0])["features"][0]["properties"]["metadata"] == {}
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracklens.functions.wkt import geojson_bounds, wkt_geojson
 from tracklens.functions.zones import has_zones, zones_sql
 from tracklens.params import validate_slug
 from tracklens.sources.detections import quoted
@@ -50,9 +51,10 @@ def features_table(spark: SparkSession, org: str, name: str | None = None) -> Da
 def as_features(table: DataFrame) -> DataFrame:
     """A feature table as stored, in the form of ``FEATURES_SCHEMA``.
 
-    Geometry may be GeoJSON text or WKB (binary; either byte order), and
-    metadata JSON text, a MAP, a struct or an array. Text that is no JSON and
-    binary that is no WKB become NULL, so one bad feature spoils no report.
+    Geometry may be GeoJSON text, well-known text or WKB (binary; either byte
+    order), and metadata JSON text, a MAP, a struct or an array. Text that is
+    neither and binary that is no WKB become NULL, so one bad feature spoils
+    no report.
     """
     kind = {f.name: f.dataType for f in table.schema.fields}
     text = {n: F.col(n).cast("string") for n in ("feature_id", "feature_name", "feature_type")}
@@ -61,7 +63,7 @@ def as_features(table: DataFrame) -> DataFrame:
         geometry = wkb_geojson(geometry)
     else:
         geometry = geometry.cast("string")
-        geometry = F.when(F.try_parse_json(geometry).isNotNull(), geometry)
+        geometry = F.when(F.try_parse_json(geometry).isNotNull(), geometry).otherwise(wkt_geojson(geometry))
     if isinstance(kind["metadata"], T.MapType | T.StructType | T.ArrayType):
         metadata = F.to_json(metadata)
     else:
@@ -133,6 +135,12 @@ def wkb_geojson(c: Column) -> Column:
     return convert(c)
 
 
+def feature_bounds(features: DataFrame) -> DataFrame:
+    """``feature_id, min_lon, min_lat, max_lon, max_lat`` of every feature with a position."""
+    b = features.select("feature_id", *geojson_bounds(F.col("geometry")))
+    return b.where(F.col("min_lon").isNotNull())
+
+
 def _bbox_polygon(min_lon, min_lat, max_lon, max_lat):
     def pt(x, y):
         return F.format_string("[%.6f,%.6f]", x, y)
