@@ -72,6 +72,7 @@ TRAIL_AT_MS = 86_400_000  # a trail that holds points of the sparse test data
 HEAD_STEP_MS = 3_600_000  # one playback frame per hour of data
 TRAIL_STEP_MS, TRAIL_MS = 5_000, 180_000
 HEX_RADIUS_M = 10
+HEX_RADII_M = [5, 10, 15, 20, 25, 30, 35, 40, 45, 50]  # the page's slider
 HISTOGRAM_COLUMNS = 300  # a 900 px wide strip at 3 px per column
 SEARCH = "dev-1 pedestrian"
 ORG = "pip"
@@ -111,6 +112,11 @@ def _hexagons(spark: SparkSession, d: str, choice: str) -> DataFrame:
     return RU.hex_density(RU.type_filter(_map_cells(spark, d), choice), HEX_RADIUS_M, center)
 
 
+def _hexagons_of_radii(spark: SparkSession, d: str) -> DataFrame:
+    center = center_latitude(_det(spark, d), MAP_PRECISION)
+    return RU.hex_densities(_map_cells(spark, d), HEX_RADII_M, center)
+
+
 def _of_tenants(det: DataFrame) -> DataFrame:
     """Detections with their tenant: every sensor is one's own."""
     device = F.col("device_identifier")
@@ -294,6 +300,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "period_slug": lambda spark, d: RP.daily_periods(_det(spark, d)),
         "org_names": lambda spark, d: RP.report_index(_det(spark, d), ORG),
         "summary": _summary,
+        "hex_density_radii": _hexagons_of_radii,
         "wkt_features": lambda spark, d: RP.zone_features(_wkt_table(spark, d)),
         "feature_bounds": lambda spark, d: feature_bounds(_wkt_table(spark, d)),
         "tenant_days": _tenant_days,
@@ -379,6 +386,7 @@ def oracle_sql() -> dict[str, str]:
         "period_slug": O.period_slug(s, e),
         "org_names": O.org_names(s, e, ORG, ORG_DISPLAY_NAMES.get(ORG)),
         "summary": O.summary_flat(*summ),
+        "hex_density_radii": O.hex_density_radii(s, e, *cells, HEX_RADII_M),
         "wkt_features": O.zone_features(s, e),
         "feature_bounds": O.feature_bounds(s, e),
         "tenant_days": O.tenant_days(s, e, WEEK.start, WEEK.end),

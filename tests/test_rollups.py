@@ -176,3 +176,17 @@ def test_histogram_zero_span(spark):
     t0 = 1704672000000
     rng = spark.createDataFrame([(t0, t0, 0)], "time_min_ms long, time_max_ms long, time_range_ms long")
     assert histogram_columns(tl, rng, 10).count() == 0
+
+
+def test_hexagons_of_several_radii_are_those_of_each(spark):
+    from tracklens.plans.rollups import hex_densities
+
+    points = [(-1.09 + i % 37 * 3e-5, 50.81 + i * 7 % 41 * 2e-5, i % 5 + 1) for i in range(300)]
+    cells = spark.createDataFrame(points, "lon double, lat double, point_count long")
+    radii = [5, 10, 50]
+    every = {r: [] for r in radii}
+    for row in hex_densities(cells, radii).collect():
+        every[row.radius_m].append(tuple(row)[1:])
+    for r in radii:
+        assert sorted(every[r]) == sorted(map(tuple, hex_density(cells, r).collect()))
+        assert sum(x[2] for x in every[r]) == sum(p[2] for p in points)

@@ -64,7 +64,7 @@ def hex_cell(x: Column, y: Column, radius: float) -> tuple[Column, Column]:
     return col, row
 
 
-def hex_center(col: Column, row: Column, radius: float) -> tuple[Column, Column]:
+def hex_center(col: Column, row: Column, radius: float | Column) -> tuple[Column, Column]:
     w = math.sqrt(3.0) * radius
     h = 1.5 * radius
     cx = (col.cast("double") + F.pmod(row, F.lit(2)).cast("double") / F.lit(2.0)) * F.lit(w)

@@ -230,23 +230,38 @@ def hex_density(
     (default: the middle of the cells' latitude range), binned to the
     nearest hexagon centre, and summed: weight = Σ point_count.
     """
+    return hex_densities(cells, [radius_m], ref_lat).drop("radius_m")
+
+
+def hex_densities(cells: DataFrame, radii_m: list[float], ref_lat: float | Column | None = None) -> DataFrame:
+    """Hexagon bins for every radius of the page's slider, from one scan of the cells.
+
+    A cell goes to its hexagon of each radius and the bins of all radii are
+    summed in one aggregation, map-side first. Every radius gets exactly the
+    bins it has alone: hexagons of different sizes do not nest, so sums of
+    small ones could only come near those of large ones.
+    """
     if ref_lat is None:
         ref = cells.select((F.min("lat") + F.max("lat")) / 2).scalar()
     else:
         ref = ref_lat if isinstance(ref_lat, Column) else F.lit(float(ref_lat))
     c = cells.withColumn("_ref", ref)
     x, y = mercator_xy(F.col("lon"), F.col("lat"), F.col("_ref"))
-    col, row = hex_cell(x, y, float(radius_m))
-    binned = c.select(col.alias("hex_col"), row.alias("hex_row"), "point_count", "_ref")
-    g = binned.groupBy("hex_col", "hex_row").agg(
+    bins = []
+    for radius in radii_m:
+        col, row = hex_cell(F.col("_x"), F.col("_y"), float(radius))
+        bins.append(F.struct(F.lit(float(radius)).alias("radius_m"), col.alias("hex_col"), row.alias("hex_row")))
+    placed = c.select(x.alias("_x"), y.alias("_y"), "point_count", "_ref")
+    binned = placed.select("point_count", "_ref", F.inline(F.array(*bins)))
+    g = binned.groupBy("radius_m", "hex_col", "hex_row").agg(
         F.sum("point_count").alias("weight"),
         F.count(F.lit(1)).alias("cells"),
         F.first("_ref").alias("_ref"),
     )
-    cx, cy = hex_center(F.col("hex_col"), F.col("hex_row"), float(radius_m))
+    cx, cy = hex_center(F.col("hex_col"), F.col("hex_row"), F.col("radius_m"))
     lon, lat = mercator_inverse(cx, cy, F.col("_ref"))
     return g.select(
-        "hex_col", "hex_row", "weight", "cells", fixed6(lon).alias("center_lon"), fixed6(lat).alias("center_lat")
+        "radius_m", "hex_col", "hex_row", "weight", "cells", fixed6(lon).alias("center_lon"), fixed6(lat).alias("center_lat")
     )
 
 
