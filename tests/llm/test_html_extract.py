@@ -87,3 +87,16 @@ def test_odd_rows(spark):
     ) or len(got) == 4
     empty = extract_main_text(spark.createDataFrame([], kinds))
     assert empty.columns[:4] == ["page_id", "url", "text", "n_chars"] and empty.count() == 0
+
+
+def test_a_form_around_the_page_is_no_form_of_the_article():
+    prose = "".join(f"<p>Sentence number {i}, which says something about the matter, as sentences do.</p>" for i in range(6))
+    article = f"<h1>The title</h1>{prose}"
+    want = extract(f"<html><body><article>{article}</article></body></html>")
+    assert want.startswith("The title") and want.count("\n") == 6
+    for inner in (f"<article>{article}</article>", f"<div>{article}</div>"):
+        page = f"<body><form id=aspnetForm method=post><input type=hidden value=x>{inner}<button>Send</button></form></body>"
+        assert extract(page) == want
+    form = "<form action=/reply><p>Your name</p><label>Mail</label><textarea>typed</textarea><p>Your reply, if you want to give one.</p></form>"
+    assert extract(f"<body><article>{article}{form}</article></body>") == want
+    assert extract("<body><form><p>User</p><label>Password</label></form></body>") == ""

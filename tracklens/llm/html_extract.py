@@ -64,7 +64,7 @@ ENDS_P = frozenset(
 P_BORDERS = frozenset("button td th table caption article section div body html li blockquote".split())
 # What is no article text.
 SKIP_TAGS = frozenset(
-    "nav aside footer form header head dialog menu button select input fieldset svg math object audio video canvas map datalist search".split()
+    "nav aside footer header head dialog menu button select input fieldset svg math object audio video canvas map datalist search".split()
 )
 SKIP_ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist feed".split()
@@ -256,15 +256,33 @@ def _above(node: Node | None) -> Iterator[Node]:
         node = node.parent
 
 
+def outside_forms(found: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
+    """The blocks without those of forms; a form around half of the text or more, paragraphs among it, only wraps the page."""
+    forms: dict[Node, list] = {}
+    total = 0
+    for node, text, linked in found:
+        size, prose = max(0, len(text) - linked), False
+        total += size
+        for up in _above(node):
+            prose = prose or up.tag in ("p", "article", "main")
+            if up.tag == "form":
+                held = forms.setdefault(up, [0, False])
+                held[0] += size
+                held[1] = held[1] or prose
+                break
+    gone = {form for form, (size, prose) in forms.items() if not prose or size < FEW or 2 * size < total}
+    return [b for b in found if not any(up in gone for up in _above(b[0]))] if gone else found
+
+
 def extract(page: str | None) -> str:
     """The article of a page: its blocks joined by line breaks."""
     every = blocks(page or "")
-    found = [b for b in every if not b[0].skip]
+    found = outside_forms([b for b in every if not b[0].skip])
     left = sum(len(text) for _, text, _ in found)
     if left < FEW:
         hidden = [b for b in every if b[0].skip == 1]
         if sum(len(text) - linked for _, text, linked in hidden) > TIMES * max(1, left):
-            found = [b for b in every if b[0].skip < 2]
+            found = outside_forms([b for b in every if b[0].skip < 2])
     if not found:
         return ""
     ratio = path_ratios(found)
