@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import math
 import re
 
@@ -92,3 +93,22 @@ def test_empty_tables(spark):
     assert mixing.mixed(spark.createDataFrame([], KINDS)).count() == 0
     blank = mixing.mix(spark.createDataFrame([("t", 1, None, "a", "z"), ("t", 2, "", None, "z")], KINDS)).collect()
     assert [(r.size, r.target, r.taken) for r in blank] == [(0, 0.0, 0)] * 2
+
+
+def test_steps_that_do_not_suffice_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_STEPS", 0)
+    docs = spark.createDataFrame([(i, s, "w " * (i + 1)) for i in range(20) for s in ("a", "b")], "doc_id long, source string, text string")
+    with pytest.raises(ArithmeticError, match="not balanced"):
+        mixing.mix(docs)
+
+
+def test_mixed_leaves_only_what_it_reads(spark, tmp_path):
+    path = f"{spark.conf.get('spark.checkpoint.dir')}"
+    rows = [(i // 2, s, "w " * (i % 7 + 1)) for i in range(60) for s in ("a", "b", None)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3).write.parquet(str(tmp_path / "docs"))
+    before = set(os.listdir(path))
+    out = mixing.mixed(spark.read.parquet(str(tmp_path / "docs")))
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(path)) - before}
+    assert left == {"mix-takes"}  # a plain scan is not written again, and the solution's tables are gone
+    copies = mixing.mix(spark.read.parquet(str(tmp_path / "docs"))).agg({"copies": "sum"}).first()[0]
+    assert out.count() == copies and set(out.columns) == {"doc_id", "source", "text"}
