@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -34,6 +37,75 @@ def test_index_is_exact():
         assert ids.tolist() == order.tolist() and np.allclose(sims, full[order])
 
 
+def test_index_with_rare_terms_is_exact():
+    """Terms of very different frequency, and texts in groups, so that most blocks are never visited."""
+    rng = np.random.default_rng(5)
+    n_terms, vectors = 4000, []
+    for i in range(1500):
+        own = (i // 30) * 40 + rng.choice(40, 12, replace=False) + 100
+        t = np.unique(np.concatenate([rng.choice(100, 20, replace=False), own, rng.choice(n_terms, 5)]))
+        w = rng.random(len(t)) * np.where(t < 100, 0.1, 1.0) + 0.01
+        vectors.append((t, w / np.sqrt((w * w).sum())))
+    dense = np.zeros((1500, n_terms))
+    for i, (t, w) in enumerate(vectors):
+        dense[i, t] = w
+    for common in (1, 32, 10**9):  # no matrix but for terms of all, some of each, matrix only
+        index = X.BlockMaxIndex(vectors, n_terms, common)
+        for i, (ids, sims) in zip(range(0, 1500, 17), index.nearest_of(vectors[::17], 16), strict=True):
+            full = np.round(dense @ dense[i], 12)
+            order = np.lexsort((np.arange(1500), -full))[:16]
+            assert np.allclose(sims, full[order], atol=1e-11)
+            assert set(ids[sims > sims[-1] + 1e-9].tolist()) == set(order[full[order] > full[order[-1]] + 1e-9].tolist())
+
+
+def plain_scores(docs, labels):
+    """The same scores by dictionaries: every example's cosine, no index."""
+    toxic = {}
+    for r in labels:
+        if r.doc_id is not None and r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            toxic[r.doc_id] = max(toxic.get(r.doc_id, 0), r.toxic)
+    words = lambda text: Counter(re.findall(r"\w+", (text or "").lower()))
+    texts = {}
+    for r in docs:
+        if r.doc_id in toxic and r.text is not None:
+            texts[r.doc_id] = min(texts.get(r.doc_id, r.text), r.text)
+    held = {i: words(t) for i, t in texts.items()}
+    pos, neg = (sum(toxic[i] == y for i in held) for y in (1, 0))
+    df = Counter(w for r in docs for w in words(r.text))
+    known = {w for c in held.values() for w in c}
+    a, b = (Counter(w for i, c in held.items() if toxic[i] == y for w in c) for y in (1, 0))
+    weigh = {w: X.apart(a[w], b[w], pos, neg) * (math.log((1 + len(docs)) / (1 + df[w])) + 1) for w in known}
+
+    def vector(counts):
+        v = {w: (1 + math.log(n)) * weigh[w] for w, n in counts.items() if weigh.get(w, 0) > 0}
+        length = math.sqrt(math.fsum(x * x for x in v.values()))
+        return {w: x / length for w, x in v.items()}
+
+    vectors = {i: vector(c) for i, c in held.items()}
+    share = sum(toxic.values()) / len(toxic)
+    per = {y: sum(v == y for v in toxic.values()) / n for y, n in ((1, pos), (0, neg))}
+    out = {}
+    for r in docs:
+        q = vector(words(r.text))
+        near = sorted(((round(math.fsum(x * v.get(w, 0.0) for w, x in q.items()), 12), i) for i, v in vectors.items()), key=lambda p: -p[0])
+        near = [p for p in near if p[0] > 0]
+        out[r.doc_id] = None
+        if near and (len(near) <= X.NEAREST or near[X.NEAREST - 1][0] - near[X.NEAREST][0] > 1e-9):  # no tie at the border
+            votes = [((s / near[0][0]) ** X.SHARPNESS * per[toxic[i]], toxic[i]) for s, i in near[: X.NEAREST]]
+            out[r.doc_id] = (sum(v for v, y in votes if y) + X.PRIOR * share) / (sum(v for v, _ in votes) + X.PRIOR)
+    return out
+
+
+@pytest.mark.parametrize("part", ["sf0.001"])
+def test_scores_are_those_of_plain_nearest_neighbours(spark, part):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{part}/{t}.parquet") for t in ("documents", "labels"))
+    want = plain_scores(docs.select("doc_id", "text").collect(), labels.collect())
+    got = {r.doc_id: r.score for r in X.score_documents(docs, X.fit(docs, labels)).collect()}
+    compared = [(got[i], s) for i, s in want.items() if s is not None]
+    assert len(got) == len(want) and len(compared) >= 0.5 * len(want)
+    assert all(abs(x - y) < 1e-6 for x, y in compared)
+
+
 def made_up(spark, n=900):
     rng = np.random.default_rng(8)
     bad = ["idiot", "moron", "trash"]
@@ -89,3 +161,13 @@ def test_held_out_rows_of_the_tables(spark, part):
     scored = X.score_documents(docs, X.fit(docs, labels)).filter("held_out")
     rows = scored.join(labels.filter("toxic is not null"), "doc_id").select("predicted", "toxic").collect()
     assert rows and sum(r.predicted == r.toxic for r in rows) >= 0.9 * len(rows)
+
+
+def test_held_out_toxic_rows_are_found(spark):
+    """Accuracy alone would pass with every toxic row missed."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    scored = X.score_documents(docs, X.fit(docs, labels)).filter("held_out")
+    rows = scored.join(labels.filter("toxic is not null"), "doc_id").select("predicted", "toxic").collect()
+    found = sum(r.predicted for r in rows if r.toxic)
+    marked = sum(r.predicted for r in rows if not r.toxic)
+    assert found >= 0.85 * sum(r.toxic for r in rows) and marked <= 0.01 * len(rows)
