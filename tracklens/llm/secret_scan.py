@@ -4,12 +4,11 @@ Base spans: assignments of secrets, access identifiers and long hex strings.
 A credential is often spread over parts that alone prove little: an account
 or client identifier, a random-looking string, a service address. Such weak
 parts are reported only where they complement each other. The scope of an
-identifier is the innermost block in braces around it, the run of setting
-lines (``name: value``) it is in, and, in running text, its paragraph (no
-blank line inside) within ``REACH`` characters, those of secrets not counted.
-Blocks and runs are taken whole. An interval join over the sorted positions
-of the text brings each identifier together with the secrets and endpoints
-in its scope:
+identifier is its paragraph (no blank line inside), the innermost block in
+braces around it and the run of setting lines (``name: value``) it is in; all
+are taken whole, whatever their length. An interval join over the sorted
+positions of the text brings each identifier together with the secrets and
+endpoints in its scope:
 
 * ``key``: a random-looking string near an access identifier, or near an
   account identifier with an endpoint in the same scope;
@@ -58,7 +57,6 @@ BRACE = re.compile(r"[{}]")
 #: consecutive lines of settings, lines of one word (parts of a long value) among them
 SETTINGS = re.compile(r"(?:^[ \t]*+(?:(?:[-*][ \t]+|export[ \t]+)?[\"']?[\w.-]++[\"']?[ \t]*+[:=][^\n]*+|[^\s]++[ \t\r]*+)(?:\n|\Z))++", re.M)
 MIN_BITS = 3.0  # entropy per character of a random-looking string
-REACH = 400
 MASK = "[secret]"
 SLICE = 512
 
@@ -138,25 +136,7 @@ def linked_parts(text: str, base: list[Span]) -> list[Span]:
     secrets = [s for s in base if s[0] != "access"]
     breaks = [0, *(m.end() for m in BLANK.finditer(text)), len(text) + 1]
 
-    hidden = [(0, 0)]  # secrets, merged, and how many of their characters lie before
-    for a, b in sorted([*taken, *(s[1:] for s in randoms)]):
-        a = max(a, hidden[-1][1])
-        if b > a:
-            hidden.append((a, b))
-    before = [0]
-    for a, b in hidden:
-        before.append(before[-1] + b - a)
-    hidden_at = [a for a, _ in hidden]
-
-    def plain(at: int) -> int:
-        """Position without the characters of secrets before it."""
-        i = bisect_right(hidden_at, at) - 1
-        return at - before[i] - min(at - hidden[i][0], hidden[i][1] - hidden[i][0])
-
-    columns = {
-        k: (v, [s[1] for s in v], [plain(s[1]) for s in v])
-        for k, v in (("key", randoms), ("secret", secrets), ("endpoint", endpoints))
-    }
+    columns = {k: (v, [s[1] for s in v]) for k, v in (("key", randoms), ("secret", secrets), ("endpoint", endpoints))}
     identifiers = sorted(strong + weak, key=lambda s: s[1])
     nested = innermost(blocks_of(text, breaks), [s[1] for s in identifiers])
     settings = [m.span() for m in SETTINGS.finditer(text)]
@@ -164,11 +144,9 @@ def linked_parts(text: str, base: list[Span]) -> list[Span]:
 
     def scope(kind: str, span: Span, para: tuple[int, int]) -> list[tuple[int, int]]:
         """Slices of the parts of a kind, by number."""
-        _, starts, plains = columns[kind]
-        lo, hi = (bisect_left(starts, x) for x in para)
-        near = bisect_left(plains, plain(span[1]) - REACH), bisect_left(plains, plain(span[2]) + REACH)
-        whole = [b for b in (nested.get(span[1]), runs.get(span[1])) if b]
-        return [(max(lo, near[0]), min(hi, near[1])), *((bisect_left(starts, a), bisect_left(starts, b)) for a, b in whole)]
+        starts = columns[kind][1]
+        areas = [b for b in (para, nested.get(span[1]), runs.get(span[1])) if b]
+        return [(bisect_left(starts, a), bisect_left(starts, b)) for a, b in areas]
 
     out: set[Span] = set()
     marked: dict[str, set[tuple[int, int]]] = {"key": set(), "endpoint": set()}  # slices, so that many identifiers may share them
