@@ -306,7 +306,10 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.reader = model, Reader(model.terms)
 
-    def __call__(self, texts: list[str | None]) -> list[tuple[float, str]]:
+    def __call__(self, text: str | None) -> tuple[float, str]:
+        return self.each([text])[0]
+
+    def each(self, texts: list[str | None]) -> list[tuple[float, str]]:
         return self.model.scores([self.reader.counts(t) for t in texts])
 
 
@@ -321,7 +324,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                got = scorer(part.column(2).to_pylist())
+                got = scorer.each(part.column(2).to_pylist())
                 score = np.array([s for s, _ in got], dtype=float)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array([e for _, e in got], pa.string())],
@@ -341,7 +344,7 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                keep = [s < 0.5 for s, _ in scorer(part.column(text_at).to_pylist())]
+                keep = [s < 0.5 for s, _ in scorer.each(part.column(text_at).to_pylist())]
                 yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
