@@ -30,6 +30,7 @@ TEXTS = {
     "All rights reserved.": "",
     "No licence here, only permission to speak.": "",
     "": "",
+    "| licensed under the | MIT | License |": "MIT",
 }
 
 

@@ -160,7 +160,7 @@ def sentence_ids(text: Column) -> Column:
     """Identifiers of the licence sentences of ``text``, in order."""
     tagged = F.regexp_replace(F.coalesce(text, F.lit("")), TAG, "$1 ")
     cut = F.regexp_replace(tagged, r"([.;:!?])[ \t\r\n]+|\n[ \t\r]*\n", "$1\n\n")
-    words = F.regexp_replace(F.translate(cut, UPPER, LOWER), r"\n\n", "|")
+    words = F.regexp_replace(F.translate(cut, UPPER + "|", LOWER + " "), r"\n\n", "|")  # "|" in a text cuts nothing
     plain = F.split(F.regexp_replace(words, r"[^a-z0-9|]+", " "), r"\|")
     cued = F.filter(plain, lambda s: s.rlike(CUE))
     return F.filter(F.transform(cued, lambda s: sentence_id(F.trim(s))), lambda i: i.isNotNull())
@@ -198,7 +198,7 @@ def oracle() -> str:
 WITH cut AS (
   SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '{TAG}', '\1 ', 'g'), '([.;:!?])[ \t\r\n]+|\n[ \t\r]*\n', '\1' || chr(10) || chr(10), 'g') AS t FROM documents
 ), plain AS (
-  SELECT doc_id, string_split(regexp_replace(replace(translate(t, '{UPPER}', '{LOWER}'), chr(10) || chr(10), '|'), '[^a-z0-9|]+', ' ', 'g'), '|') AS ss
+  SELECT doc_id, string_split(regexp_replace(replace(translate(t, '{UPPER}|', '{LOWER} '), chr(10) || chr(10), '|'), '[^a-z0-9|]+', ' ', 'g'), '|') AS ss
   FROM cut
 ), known AS (
   SELECT doc_id, list_filter(list_transform(list_filter(ss, lambda s: regexp_matches(s, '{CUE}')), lambda r: list_transform([trim(r)], lambda s: CASE {case} END)[1]),
