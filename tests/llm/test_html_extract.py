@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import html
+import math
 import re
+import statistics
 
+import numpy as np
 import pyarrow.parquet as pq
+import pytest
 
-from tracklens.llm.html_extract import extract, extract_main_text
+from tracklens.llm import html_extract
+from tracklens.llm.html_extract import NEAR, REACH, SHARE, SIGMA, blocks, content_blocks, extract, extract_main_text
 
 PARA = "A sentence with some words, a comma and more. Then another one; and a third."
 PAGE = f"""<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{{}}</style><script>var x="<p>no</p>";</script></head>
@@ -82,9 +87,9 @@ def test_odd_rows(spark):
     kinds = "text string, html string, n_chars string, page_id long, url string"
     rows = [("x", PAGE, "n", 1, "u"), ("x", PAGE, "n", 1, "u"), (None, None, None, None, None), ("y", "", "n", 2, None)]
     got = extract_main_text(spark.createDataFrame(rows, kinds)).collect()
-    assert sorted((r.page_id is None, r.page_id, r.n_chars) for r in got) == sorted(
-        [(False, 1, len(extract(PAGE)))] * 2 + [(True, None, 0), (False, 2, 0)], key=repr
-    ) or len(got) == 4
+    n = len(extract(PAGE))
+    want = [(1, "u", n), (1, "u", n), (2, None, 0), (None, None, 0)]
+    assert sorted(((r.page_id, r.url, r.n_chars) for r in got), key=repr) == sorted(want, key=repr)
     empty = extract_main_text(spark.createDataFrame([], kinds))
     assert empty.columns[:4] == ["page_id", "url", "text", "n_chars"] and empty.count() == 0
 
@@ -100,3 +105,101 @@ def test_a_form_around_the_page_is_no_form_of_the_article():
     form = "<form action=/reply><p>Your name</p><label>Mail</label><textarea>typed</textarea><p>Your reply, if you want to give one.</p></form>"
     assert extract(f"<body><article>{article}{form}</article></body>") == want
     assert extract("<body><form><p>User</p><label>Password</label></form></body>") == ""
+
+
+def unmarked(page: str) -> str:
+    """The page without anything that tells its parts apart but their paths."""
+    page = re.sub(r' (class|id|role)="[^"]*"', "", page)
+    return re.sub(r"<(/?)(?:article|main|section|header|aside|nav|footer)>", r"<\1div>", page)
+
+
+SITE = f"""<body><div class="top"><span>Our site</span></div><nav><ul><li><a href=a>Home</a></li><li><a href=b>About us</a></li></ul></nav>
+<div class="ad">Buy this now, please.</div><article><h1>A title of its own</h1>{"".join(f"<p>{PARA} {i}. {PARA}</p>" for i in range(6))}
+<p>Short, too.</p></article><div class="ad">Sold.</div><footer>Copyright of us all</footer></body>"""
+
+
+def test_ratios_select_where_nothing_is_marked(monkeypatch):
+    want = extract(SITE)
+    assert want.split("\n")[0] == "A title of its own" and want.split("\n")[-1] == "Short, too." and want.count("\n") == 7
+    assert extract(unmarked(SITE)) == want
+    monkeypatch.setattr(html_extract, "path_ratios", lambda found: np.ones(len(found)))
+    assert extract(unmarked(SITE)) != want
+
+
+def test_unmarked_test_pages():
+    pages = [r["html"] for r in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist() if r["html"]]
+    same = sum(extract(unmarked(p)) == extract(p) for p in pages)
+    assert same >= 0.75 * len(pages)
+
+
+def plain_content(found) -> list[bool]:
+    """The method block by block, without arrays."""
+    chains = []
+    for node, _, _ in found:
+        chain = []
+        while node:
+            chain.insert(0, node.path)
+            node = node.parent
+        chains.append(list(dict.fromkeys(chain)))
+
+    def apart(a, b):
+        same = 0
+        while same < min(len(a), len(b)) and a[same] == b[same]:
+            same += 1
+        return len(a) + len(b) - 2 * same
+
+    def mean_of(path, value):
+        return statistics.fmean(value(b) for b, c in zip(found, chains, strict=True) if c == path)
+
+    def smooth(x):
+        out = []
+        for i in range(len(x)):
+            near = [j for j in range(len(x)) if abs(i - j) <= REACH]
+            w = [math.exp(-0.5 * ((i - j) / SIGMA) ** 2) * NEAR ** apart(chains[i], chains[j]) for j in near]
+            out.append(sum(a * x[j] for a, j in zip(w, near, strict=True)) / sum(w))
+        return out
+
+    chars = [mean_of(c, lambda b: max(0, len(b[1]) - b[2])) for c in chains]
+    marks = [mean_of(c, lambda b: len(html_extract.PUNCTUATION.findall(b[1]))) for c in chains]
+    fused = [1.0] * len(found)
+    for x in (smooth(chars), smooth([a * b for a, b in zip(chars, marks, strict=True)])):
+        mean = statistics.fmean(x)
+        if mean > 0:
+            fused = [f * math.sqrt(v / mean) for f, v in zip(fused, x, strict=True)]
+    paths: dict[tuple, list[float]] = {}
+    for c, v in zip(chains, fused, strict=True):
+        paths.setdefault(tuple(c), []).append(v)
+    value = {c: statistics.fmean(v) for c, v in paths.items()}
+    limit = SHARE * statistics.pstdev(value.values())
+    return [value[tuple(c)] >= limit for c in chains]
+
+
+@pytest.mark.parametrize("page", [SITE, PAGE, unmarked(SITE), unmarked(PAGE), "<p>one</p>", "<ul><li><a>x</a><li><a>y</a></ul>"])
+def test_against_the_plain_method(page):
+    found = blocks(page)
+    assert content_blocks(found).tolist() == plain_content(found)
+
+
+def test_names_that_only_begin_like_a_mark():
+    for name in "follow-up related-work search-results share-price popular-science notice-board promo-code".split():
+        page = f'<body><div class="{name}"><p>{PARA}</p><p>{PARA} Again.</p></div><footer>x</footer></body>'
+        assert extract(page) == f"{PARA}\n{PARA} Again.", name
+    for name in "comment-list post-comments share-buttons related-posts cookie-banner ad-300x250 commentBody searchBox".split():
+        page = f'<body><div id=post><p>{PARA}</p></div><div class="{name}"><p>{PARA} Not this.</p></div></body>'
+        assert extract(page) == PARA, name
+
+
+def test_reference_lists_and_linked_pages():
+    items = "".join(f'<li><a href="x">Source number {i}</a></li>' for i in range(8))
+    assert extract(f"<article><p>{PARA}</p><p>{PARA}</p><ul>{items}</ul></article>").count("Source number") == 8
+    assert "Source" not in extract(f"<body><ul>{items}</ul><div><p>{PARA}</p><p>{PARA}</p></div></body>")
+    linked = "".join(f'<p><a href="x">{PARA} {i}.</a></p>' for i in range(5))
+    assert extract(f"<article>{linked}</article>").count("\n") == 4
+
+
+def test_sections_named_by_place():
+    page = f'<body><div class="banner"><div class="x"><article><h1>Head</h1><p>{PARA}</p></article></div></div></body>'
+    assert extract(page) == f"Head\n{PARA}"
+    side = f'<body><div class="x"><p>{PARA}</p><p>{PARA} More.</p></div><div class="sidebar"><p>{PARA} Side.</p></div></body>'
+    assert extract(side) == f"{PARA}\n{PARA} More."
+    assert extract(f'<article><p>Short, real.</p></article><div class="sidebar">{"".join(f"<p>{PARA}</p>" for _ in range(30))}</div>') == "Short, real."

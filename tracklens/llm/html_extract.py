@@ -4,14 +4,17 @@ A page becomes its text blocks in order, each with the path of tags (and
 first class) from the root. Per path, over the whole page, two ratios are
 formed: characters per block, and the same weighted with the punctuation
 per block. Both are smoothed over the sequence of blocks with a Gaussian
-window, scaled to the page's mean and fused by their product; blocks whose
-fused value exceeds a share of its standard deviation are content. The
-article is the innermost section that holds nearly all content characters;
-its blocks are returned, headings and short lines included, and so are
-content blocks elsewhere with the headings just before them. What goes are
-subtrees that are no article text by their tag, role or class (menus,
-forms, adverts, notices, comments, ...), and blocks in lists of links that
-are no content by their ratio.
+window in which a neighbour counts the less the farther its path is away,
+scaled to the page's mean, fused by their product and averaged per path;
+paths whose value reaches a share of the standard deviation are content.
+The article is the innermost section that holds nearly all content
+characters; its blocks are returned, headings and short lines included, and
+so are content blocks elsewhere with the headings just before them. What
+goes first are subtrees that are no article text by their tag, role or a
+class that names just that (menus, forms, adverts, notices, comments, ...);
+sections named by their place only (sidebar, banner, ...) come back if
+nothing outside them is content. Lists of links that are no content by
+their ratio go, unless they lie in an ``article`` element.
 
 Defined results: NULL, empty and text-free pages give an empty string; tags
 left open are closed by the rules for their kind; repeated rows give
@@ -82,14 +85,23 @@ SKIP_WORDS = frozenset(
 #: words that also name what surrounds an article; they count less where hardly anything else is left
 LAYOUT_WORDS = frozenset("nav navbar navigation menu sidebar aside widget widgets header masthead topbar footer foot banner toc skip hidden".split())
 SPARE_TAGS = frozenset("html body main".split())
+#: "has-sidebar", "no-ads", "with-comments" say what is around, not what this is
+AROUND = frozenset("has no with without".split())
+#: what may follow one of the words above ("comment-list"); other words make a name of their own ("follow-up", "share-price")
+HOLDERS = frozenset(
+    """area articles author bar block body bottom box button buttons card carousel center column container content
+    desktop form frame grid group heading holder icons inner item items label large left line link links list meta
+    mobile module now outer panel placeholder post posts right row section slot small space stories strip text this
+    thread title top unit us wrap wrapper x you zone""".split()
+)
 
-SIGMA = 1.0  # blocks: width of the smoothing window
-GAUSS = np.exp(-0.5 * (np.arange(-3, 4) / SIGMA) ** 2)
-SHARE = 0.5  # of the standard deviation: threshold of the fused ratios
+SIGMA = 0.6  # blocks: width of the smoothing window
+REACH = 3  # blocks on either side
+NEAR = 0.5  # weight of a neighbour per step between the paths
+SHARE = 1.0  # of the paths' standard deviation: threshold of the fused ratios
 MOST = 0.9  # of the content characters: what the article must hold
 LINKED = 0.6  # share of a list's characters in links that makes it a menu
 ARTICLE_WORDS = frozenset("comment comments reply ad promo teaser related".split())
-FEW, TIMES = 200, 10  # layout words don't count where they leave FEW characters and hide TIMES as many
 DEEPEST = 512  # elements below this depth are laid side by side
 SLICE = 128
 
@@ -121,14 +133,19 @@ def _skipped(tag: str, attrs: str, parent: Node) -> tuple[int, str]:
         return 2 * (tag != "header" or not inside), cls
     if name and tag not in SPARE_TAGS:
         words = [[w.lower() for w in WORD.findall(part)] for part in name.split()]
-        first, last = ({x[i] for x in words if x} for i in (0, -1))
-        marked = (first | last) & SKIP_WORDS
+        marked: set[str] = set()
+        for x in words:
+            if not x or not AROUND.isdisjoint(x):
+                continue
+            if x[-1] in SKIP_WORDS:
+                marked.add(x[-1])
+            elif x[0] in SKIP_WORDS and all(w in HOLDERS or w in SKIP_WORDS or w.isdigit() for w in x[1:]):
+                marked.add(x[0])
         if inside:
             marked -= {"header"}
         if tag == "article":
             marked &= ARTICLE_WORDS
-        # "has-sidebar", "no-ads", "with-comments" say what is around, not what this is
-        if marked and not first & {"has", "no", "with", "without"}:
+        if marked:
             return 1 + bool(marked - LAYOUT_WORDS), cls
     return 0, cls
 
@@ -230,24 +247,58 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
     return out
 
 
-def _smooth(x: np.ndarray) -> np.ndarray:
-    if len(x) < len(GAUSS):
-        return x
-    return np.convolve(x, GAUSS, "same") / np.convolve(np.ones(len(x)), GAUSS, "same")
+def _smooth(x: np.ndarray, weights: list[np.ndarray]) -> np.ndarray:
+    """``x`` averaged with its neighbours; ``weights[k - 1][i]`` is that of the blocks i and i + k for each other."""
+    total, norm = x.copy(), np.ones(len(x))
+    for k, w in enumerate(weights, 1):
+        total[:-k] += w * x[k:]
+        total[k:] += w * x[:-k]
+        norm[:-k] += w
+        norm[k:] += w
+    return total / norm
+
+
+def _weights(nodes: list[Node], at: np.ndarray) -> list[np.ndarray]:
+    """Weights of neighbouring blocks, by their distance on the page and the steps between their paths."""
+    chains: dict[int, list[int]] = {}
+    for k, node in zip(at.tolist(), nodes, strict=True):
+        if k not in chains:
+            chains[k] = list(dict.fromkeys(up.path for up in _above(node)))[::-1]
+    steps: dict[tuple[int, int], int] = {}
+    out = []
+    for k in range(1, min(REACH, len(at) - 1) + 1):
+        apart = []
+        for pair in zip(at[:-k].tolist(), at[k:].tolist(), strict=True):
+            if pair not in steps:
+                a, b = chains[pair[0]], chains[pair[1]]
+                same = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+                steps[pair] = len(a) + len(b) - 2 * same
+            apart.append(steps[pair])
+        out.append(np.exp(-0.5 * (k / SIGMA) ** 2) * NEAR ** np.array(apart, dtype=float))
+    return out
 
 
 def path_ratios(found: list[tuple[Node, str, int]]) -> np.ndarray:
-    """The fused, smoothed ratio of each block's path."""
-    at = np.unique([n.path for n, _, _ in found], return_inverse=True)[1]
+    """The smoothed, fused ratio of each block's path."""
+    nodes = [n for n, _, _ in found]
+    at = np.unique([n.path for n in nodes], return_inverse=True)[1]
     count = np.bincount(at)
     chars = np.bincount(at, [max(0, len(text) - linked) for _, text, linked in found]) / count
     marks = np.bincount(at, [len(PUNCTUATION.findall(text)) for _, text, _ in found]) / count
+    weights = _weights(nodes, at)
     fused = np.ones(len(found))
-    for x in (_smooth(chars[at]), _smooth((chars * marks)[at])):
+    for x in (_smooth(chars[at], weights), _smooth((chars * marks)[at], weights)):
         mean = x.mean()
         if mean > 0:
             fused *= np.sqrt(x / mean)
-    return fused
+    return (np.bincount(at, fused) / count)[at]
+
+
+def content_blocks(found: list[tuple[Node, str, int]]) -> np.ndarray:
+    """Whether each block's path is content."""
+    ratio = path_ratios(found)
+    first = np.unique([n.path for n, _, _ in found], return_index=True)[1]  # every path counts once
+    return ratio >= SHARE * ratio[first].std()
 
 
 def _above(node: Node | None) -> Iterator[Node]:
@@ -257,36 +308,35 @@ def _above(node: Node | None) -> Iterator[Node]:
 
 
 def outside_forms(found: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
-    """The blocks without those of forms; a form around half of the text or more, paragraphs among it, only wraps the page."""
+    """The blocks without those of forms; a form around half of the text or more, sentences in paragraphs among it, only wraps the page."""
     forms: dict[Node, list] = {}
     total = 0
     for node, text, linked in found:
         size, prose = max(0, len(text) - linked), False
         total += size
         for up in _above(node):
-            prose = prose or up.tag in ("p", "article", "main")
+            prose = prose or (up.tag in ("p", "article", "main") and bool(PUNCTUATION.search(text)))
             if up.tag == "form":
                 held = forms.setdefault(up, [0, False])
                 held[0] += size
                 held[1] = held[1] or prose
                 break
-    gone = {form for form, (size, prose) in forms.items() if not prose or size < FEW or 2 * size < total}
+    gone = {form for form, (size, prose) in forms.items() if not prose or 2 * size < total}
     return [b for b in found if not any(up in gone for up in _above(b[0]))] if gone else found
 
 
 def extract(page: str | None) -> str:
     """The article of a page: its blocks joined by line breaks."""
-    every = blocks(page or "")
-    found = outside_forms([b for b in every if not b[0].skip])
-    left = sum(len(text) for _, text, _ in found)
-    if left < FEW:
-        hidden = [b for b in every if b[0].skip == 1]
-        if sum(len(text) - linked for _, text, linked in hidden) > TIMES * max(1, left):
-            found = outside_forms([b for b in every if b[0].skip < 2])
+    every = outside_forms([b for b in blocks(page or "") if b[0].skip < 2])
+    found = [b for b in every if not b[0].skip]
+    if len(found) < len(every):
+        content = content_blocks(every)
+        if not any(good and not b[0].skip for b, good in zip(every, content.tolist(), strict=True)):
+            if not any(up.tag in ("article", "main") for b in found for up in _above(b[0])):
+                found = every
     if not found:
         return ""
-    ratio = path_ratios(found)
-    content = ratio >= SHARE * ratio.std()
+    content = content_blocks(found)
     total = 0
     for (node, text, linked), good in zip(found, content.tolist(), strict=True):
         size = max(0, len(text) - linked) if good else 0
@@ -314,8 +364,8 @@ def extract(page: str | None) -> str:
     heads: list[str] = []  # headings just before, outside the article
     for (node, text, linked), good in zip(found, content.tolist(), strict=True):
         ups = list(_above(node))
-        menu = any(u.links > LINKED * u.total for u in ups if u.links and u.tag in LISTS and u is not article)
-        menu = not good and (menu or (linked > LINKED * len(text) and node.tag in SECTIONS))
+        menu = not any(u.tag == "article" for u in ups) and any(u.links > LINKED * u.total for u in ups if u.links and u.tag in LISTS and u is not article)
+        menu = not good and (menu or (linked > LINKED * len(text) and node.tag in SECTIONS - {"article"}))
         if article is not None and article not in ups and (not good or linked >= len(text)):
             if node.tag == "h1" and not keep and article.parent in ups:
                 title = text  # a title just before the article's section
