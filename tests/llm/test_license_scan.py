@@ -31,6 +31,16 @@ TEXTS = {
     "No licence here, only permission to speak.": "",
     "": "",
     "| licensed under the | MIT | License |": "MIT",
+    "// SPDX-License-Identifier: GPL-2.0-or-later\n#include <x.h>": "GPL-2.0-or-later",
+    "// SPDX-License-Identifier: GPL-2.0+\nint x = 2+2;": "GPL-2.0-or-later",
+    "# SPDX-License-Identifier: MIT OR Apache-2.0": "Apache-2.0,MIT",
+    "/* SPDX-License-Identifier: (LGPL-2.1-or-later AND ( ISC OR AGPL-3.0-only )) */ code": "AGPL-3.0-only,ISC,LGPL-2.1-or-later",
+    "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 AND BSD-3-Clause": "BSD-3-Clause,GPL-2.0-only WITH Classpath-exception-2.0",
+    "Text before. SPDX-License-Identifier: ISC and words after it": "ISC",
+    "SPDX-License-Identifier: LicenseRef-ours OR MIT": "MIT",
+    "SPDX-License-Identifier: <none>": "",
+    "This is not under the MIT License.": "",
+    "It is not licensed under the GNU General Public License version 2.": "",
 }
 
 

@@ -2,13 +2,15 @@
 
 A text is cut into sentences (after ``. ; : ! ?`` and at blank lines), which
 are normalised to lower-case ASCII words. Known licence sentences map to
-identifiers. The identifiers of a text, in order, are matched against licence
+identifiers; the expression of an SPDX tag is a sentence that gives one for
+each of its licences and exceptions. The identifiers of a text, in order, are matched against licence
 rules, sequences of identifiers, the more specific rules first; what a rule
 has taken is not matched again. Everything happens within the row: no shuffle.
 
 Defined results: NULL, empty and unlicensed texts have no identifiers; known
-sentences that no rule takes are reported as unresolved; repeated rows give
-repeated results.
+sentences that no rule takes (a denial among them) are reported as
+unresolved; names in tags that are not in the table are passed over;
+repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -19,8 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: a tag whose colon ends no sentence
-TAG = r"(SPDX-License-Identifier):"
+#: a licence name in an expression, with the brackets around it
+NAME = r"(?:\([ \t]*)*[A-Za-z0-9][A-Za-z0-9.+-]*(?:[ \t]*\))*"
+#: a tag with its expression; operators are written in capitals
+TAG = rf"SPDX-License-Identifier:[ \t]*({NAME}(?:[ \t]+(?:AND|OR|WITH)[ \t]+{NAME})*)"
+TAGGED = "spdx license identifier "
+#: "2.0+" is "2.0-or-later"
+PLUS = r"([0-9])\+([ \t\r\n)]|$)"
 #: a sentence without one of these words is no licence sentence
 CUE = (
     "licen|copyright|permission|redistribut|warrant|as is|public domain|unencumbered|endorse|liable|spdx|gnu |mozilla"
@@ -29,13 +36,7 @@ CUE = (
 
 # Patterns of normalised licence sentences and their identifiers; the first that matches counts.
 SENTENCES: list[tuple[str, str]] = [
-    ("spdx-apache2", "spdx license identifier apache 2 0"),
-    ("spdx-mit", "spdx license identifier mit"),
-    ("spdx-bsd3", "spdx license identifier bsd 3 clause"),
-    ("spdx-bsd2", "spdx license identifier bsd 2 clause"),
-    ("spdx-gpl3", "spdx license identifier gpl 3 0"),
-    ("spdx-gpl2", "spdx license identifier gpl 2 0"),
-    ("spdx-mpl2", "spdx license identifier mpl 2 0"),
+    ("denied", "(^| )not (licensed |released |distributed |available |covered |published )?(under|by) (the |an? )?([a-z0-9]+ ){0,6}licen[cs]e"),
     ("apache2-except", "you may not use this (file|work) except in compliance with the license"),
     ("apache2-copy", "you may obtain a copy of the license at"),
     ("apache2-law", "unless required by applicable law or agreed to in writing"),
@@ -97,6 +98,29 @@ SENTENCES: list[tuple[str, str]] = [
     ("rights", "all rights reserved"),
     ("copyright", "(^| )copyright( c)? (19|20)[0-9][0-9]|(^| )copyright c "),
 ]
+# Names of licences and exceptions in SPDX tags.
+SPDX = """0BSD AFL-3.0 AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause
+    BSD-4-Clause BSL-1.0 BUSL-1.1 CC-BY-3.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 CDDL-1.1 CPL-1.0
+    ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 GFDL-1.3-only GFDL-1.3-or-later GPL-1.0-only GPL-1.0-or-later GPL-2.0 GPL-2.0-only
+    GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.0 LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1 LGPL-2.1-only
+    LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL NCSA OFL-1.1 OpenSSL
+    PostgreSQL PSF-2.0 Unlicense UPL-1.0 WTFPL X11 Zlib ZPL-2.1""".split()
+EXCEPTIONS = {
+    "Classpath-exception-2.0": ["GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later"],
+    "Linux-syscall-note": ["GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-1.0-or-later", "LGPL-2.1-or-later"],
+    "GCC-exception-3.1": ["GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later"],
+    "LLVM-exception": ["Apache-2.0"],
+    "Font-exception-2.0": ["GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later"],
+}
+
+
+def tag_names() -> dict[str, str]:
+    """Identifiers of tags by the normalised name; "or later" is one word there, so that it can't be an operator."""
+    names = {n: f"spdx:{n}" for n in SPDX} | {n: f"with:{n}" for n in EXCEPTIONS}
+    later = {n.replace("-or-later", " orlater"): i for n, i in names.items()}
+    return {n.lower().replace(".", " ").replace("-", " "): i for n, i in later.items()}
+
+
 # GNU notices: licence, name, and the sentence or the two clauses (cut at a semicolon) that give the version.
 GNU: list[tuple[str, str, list[str]]] = [
     ("AGPL-3.0-or-later", "agpl", ["agpl3-later"]), ("AGPL-3.0-or-later", "agpl", ["agpl-ref", "ver3-later"]),
@@ -139,8 +163,7 @@ RULES: list[tuple[str, list[str]]] = [
     ("BSD-2-Clause", ["bsd-redist", "bsd-source", "bsd-binary"]),
     *gnu_rules(),
     ("MPL-2.0", ["mpl2-terms", "mpl2-copy"]),
-    ("Apache-2.0", ["spdx-apache2"]), ("MIT", ["spdx-mit"]), ("BSD-3-Clause", ["spdx-bsd3"]), ("BSD-2-Clause", ["spdx-bsd2"]),
-    ("GPL-3.0", ["spdx-gpl3"]), ("GPL-2.0", ["spdx-gpl2"]), ("MPL-2.0", ["spdx-mpl2"]),
+    *((f"{n} WITH {e}", [f"spdx:{n}", f"with:{e}"]) for e, names in EXCEPTIONS.items() for n in names),
     ("Apache-2.0", ["apache2-ref"]), ("Apache", ["apache-ref"]), ("MIT", ["mit-ref"]), ("ISC", ["isc-ref"]),
     ("BSD-3-Clause", ["bsd3-ref"]), ("BSD-2-Clause", ["bsd2-ref"]), ("BSD", ["bsd-ref"]), ("AGPL", ["agpl-ref"]), ("AGPL", ["agpl-see"]),
     ("LGPL", ["lgpl-ref"]), ("LGPL", ["lgpl-see"]), ("GPL", ["gpl-ref"]), ("GPL", ["gpl-see"]),
@@ -156,21 +179,32 @@ def sentence_id(sentence: Column) -> Column:
     return reduce(lambda c, s: c.when(sentence.rlike(s[1]), s[0]), rest, pick)
 
 
+def tag_ids(sentence: Column) -> Column:
+    """The identifiers of a tag's licences and exceptions, NULL for unknown names."""
+    terms = F.split(F.replace(sentence, F.lit(" or later"), F.lit(" orlater")), " (?:or|and|with) ")
+    names = F.create_map(*(F.lit(x) for pair in tag_names().items() for x in pair))
+    return F.transform(terms, lambda t: F.try_element_at(names, F.trim(t)))
+
+
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the licence sentences of ``text``, in order."""
-    tagged = F.regexp_replace(F.coalesce(text, F.lit("")), TAG, "$1 ")
+    plus = F.regexp_replace(F.coalesce(text, F.lit("")), PLUS, "$1-or-later$2")
+    tagged = F.regexp_replace(plus, TAG, f"\n\n{TAGGED}$1\n\n")
     cut = F.regexp_replace(tagged, r"([.;:!?])[ \t\r\n]+|\n[ \t\r]*\n", "$1\n\n")
     words = F.regexp_replace(F.translate(cut, UPPER + "|", LOWER + " "), r"\n\n", "|")  # "|" in a text cuts nothing
     plain = F.split(F.regexp_replace(words, r"[^a-z0-9|]+", " "), r"\|")
-    cued = F.filter(plain, lambda s: s.rlike(CUE))
-    return F.filter(F.transform(cued, lambda s: sentence_id(F.trim(s))), lambda i: i.isNotNull())
+    cued = F.transform(F.filter(plain, lambda s: s.rlike(CUE)), lambda s: F.trim(s))
+    tag = F.lit(TAGGED)
+    ids = F.transform(cued, lambda s: F.when(F.startswith(s, tag), tag_ids(F.substring(s, len(TAGGED) + 1, 1 << 30))).otherwise(F.array(sentence_id(s))))
+    return F.filter(F.flatten(ids), lambda i: i.isNotNull())
 
 
 def resolved(ids: Column) -> Column:
     """The identifiers in order, ``<...>`` each, with what rules took replaced by ``[licence]``."""
     start = F.concat_ws("", F.transform(ids, lambda i: F.concat(F.lit("<"), i, F.lit(">"))))
     steps = [("".join(f"<{i}>" for i in seq), f"[{name}]") for name, seq in RULES]
-    return reduce(lambda c, s: F.replace(c, F.lit(s[0]), F.lit(s[1])), steps, start)
+    taken = reduce(lambda c, s: F.replace(c, F.lit(s[0]), F.lit(s[1])), steps, start)
+    return F.regexp_replace(taken, "<spdx:([^>]+)>", "[$1]")  # the last rule: any other name of a tag is that licence
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -189,20 +223,27 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same in DuckDB, from the same tables of sentences and rules."""
+    """The same in DuckDB, from the same tables of sentences, names and rules."""
     case = " ".join(f"WHEN regexp_matches(s, '{p}') THEN '{i}'" for i, p in SENTENCES)
+    names = " ".join(f"WHEN '{n}' THEN '{i}'" for n, i in tag_names().items())
     marked = "array_to_string(list_transform(ids, lambda i: '<' || i || '>'), '')"
     for name, seq in RULES:
         marked = f"replace({marked}, '{''.join(f'<{i}>' for i in seq)}', '[{name}]')"
+    marked = f"regexp_replace({marked}, '<spdx:([^>]+)>', '[\\1]', 'g')"
     return rf"""
-WITH cut AS (
-  SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '{TAG}', '\1 ', 'g'), '([.;:!?])[ \t\r\n]+|\n[ \t\r]*\n', '\1' || chr(10) || chr(10), 'g') AS t FROM documents
+WITH tagged AS (
+  SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '{PLUS}', '\1-or-later\2', 'g'), '{TAG}',
+    chr(10) || chr(10) || '{TAGGED}\1' || chr(10) || chr(10), 'g') AS t FROM documents
+), cut AS (
+  SELECT doc_id, regexp_replace(t, '([.;:!?])[ \t\r\n]+|\n[ \t\r]*\n', '\1' || chr(10) || chr(10), 'g') AS t FROM tagged
 ), plain AS (
   SELECT doc_id, string_split(regexp_replace(replace(translate(t, '{UPPER}|', '{LOWER} '), chr(10) || chr(10), '|'), '[^a-z0-9|]+', ' ', 'g'), '|') AS ss
   FROM cut
 ), known AS (
-  SELECT doc_id, list_filter(list_transform(list_filter(ss, lambda s: regexp_matches(s, '{CUE}')), lambda r: list_transform([trim(r)], lambda s: CASE {case} END)[1]),
-    lambda i: i IS NOT NULL) AS ids
+  SELECT doc_id, list_filter(flatten(list_transform(list_transform(list_filter(ss, lambda s: regexp_matches(s, '{CUE}')), lambda r: trim(r)), lambda s:
+    CASE WHEN starts_with(s, '{TAGGED}') THEN list_transform(
+      regexp_split_to_array(replace(substr(s, {len(TAGGED) + 1}), ' or later', ' orlater'), ' (?:or|and|with) '), lambda n: CASE trim(n) {names} END)
+    ELSE [CASE {case} END] END)), lambda i: i IS NOT NULL) AS ids
   FROM plain
 ), marked AS (
   SELECT doc_id, ids, {marked} AS m FROM known
