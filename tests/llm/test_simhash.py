@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tracklens.llm import simhash as S
-from tracklens.llm.common import components
+from tracklens.llm.common import bitmaps, components, given_out, numbered, stage
 
 KINDS = "fingerprint string, text string, root long, doc_id long, fp string"
 
@@ -159,6 +159,53 @@ def test_one_row_per_group_stays(spark, rows):
         assert r.doc_id == (min(ids) if ids else None)
 
 
+def test_texts_cross_no_network(spark, tmp_path):
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(4)) for _ in range(6000)]
+    rows = [("f", t, 1, i, "x") for i, t in enumerate(texts)] + [("g", texts[0], 2, 6000, "y")]
+    spark.createDataFrame(rows, KINDS).repartition(2).write.parquet(str(tmp_path / "docs"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "40000")  # 6,000 row numbers are more, their bits less
+    try:
+        kept = S.keep_one_per_group(spark.read.parquet(str(tmp_path / "docs")))
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+        assert "BroadcastHashJoin" in plan
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(6000))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+@pytest.mark.parametrize("threshold", ["10485760", "-1"])
+def test_rows_given_out_by_bitmaps(spark, tmp_path, threshold):
+    n = 70_000  # three blocks of one file, and a second file
+    spark.range(n).coalesce(1).write.parquet(str(tmp_path / "t"))
+    spark.range(n, n + 100).coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
+    held = numbered(spark.read.parquet(str(tmp_path / "t")), "given-held")
+    copies = F.col("_row.id") * 7 % 5 % 4  # 0 to 3
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        marks = stage(bitmaps(held.select("_rid", copies.alias("copies"))), "given-marks")
+        assert marks.select("_file", "_block").distinct().count() == 4
+        got = given_out(held, marks).groupBy("id").count()
+        want = spark.range(n + 100).select("id", (F.col("id") * 7 % 5 % 4).alias("count")).filter("count > 0")
+        assert got.count() == want.count() and got.exceptAll(want).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_file_read_twice_and_a_text_table(spark, rows, tmp_path):
+    some = [r for r in rows if r[3] is not None]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(some, KINDS).repartition(2).write.parquet(path)
+    once = S.keep_one_per_group(spark.read.parquet(path))
+    assert once.exceptAll(S.keep_one_per_group(spark.read.parquet(path, path))).count() == 0
+    assert S.keep_one_per_group(spark.read.parquet(path, path)).count() == once.count() > 0
+    spark.createDataFrame(some, KINDS).write.json(str(tmp_path / "json"))
+    assert S.keep_one_per_group(spark.read.schema(KINDS).json(str(tmp_path / "json"))).count() == once.count()
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], KINDS)
     assert S.simhash_groups(none).count() == S.keep_one_per_group(none).count() == 0

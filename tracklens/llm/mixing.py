@@ -30,7 +30,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracklens.llm.common import in_order, numbered, running_before, scratch, stage, unstage
+from tracklens.llm.common import bitmaps, given_out, in_order, numbered, running_before, scratch, stage, unstage
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -240,11 +240,12 @@ def mixed(docs: DataFrame) -> DataFrame:
     The texts are read twice, to be counted and to be given out, and written
     nowhere between: rows meet their copies by their place in the files, which
     keeps rows apart that are equal in every column. Only those narrow rows
-    are staged, and removed once the copies are known.
+    are staged, and removed once the copies are known; the copies are bitmaps,
+    and while these can be broadcast the texts cross no network either.
     """
     held = numbered(docs, "mix-held")
     size = n_words(F.col("_row.text")).alias("size")
     with scratch() as keep:
         rows = stage(held.select(F.col("_row.doc_id").alias("doc_id"), F.col("_row.source").alias("source"), size, "_rid"), "mix-docs")
-        takes = keep(stage(mix_rows(rows).filter("copies > 0").select("_rid", "copies"), "mix-takes"))
-    return held.join(takes, "_rid").select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("_row.*")
+        takes = keep(stage(bitmaps(mix_rows(rows).select("_rid", "copies")), "mix-takes"))
+    return given_out(held, takes)

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tracklens.llm.common import components, packed, row_hashes, stage
+from tracklens.llm.common import bitmaps, components, given_out, numbered, row_hashes, scratch, stage
 
 WORDS = 3
 MAX_BITS = 2
@@ -279,24 +279,28 @@ def simhash_groups(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS
 def keep_one_per_group(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one row of each group: the one with the smallest doc_id (NULL last).
 
-    Rows are told apart by two hashes of all their columns. The text crosses
-    the network once, in the final semi join; rows that are equal in every
-    column are the only ones taken apart by a grouping, and only if there are any.
+    Among rows with that doc_id, two hashes of all columns decide. Rows are
+    known by their place in the files, so the texts are read twice, for their
+    fingerprints and to be given out, and cross no network as long as the
+    bitmaps of the kept rows can be broadcast. Rows of a file that is read
+    twice are the only ones taken apart by a grouping, and only if there are any.
     """
-    h1, h2 = row_hashes(docs)
-    tagged = packed(docs, h1.alias("_h1"), h2.alias("_h2"))
-    texts = tagged.select("_h1", "_h2", F.col("_row.doc_id").alias("doc_id"), F.col("_row.text").alias("text"))
-    keys = [F.col("doc_id"), F.col("_h1"), F.col("_h2")]
-    rows = stage(fingerprints(texts, keys, words), "simhash-rows")
-    alike = rows.groupBy("doc_id", "fp", "_h1", "_h2").agg(F.count("*").alias("n"))
-    first = F.struct(F.col("doc_id").isNull(), "doc_id", "_h1", "_h2", "n")
-    best = stage(
-        with_roots(alike, max_bits).groupBy("root").agg(F.min(first).alias("k")).select("k._h1", "k._h2", "k.n"),
-        "simhash-kept",
+    held = numbered(docs, "simhash-held")
+    h1, h2 = row_hashes(held)
+    texts = held.select(
+        "_rid", h1.alias("_h1"), h2.alias("_h2"), F.col("_row.doc_id").alias("doc_id"), F.col("_row.text").alias("text")
     )
-    kept = tagged.join(best.filter("n = 1"), ["_h1", "_h2"], "left_semi").select("_row.*")
-    equal = best.filter("n > 1")
-    if equal.head(1):
-        some = tagged.join(equal, ["_h1", "_h2"], "left_semi").groupBy("_h1", "_h2").agg(F.first("_row").alias("_row"))
-        kept = kept.union(some.select("_row.*"))
+    keys = [F.col("doc_id"), F.col("_h1"), F.col("_h2"), F.col("_rid")]
+    with scratch() as keep:
+        rows = stage(fingerprints(texts, keys, words), "simhash-rows")
+        alike = rows.groupBy("doc_id", "fp", "_h1", "_h2", "_rid").agg(F.count("*").alias("n"))
+        first = F.struct(F.col("doc_id").isNull(), "doc_id", "_h1", "_h2", "_rid", "n")
+        best = stage(with_roots(alike, max_bits).groupBy("root").agg(F.min(first).alias("k")).select("k._rid", "k.n"), "simhash-best")
+        marks = bitmaps(best.filter("n = 1").select("_rid", F.lit(1).alias("copies")))
+        kept = given_out(held, keep(stage(marks, "simhash-kept")))
+        equal = best.filter("n > 1")
+        if equal.head(1):
+            keep(best)
+            some = held.join(equal, "_rid", "left_semi").groupBy("_rid").agg(F.first("_row").alias("_row"))
+            kept = kept.union(some.select("_row.*"))
     return kept
