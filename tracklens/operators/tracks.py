@@ -364,8 +364,8 @@ def trip_trail(
     """Points drawn as the fading trail at each frame: T - trail <= t <= T.
 
     Frames run from 0 to the time range (the playback scrubber's span).
-    Every point comes once per frame that shows it; for one frame use
-    :func:`trail_at`.
+    Every point comes once per frame that shows it, in the order of time; for
+    one frame use :func:`trail_at`.
     """
     ms = epoch_ms(F.col("timestamp"), is_ntz(points, "timestamp"))
     t0 = _origin(points, time_min_ms)
@@ -374,7 +374,7 @@ def trip_trail(
     step = F.lit(int(step_ms))
     lo = F.ceil(t / step).cast("long") * step
     hi = F.floor(F.least(t + F.lit(int(trail_ms)), t_max) / step).cast("long") * step
-    return points.where(lo <= hi).select(
+    return points.where(lo <= hi).orderBy(ms, "track_id").select(
         F.explode(F.sequence(lo, hi, step)).alias("frame_ms"),
         F.col("track_id").alias("trackId"),
         t.alias("t"),
